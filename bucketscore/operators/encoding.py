@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 100_000
@@ -34,6 +34,10 @@ def fit_one_hot(df: DataFrame, first_numeric: int, features: str = "features") -
     return [list(r.cats) for r in rows]
 
 
+def _slots(known: Column, code: Column) -> Column:
+    return F.transform(known, lambda value: (value == code).cast("double"))
+
+
 def one_hot(
     df: DataFrame,
     dictionary: list[list[int]],
@@ -55,7 +59,7 @@ def one_hot(
         if handle_invalid == "error":
             message = F.concat(F.lit(f"unknown category in feature {i}: "), code.cast("string"))
             code = F.when(F.array_contains(known, code), code).otherwise(F.raise_error(message).cast("int"))
-        parts.append(F.transform(known, lambda c, code=code: (c == code).cast("double")))
+        parts.append(_slots(known, code))
     tail = F.slice(features, len(dictionary) + 1, F.greatest(F.size(features) - len(dictionary), F.lit(0)))
     encoded = df.withColumn(features, F.concat(*parts, tail))
     if not vector:
