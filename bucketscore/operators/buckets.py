@@ -11,6 +11,9 @@ from bucketscore.functions.scalar import distance, histogram
 from bucketscore.operators.lsh import HashFamily, hash_points
 from bucketscore.staging import Staged, broadcast_limit, row_bytes, stage
 
+# Bytes that the crowded buckets may take as a broadcast side where the session's limit is lower.
+CROWDED_BYTES = 32 << 20
+
 
 def bucket_counts(points: DataFrame, family: HashFamily, features: str = "features") -> DataFrame:
     """Population ``n`` of every bucket. Partial aggregation merges crowded buckets per task."""
@@ -41,6 +44,16 @@ def bucket_stats(counts: DataFrame, n_points: int, by: Sequence[str] = ()) -> Da
     )
 
 
+def stage_counts(points: DataFrame, family: HashFamily, features: str = "features") -> Staged:
+    """The bucket populations as a table, with the number of multi-member buckets."""
+    return stage(bucket_counts(points, family, features), "counts", multi=F.count_if(F.col("n") > 1))
+
+
+def _fits(table: Staged, array_length: int) -> bool:
+    width = row_bytes(table.df.schema, array_length)
+    return table.rows * width <= broadcast_limit(table.df.sparkSession)
+
+
 def join_buckets(
     points: DataFrame,
     family: HashFamily,
@@ -58,17 +71,13 @@ def join_buckets(
     looks like, and their many points skip the shuffle. Only points of the remaining, small
     buckets are shuffled, so no join key is hot.
     """
-    spark = points.sparkSession
     hashed = hash_points(points, family, features, keep)
-    limit = broadcast_limit(spark)
-    width = row_bytes(table.df.schema, array_length)
-    if table.rows * width <= limit:
+    if _fits(table, array_length):
         return hashed.join(F.broadcast(table.df), family.keys)
 
-    hash_tables = family.num_tables * len(family.widths)
-    share = limit // (width * hash_tables)
+    share = _crowded_share(family, table, array_length)
     if share < 2:
-        # Not even the crowded buckets fit: leave the hot keys to the adaptive skew join.
+        # Rows too wide to broadcast even the largest buckets: the adaptive skew join splits them.
         return hashed.join(table.df, family.keys)
     is_crowded = F.col("n") > n_points / share
     crowded = table.df.filter(is_crowded)
@@ -78,6 +87,13 @@ def join_buckets(
     return crowded_part.unionByName(rest_part)
 
 
+def _crowded_share(family: HashFamily, table: Staged, array_length: int) -> int:
+    """The share for which all crowded buckets together stay within the broadcast bound."""
+    bound = max(broadcast_limit(table.df.sparkSession), CROWDED_BYTES)
+    width = row_bytes(table.df.schema, array_length)
+    return bound // (width * family.num_tables * len(family.widths))
+
+
 def sum_over_buckets(
     points: DataFrame,
     family: HashFamily,
@@ -93,25 +109,33 @@ def sum_over_buckets(
     """For each point, the sum of each value over the buckets it falls in; no bucket counts 0.
 
     ``carry`` lists columns that depend on the id alone; ``merge_widths`` gives one row per point
-    where the family has several widths. The rows of one point leave the hashing
-    step side by side, so partial aggregation brings them down to one before the shuffle.
+    where the family has several widths. The rows of one point leave the hashing step side by
+    side, so partial aggregation brings them down to one before the shuffle.
     """
     per_width = family.sweeping and not merge_widths
     group = [id_col, *carry, *(family.scope if per_width else [])]
-    found = join_buckets(points, family, table, n_points, [id_col, *carry], features, array_length)
-    found = found.select(*group, *[v.alias(name) for name, v in values.items()])
-    every = points.select(id_col, *carry)
-    if per_width:
-        every = every.select("*", F.explode(F.lit(list(family.widths))).alias("w"))
-    types = {f.name: f.dataType for f in found.schema.fields}
-    every = every.select(*group, *[F.lit(0).cast(types[name]).alias(name) for name in values])
-    return found.unionByName(every).groupBy(*group).agg(*[F.sum(name).alias(name) for name in values])
+    if _fits(table, array_length):
+        hashed = hash_points(points, family, features, [id_col, *carry])
+        found = hashed.join(F.broadcast(table.df), family.keys, "left")
+        found = found.select(*group, *[F.coalesce(v, F.lit(0)).alias(name) for name, v in values.items()])
+    else:
+        matched = join_buckets(points, family, table, n_points, [id_col, *carry], features, array_length)
+        matched = matched.select(*group, *[v.alias(name) for name, v in values.items()])
+        # A zero for every point, so that those in no bucket stay in without an outer join.
+        every = points.select(id_col, *carry)
+        if per_width:
+            every = every.select("*", F.explode(F.lit(list(family.widths))).alias("w"))
+        types = {f.name: f.dataType for f in matched.schema.fields}
+        every = every.select(*group, *[F.lit(0).cast(types[name]).alias(name) for name in values])
+        found = matched.unionByName(every)
+    return found.groupBy(*group).agg(*[F.sum(name).alias(name) for name in values])
 
 
 def crowded_only(counts: Staged) -> Staged:
     """The buckets with two or more members."""
     multi = counts.df.filter("n > 1")
-    return Staged(multi, multi.count(), counts.path)
+    rows = counts.facts["multi"] if "multi" in counts.facts else multi.count()
+    return Staged(multi, rows, counts.path)
 
 
 def neighbor_counts(

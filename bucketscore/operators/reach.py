@@ -54,12 +54,14 @@ def reach_estimators(
     hashing once more; the many hashed rows are never joined on the id.
     """
     near = reach(points, family, counts, n_points, id_col, features)
-    rows = points.select(id_col, features).join(near, id_col)
-    return reach_estimators_from(rows, family, features)
+    return estimators_from_reach(points, family, near, id_col, features)
 
 
-def reach_estimators_from(rows: DataFrame, family: HashFamily, features: str = "features") -> DataFrame:
-    """The estimators for points that carry their ``reach``."""
+def estimators_from_reach(
+    points: DataFrame, family: HashFamily, near: DataFrame, id_col: str = "id", features: str = "features"
+) -> DataFrame:
+    """The bucket table for points whose ``reach`` is known."""
+    rows = points.select(id_col, features).join(near, id_col)
     hashed = hash_points(rows, family, features, keep=["reach"])
     sums = hashed.groupBy(*family.keys).agg(
         F.count(F.lit(1)).alias("n"),

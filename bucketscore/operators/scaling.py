@@ -26,14 +26,22 @@ def as_vector(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn(features, array_to_vector(features))
 
 
-def check_points(df: DataFrame, features: str = "features") -> tuple[int, int]:
-    """``(rows, dimension)`` of the table; raises on an empty table, nulls or uneven lengths."""
+@dataclass(frozen=True)
+class PointFacts:
+    rows: int
+    dim: int
+    anomalies: int
+
+
+def check_points(df: DataFrame, features: str = "features", anomaly: Column | None = None) -> PointFacts:
+    """Facts about the table in one pass; raises on an empty table, nulls or uneven lengths."""
     missing = F.col(features).isNull() | F.exists(features, lambda x: x.isNull() | F.isnan(x))
     row = df.agg(
         F.count(F.lit(1)),
         F.min(F.size(features)),
         F.max(F.size(features)),
         F.count_if(missing),
+        F.count_if(F.lit(False) if anomaly is None else anomaly),
     ).first()
     if row[0] == 0:
         raise ValueError("no rows to fit on")
@@ -41,7 +49,7 @@ def check_points(df: DataFrame, features: str = "features") -> tuple[int, int]:
         raise ValueError(f"{row[3]} rows have null or NaN features")
     if row[1] != row[2] or row[1] == 0:
         raise ValueError(f"feature arrays must share one positive length, found {row[1]} to {row[2]}")
-    return int(row[0]), int(row[1])
+    return PointFacts(int(row[0]), int(row[1]), int(row[4]))
 
 
 @dataclass(frozen=True)

@@ -14,21 +14,27 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bucketscore.functions.running import kth_smallest
 from bucketscore.operators.buckets import (
-    bucket_counts,
     bucket_distances,
     bucket_size_histogram,
     bucket_stats,
     buckets_of_point,
     first_of_class,
     neighbor_counts,
+    stage_counts,
     sum_over_buckets,
 )
 from bucketscore.operators.lsh import HashFamily
-from bucketscore.operators.reach import SCORES, neighbor_threshold, reach_estimators, reach_scores
-from bucketscore.operators.sampling import class_counts, kept_in_training
+from bucketscore.operators.reach import (
+    SCORES,
+    estimators_from_reach,
+    neighbor_threshold,
+    reach,
+    reach_scores,
+)
+from bucketscore.operators.sampling import ClassCounts, is_anomaly, kept_in_training
 from bucketscore.operators.scaling import as_array, check_points
-from bucketscore.functions.running import kth_smallest
 from bucketscore.plans.tuning import HIGH_SHARE, LOW_SHARE, tune_w
 from bucketscore.staging import Staged, drop, stage
 
@@ -109,14 +115,14 @@ class _Detector(Estimator, DetectorParams):
         points = self._points(df, *([label] if labelled else []))
         if not labelled:
             points = points.withColumn(label, F.lit(None).cast("double"))
-        all_rows, dim = check_points(points, features)
-        classes = class_counts(points, label, value)
+        anomaly = is_anomaly(label, value)
+        facts = check_points(points, features, anomaly)
+        classes = ClassCounts(facts.rows, facts.anomalies)
         kept = points.filter(kept_in_training(classes, id_col, label, seed, value))
         if self.isSet("numPartitions"):
             kept = kept.repartition(self.getOrDefault("numPartitions"), id_col)
-        table = stage(kept, "training")
-        after = class_counts(table.df, label, value) if table.rows != all_rows else classes
-        return _Training(table.df, table, dim, table.rows, after.anomalies)
+        table = stage(kept, "training", anomalies=F.count_if(anomaly))
+        return _Training(table.df, table, facts.dim, table.rows, int(table.facts["anomalies"]))
 
     def _start_family(self, dim: int) -> HashFamily:
         get = self.getOrDefault
@@ -239,7 +245,7 @@ class BucketCountDetector(_Detector):
         data = self._training(dataset)
         start = self._start_family(data.dim)
         family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
-        counts = stage(bucket_counts(data.points, family, features), "buckets")
+        counts = stage_counts(data.points, family, features)
         near = neighbor_counts(data.points, family, counts, data.rows, id_col, (), features)
         threshold = neighbor_threshold(near, self._expected(data)).first().threshold
         drop(dataset.sparkSession, data.staged)
@@ -275,19 +281,19 @@ class ReachabilityDetector(_Detector):
         data = self._training(dataset)
         start = self._start_family(data.dim)
         family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
-        counts = stage(bucket_counts(data.points, family, features), "counts")
-        table = reach_estimators(data.points, family, counts, data.rows, id_col, features)
-        buckets = stage(table, "buckets")
-        threshold = self._threshold(data, family, counts, buckets)
-        drop(dataset.sparkSession, data.staged, counts)
+        counts = stage_counts(data.points, family, features)
+        near = stage(reach(data.points, family, counts, data.rows, id_col, features), "reach")
+        buckets = stage(estimators_from_reach(data.points, family, near.df, id_col, features), "buckets")
+        threshold = self._threshold(data, family, near, buckets)
+        drop(dataset.sparkSession, data.staged, counts, near)
         return ReachabilityModel(family, buckets, [threshold], data.rows)._like(self)
 
-    def _threshold(self, data: _Training, family: HashFamily, counts: Staged, buckets: Staged) -> float:
+    def _threshold(self, data: _Training, family: HashFamily, near: Staged, buckets: Staged) -> float:
         features, id_col, _ = self.names
         chosen, k = self.getOrDefault("predictionScore"), self._expected(data)
         if chosen == SCORES[0]:
-            near = neighbor_counts(data.points, family, counts, data.rows, id_col, (), features)
-            return -float(neighbor_threshold(near, k).first().threshold)
+            neighbors = near.df.select((F.col("reach") - family.num_tables).alias("neighbors"))
+            return -float(neighbor_threshold(neighbors, k).first().threshold)
         scores = reach_scores(data.points, family, buckets, data.rows, id_col, (), features)
         return -float(kth_smallest(scores.select((-F.col(chosen)).alias("value")), "value", k).first().kth)
 
@@ -347,7 +353,7 @@ class DualResolutionDetector(_Detector):
         data = self._training(dataset)
         start = self._start_family(data.dim)
         family = start.at(*self._widths(data, start)).times(self.getOrDefault("numTablesMultiplier"))
-        counts = stage(bucket_counts(data.points, family, features), "buckets")
+        counts = stage_counts(data.points, family, features)
         near = neighbor_counts(data.points, family, counts, data.rows, id_col, (), features)
         near = stage(near, "neighbors")
         thresholds = [

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketscore.functions.scalar import distance, hash01
-from bucketscore.operators.buckets import bucket_counts, bucket_stats, neighbor_counts
+from bucketscore.operators.buckets import bucket_counts, bucket_stats, neighbor_counts, stage_counts
 from bucketscore.operators.lsh import HashFamily
 from bucketscore.operators.sampling import sample
 from bucketscore.staging import drop, stage
@@ -93,7 +93,7 @@ def tune_w(
 
 def minimum_neighbors(points: DataFrame, family: HashFamily, n_points: int, id_col: str = "id", features: str = "features") -> int:
     """The smallest neighbour count of any point."""
-    counts = stage(bucket_counts(points, family, features), "counts")
+    counts = stage_counts(points, family, features)
     near = neighbor_counts(points, family, counts, n_points, id_col, (), features)
     least = near.agg(F.min("neighbors")).first()[0]
     drop(points.sparkSession, counts)

@@ -9,20 +9,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Staged:
-    """A table written to the shared folder."""
+    """A table written to the shared folder, with its row count and other facts seen on the way."""
 
     df: DataFrame
     rows: int
     path: str
+    facts: dict = field(default_factory=dict)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,13 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str) -> Staged:
-    """Write ``df`` to the shared folder and return it as a table with its row count."""
+def stage(df: DataFrame, name: str, **facts: Column) -> Staged:
+    """Write ``df`` to the shared folder and return it as a table with its row count.
+
+    ``facts`` are further aggregates, measured while the rows are written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Staged(spark.read.schema(df.schema).parquet(path), int(seen.get["rows"]), path)
+    measures = [F.count(F.lit(1)).alias("rows"), *[fact.alias(key) for key, fact in facts.items()]]
+    df.observe(seen, *measures).write.parquet(path)
+    found = dict(seen.get)
+    return Staged(spark.read.schema(df.schema).parquet(path), int(found["rows"]), path, found)
 
 
 def drop(spark: SparkSession, *tables: Staged) -> None:

@@ -76,7 +76,7 @@ def staged_orders(spark, folder, cutoff=10):
 def order_buckets(spark, folder, family=ORDERS, cutoff=10):
     """Scaled orders and their bucket counts."""
     table = staged_orders(spark, folder, cutoff)
-    return table, stage(B.bucket_counts(table.df, family), "counts")
+    return table, B.stage_counts(table.df, family)
 
 
 def train_test(spark, folder, cutoff=10):
@@ -554,7 +554,7 @@ ROUNDED_ES = ", ".join(f"{O.rounded(e)} AS {e}" for e in ES)
 
 
 def _estimators(points: DataFrame, rows: int, family: HashFamily):
-    counts = stage(B.bucket_counts(points, family), "counts")
+    counts = B.stage_counts(points, family)
     return R.reach_estimators(points, family, counts, rows)
 
 
@@ -722,7 +722,7 @@ def top_anomalies_sql():
 
 def _view_scores(spark, folder, view, family):
     table = stage(V.scaled(view(spark, folder)), "points")
-    counts = stage(B.bucket_counts(table.df, family), "counts")
+    counts = B.stage_counts(table.df, family)
     found = stage(R.reach_estimators(table.df, family, counts, table.rows), "estimators")
     return R.reach_scores(table.df, family, found, table.rows).select("id", *[r6(F.col(s), s) for s in SCORES])
 
@@ -808,7 +808,7 @@ SELECT {O.rounded('area')} AS auroc, positives, negatives FROM a"""
 def auroc_embeddings(spark, folder):
     """Held-out AUROC by brute pair counting in the oracle."""
     table = stage(V.scaled(V.embeddings(spark, folder)), "points")
-    counts = stage(B.bucket_counts(table.df, EMBEDDINGS), "counts")
+    counts = B.stage_counts(table.df, EMBEDDINGS)
     scored = R.count_scores(table.df, EMBEDDINGS, counts, table.rows, carry=["label"])
     return auroc(scored).select(r6(F.col("auroc"), "auroc"), "positives", "negatives")
 
@@ -941,7 +941,7 @@ def ml_transform(spark, folder):
 @query
 def spark_auroc(spark, folder):
     table = stage(V.scaled(V.events(spark, folder)), "points")
-    counts = stage(B.bucket_counts(table.df, EVENTS), "counts")
+    counts = B.stage_counts(table.df, EVENTS)
     scored = stage(R.count_scores(table.df, EVENTS, counts, table.rows, carry=["label"]), "scored").df
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
     area = theirs.evaluate(scored.withColumn("score", F.col("score").cast("double")))
