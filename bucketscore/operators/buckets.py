@@ -13,6 +13,8 @@ from bucketscore.staging import Staged, broadcast_limit, row_bytes, stage
 
 # Bytes that the crowded buckets may take as a broadcast side where the session's limit is lower.
 CROWDED_BYTES = 32 << 20
+# Bytes of a partition up to which a shuffled join builds a hash table instead of sorting.
+HASH_BUILD_BYTES = 64 << 20
 
 
 def bucket_counts(points: DataFrame, family: HashFamily, features: str = "features") -> DataFrame:
@@ -75,22 +77,33 @@ def join_buckets(
     if _fits(table, array_length):
         return hashed.join(F.broadcast(table.df), family.keys)
 
-    share = _crowded_share(family, table, array_length)
+    width = row_bytes(table.df.schema, array_length)
+    share = _crowded_share(family, table, width)
     if share < 2:
         # Rows too wide to broadcast even the largest buckets: the adaptive skew join splits them.
-        return hashed.join(table.df, family.keys)
+        return _shuffled_join(hashed, table.df, table.rows, width, family.keys)
     is_crowded = F.col("n") > n_points / share
     crowded = table.df.filter(is_crowded)
     crowded_part = hashed.join(F.broadcast(crowded), family.keys)
     rest = hashed.join(F.broadcast(crowded.select(*family.keys)), family.keys, "left_anti")
-    rest_part = rest.join(table.df.filter(~is_crowded), family.keys)
+    rest_part = _shuffled_join(rest, table.df.filter(~is_crowded), table.rows, width, family.keys)
     return crowded_part.unionByName(rest_part)
 
 
-def _crowded_share(family: HashFamily, table: Staged, array_length: int) -> int:
+def _shuffled_join(hashed: DataFrame, table: DataFrame, rows: int, width: int, keys: Sequence[str]) -> DataFrame:
+    """Equi-join with a table of distinct keys, which therefore spread evenly over partitions.
+
+    The strategy is stated, because size estimates miss the fan-out of hashing and would take the
+    hashed side for the small one.
+    """
+    partitions = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strategy = "shuffle_hash" if rows * width / partitions <= HASH_BUILD_BYTES else "merge"
+    return hashed.join(table.hint(strategy), keys)
+
+
+def _crowded_share(family: HashFamily, table: Staged, width: int) -> int:
     """The share for which all crowded buckets together stay within the broadcast bound."""
     bound = max(broadcast_limit(table.df.sparkSession), CROWDED_BYTES)
-    width = row_bytes(table.df.schema, array_length)
     return bound // (width * family.num_tables * len(family.widths))
 
 

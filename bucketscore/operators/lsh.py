@@ -183,5 +183,7 @@ def hash_points(
     codes = []
     for j, name in enumerate(family.codes):
         plane = F.col("t") * family.key_length + j
-        codes.append(F.floor(F.get("_p", plane) / width + F.get(offsets, plane)).alias(name))
+        code = F.floor(F.get("_p", plane) / width + F.get(offsets, plane))
+        # Never null: saying so spares joins a null filter that would compute every code again.
+        codes.append(F.coalesce(code, F.lit(0)).alias(name))
     return rows.select(*carried, *family.scope, "t", *codes)

@@ -22,7 +22,7 @@ from bucketscore.plans.detectors import BucketCountDetector, DualResolutionDetec
 from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, grid_scores, grid_search, grid_summary
 from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm
-from bucketscore.staging import shared_folder, stage
+from bucketscore.staging import Staged, shared_folder, stage
 from harness import oracle_sql as O
 from harness import views as V
 
@@ -65,12 +65,18 @@ def cells_sql(dim: int) -> str:
     return ", ".join(f"{O.rounded(f'x[{i + 1}]')} AS f{i}" for i in range(dim))
 
 
-def order_points(spark, folder, cutoff=10) -> DataFrame:
-    return V.scaled(V.orders(spark, folder, cutoff))
+def staged_points(raw: DataFrame) -> Staged:
+    """Points written once; the scaling is an expression on top of the table."""
+    table = stage(raw, "points")
+    return replace(table, df=V.scaled(table.df))
+
 
+def staged_orders(spark, folder, cutoff=10) -> Staged:
+    return staged_points(V.orders(spark, folder, cutoff))
 
-def staged_orders(spark, folder, cutoff=10):
-    return stage(order_points(spark, folder, cutoff), "orders")
+
+def order_points(spark, folder, cutoff=10) -> DataFrame:
+    return staged_orders(spark, folder, cutoff).df
 
 
 def order_buckets(spark, folder, family=ORDERS, cutoff=10):
@@ -82,7 +88,7 @@ def order_buckets(spark, folder, family=ORDERS, cutoff=10):
 def train_test(spark, folder, cutoff=10):
     """Orders scaled by their training part, as (training rows, test rows)."""
     raw = stage(V.orders(spark, folder, cutoff), "orders").df
-    table = stage(V.scaled(raw, split(raw, 0.8, "id", SEED)[0]), "scaled").df
+    table = V.scaled(raw, split(raw, 0.8, "id", SEED)[0])
     return split(table, 0.8, "id", SEED)
 
 
@@ -573,7 +579,7 @@ SELECT t, {O.key_text(ORDERS)} AS key, n, {ROUNDED_ES} FROM e"""
 
 @query
 def reach_estimators_embeddings(spark, folder):
-    table = stage(V.scaled(V.embeddings(spark, folder)), "embeddings")
+    table = staged_points(V.embeddings(spark, folder))
     found = _estimators(table.df, table.rows, EMBEDDINGS)
     return found.select("t", key_text(EMBEDDINGS.codes).alias("key"), "n", *[r6(F.col(e), e) for e in ES])
 
@@ -721,7 +727,7 @@ def top_anomalies_sql():
 
 
 def _view_scores(spark, folder, view, family):
-    table = stage(V.scaled(view(spark, folder)), "points")
+    table = staged_points(view(spark, folder))
     counts = B.stage_counts(table.df, family)
     found = stage(R.reach_estimators(table.df, family, counts, table.rows), "estimators")
     return R.reach_scores(table.df, family, found, table.rows).select("id", *[r6(F.col(s), s) for s in SCORES])
@@ -807,7 +813,7 @@ SELECT {O.rounded('area')} AS auroc, positives, negatives FROM a"""
 @query
 def auroc_embeddings(spark, folder):
     """Held-out AUROC by brute pair counting in the oracle."""
-    table = stage(V.scaled(V.embeddings(spark, folder)), "points")
+    table = staged_points(V.embeddings(spark, folder))
     counts = B.stage_counts(table.df, EMBEDDINGS)
     scored = R.count_scores(table.df, EMBEDDINGS, counts, table.rows, carry=["label"])
     return auroc(scored).select(r6(F.col("auroc"), "auroc"), "positives", "negatives")
@@ -940,7 +946,7 @@ def ml_transform(spark, folder):
 
 @query
 def spark_auroc(spark, folder):
-    table = stage(V.scaled(V.events(spark, folder)), "points")
+    table = staged_points(V.events(spark, folder))
     counts = B.stage_counts(table.df, EVENTS)
     scored = stage(R.count_scores(table.df, EVENTS, counts, table.rows, carry=["label"]), "scored").df
     theirs = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
