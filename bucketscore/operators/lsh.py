@@ -84,6 +84,13 @@ class HashFamily:
         """A family with ``multiplier`` times as many tables."""
         return replace(self, num_tables=multiplier * self.num_tables, stored=None)
 
+    def shorten(self, key_length: int) -> HashFamily:
+        """The same tables with only the first codes of each key; its buckets contain the old ones."""
+        shape = (self.num_tables, self.key_length)
+        planes = self.planes.reshape(*shape, self.dim)[:, :key_length].reshape(-1, self.dim)
+        offsets = self.offsets.reshape(shape)[:, :key_length].reshape(-1)
+        return replace(self, key_length=key_length, stored=(planes, offsets))
+
     @classmethod
     def from_planes_df(cls, table: DataFrame, **params) -> HashFamily:
         """A family with the planes that ``planes_df`` wrote."""

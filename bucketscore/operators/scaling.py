@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bucketscore.functions.scalar import UNROLL_LIMIT
+from bucketscore.staging import Staged
 
 
 def as_array(df: DataFrame, features: str = "features") -> DataFrame:
@@ -26,30 +27,23 @@ def as_vector(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn(features, array_to_vector(features))
 
 
-@dataclass(frozen=True)
-class PointFacts:
-    rows: int
-    dim: int
-    anomalies: int
+def point_facts(features: str = "features") -> dict[str, Column]:
+    """Aggregates that ``dimension`` checks, to be measured while points are written."""
+    missing = F.col(features).isNull() | F.exists(features, lambda x: x.isNull() | F.isnan(x))
+    size = F.size(features)
+    return {"shortest": F.min(size), "longest": F.max(size), "missing": F.count_if(missing)}
 
 
-def check_points(df: DataFrame, features: str = "features", anomaly: Column | None = None) -> PointFacts:
-    """Facts about the table in one pass; raises on an empty table, nulls or uneven lengths."""
-    missing = F.col(features).isNull() | F.exists(features, lambda x: x.isNull() | F.isnan(x))
-    row = df.agg(
-        F.count(F.lit(1)),
-        F.min(F.size(features)),
-        F.max(F.size(features)),
-        F.count_if(missing),
-        F.count_if(F.lit(False) if anomaly is None else anomaly),
-    ).first()
-    if row[0] == 0:
+def dimension(points: Staged) -> int:
+    """The one length of all feature arrays; raises on an empty table, nulls or uneven lengths."""
+    facts = points.facts
+    if points.rows == 0:
         raise ValueError("no rows to fit on")
-    if row[3]:
-        raise ValueError(f"{row[3]} rows have null or NaN features")
-    if row[1] != row[2] or row[1] == 0:
-        raise ValueError(f"feature arrays must share one positive length, found {row[1]} to {row[2]}")
-    return PointFacts(int(row[0]), int(row[1]), int(row[4]))
+    if facts["missing"]:
+        raise ValueError(f"{facts['missing']} rows have null or NaN features")
+    if facts["shortest"] != facts["longest"] or facts["longest"] == 0:
+        raise ValueError(f"feature arrays must share one positive length, found {facts['shortest']} to {facts['longest']}")
+    return int(facts["longest"])
 
 
 @dataclass(frozen=True)

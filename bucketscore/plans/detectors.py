@@ -33,8 +33,8 @@ from bucketscore.operators.reach import (
     reach,
     reach_scores,
 )
-from bucketscore.operators.sampling import ClassCounts, is_anomaly, kept_in_training
-from bucketscore.operators.scaling import as_array, check_points
+from bucketscore.operators.sampling import ClassCounts, class_counts, is_anomaly, kept_in_training
+from bucketscore.operators.scaling import as_array, dimension, point_facts
 from bucketscore.plans.tuning import HIGH_SHARE, LOW_SHARE, tune_w
 from bucketscore.staging import Staged, drop, stage
 
@@ -108,21 +108,27 @@ class _Training:
 
 class _Detector(Estimator, DetectorParams):
     def _training(self, df: DataFrame) -> _Training:
-        """Checked and rebalanced training rows, written once for the passes of the fit."""
+        """Training rows, written once for the passes of the fit, then checked and rebalanced.
+
+        The input is read a single time; what the checks need is measured as it is written.
+        """
         features, id_col, label = self.names
         value, seed = self.getOrDefault("anomalyValue"), self.getOrDefault("seed")
         labelled = label in df.columns
         points = self._points(df, *([label] if labelled else []))
         if not labelled:
             points = points.withColumn(label, F.lit(None).cast("double"))
-        anomaly = is_anomaly(label, value)
-        facts = check_points(points, features, anomaly)
-        classes = ClassCounts(facts.rows, facts.anomalies)
-        kept = points.filter(kept_in_training(classes, id_col, label, seed, value))
         if self.isSet("numPartitions"):
-            kept = kept.repartition(self.getOrDefault("numPartitions"), id_col)
-        table = stage(kept, "training", anomalies=F.count_if(anomaly))
-        return _Training(table.df, table, facts.dim, table.rows, int(table.facts["anomalies"]))
+            points = points.repartition(self.getOrDefault("numPartitions"), id_col)
+        anomaly = is_anomaly(label, value)
+        table = stage(points, "training", anomalies=F.count_if(anomaly), **point_facts(features))
+        dim = dimension(table)
+        classes = ClassCounts(table.rows, int(table.facts["anomalies"]))
+        if classes.keep_probability >= 1.0:
+            return _Training(table.df, table, dim, classes.rows, classes.anomalies)
+        kept = table.df.filter(kept_in_training(classes, id_col, label, seed, value))
+        after = class_counts(kept, label, value)
+        return _Training(kept, table, dim, after.rows, after.anomalies)
 
     def _start_family(self, dim: int) -> HashFamily:
         get = self.getOrDefault
@@ -132,7 +138,7 @@ class _Detector(Estimator, DetectorParams):
         features, id_col, _ = self.names
         return tune_w(
             data.points, family, LOW_SHARE * scale, HIGH_SHARE * scale, self.getOrDefault("tuneFraction"),
-            id_col, features, self.getOrDefault("seed"),
+            id_col, features, self.getOrDefault("seed"), data.rows,
         )
 
     def _width(self, data: _Training, family: HashFamily) -> float:

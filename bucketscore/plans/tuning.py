@@ -45,6 +45,7 @@ def tune_w(
     id_col: str = "id",
     features: str = "features",
     seed: int = 7,
+    n_points: int | None = None,
 ) -> float:
     """A width whose mean relative size of multi-member buckets lies in ``[low, high]``.
 
@@ -53,12 +54,12 @@ def tune_w(
     in range wins. Otherwise the gap that holds the range is narrowed geometrically; if that ends
     without a hit, the nearest width is taken with a warning.
     """
-    table = stage(points.select(id_col, features), "tuning")
-    rows, chosen = table.rows, table.df
+    table = stage(points.select(id_col, features), "tuning") if n_points is None else None
+    rows, chosen = (n_points, points) if table is None else (table.rows, table.df)
     if rows == 0:
         raise ValueError("no rows to tune on")
     if fraction < 1.0 and rows > MIN_SAMPLE:
-        chosen = sample(table.df, max(fraction, min(1.0, 1.2 * MIN_SAMPLE / rows)), id_col, seed)
+        chosen = sample(chosen, max(fraction, min(1.0, 1.2 * MIN_SAMPLE / rows)), id_col, seed)
         rows = chosen.count()
 
     def measure(widths) -> dict[float, float]:
@@ -82,7 +83,8 @@ def tune_w(
         bottom, top = max(small), min(large)
         step = (top / bottom) ** 0.25
         shares.update(measure([bottom * step**i for i in (1, 2, 3)]))
-    drop(points.sparkSession, table)
+    if table is not None:
+        drop(points.sparkSession, table)
     hits = [w for w, share in shares.items() if miss(share) == 0.0]
     if hits:
         return min(hits)
@@ -107,28 +109,30 @@ def tune_key_length(
     n_points: int,
     id_col: str = "id",
     features: str = "features",
-) -> int:
-    """The key length whose minimum neighbour count is within tolerance of ``wanted``.
+) -> HashFamily:
+    """A family whose minimum neighbour count is within tolerance of ``wanted``.
 
-    Longer keys mean smaller buckets, so a bisection over the length finds it in a few jobs. The
-    best length seen is returned if none is within tolerance.
+    The lengths tried are prefixes of one long key. Buckets of a prefix contain those of the whole
+    key, so the minimum can only fall as the key grows, and bisection finds the length. The nearest
+    length seen is used if none is within tolerance.
     """
     start = max(2, math.ceil(math.log2(max(2.0, n_points / family.dim))) + 1)
     left = start // 2 if start > 2 else 1
     right = int(start * 1.5) if start > 15 else 22
+    longest = replace(family, key_length=right, stored=None)
     seen: dict[int, int] = {}
     while left <= right:
         length = (left + right) // 2
-        seen[length] = minimum_neighbors(points, replace(family, key_length=length, stored=None), n_points, id_col, features)
+        seen[length] = minimum_neighbors(points, longest.shorten(length), n_points, id_col, features)
         if seen[length] < wanted * MIN_TOLERANCE:
             right = length - 1
         elif seen[length] > wanted * MAX_TOLERANCE:
             left = length + 1
         else:
-            return length
+            return longest.shorten(length)
     best = min(seen, key=lambda length: (abs(seen[length] - wanted), length))
     log.warning("no key length reached %s neighbours; using %s with %s", wanted, best, seen[best])
-    return best
+    return longest.shorten(best)
 
 
 def starting_radius(points: DataFrame, dim: int, id_col: str = "id", features: str = "features", seed: int = 7) -> float:

@@ -17,11 +17,18 @@ from bucketscore.operators.encoding import category_dictionary, one_hot
 from bucketscore.operators.evaluate import auroc, confusion
 from bucketscore.operators.lsh import HashFamily, hash_points
 from bucketscore.operators.sampling import class_counts, rebalance, sample, split, with_fold
-from bucketscore.operators.scaling import feature_stats
-from bucketscore.plans.detectors import BucketCountDetector, DualResolutionDetector, ReachabilityDetector, dual_scores
-from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, grid_scores, grid_search, grid_summary
+from bucketscore.operators.scaling import feature_stats, fit_scaling, point_facts
+from bucketscore.plans.detectors import (
+    BucketCountDetector,
+    DualResolutionDetector,
+    ReachabilityDetector,
+    ReachabilityModel,
+    dual_scores,
+)
+from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_search, grid_summary, run_experiment
 from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
-from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm
+from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
+from bucketscore.streaming.scoring import score_stream
 from bucketscore.staging import Staged, shared_folder, stage
 from harness import oracle_sql as O
 from harness import views as V
@@ -203,12 +210,12 @@ def class_counts_views_sql():
 
 @query
 def points_profile(spark, folder):
-    rows = V.embeddings(spark, folder)
-    return rows.agg(
+    facts = point_facts()
+    return V.embeddings(spark, folder).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.min(F.size("features")).cast("bigint").alias("min_size"),
-        F.max(F.size("features")).cast("bigint").alias("max_size"),
-        F.count_if(F.exists("features", lambda x: x.isNull() | F.isnan(x))).alias("bad_rows"),
+        facts["shortest"].cast("bigint").alias("min_size"),
+        facts["longest"].cast("bigint").alias("max_size"),
+        facts["missing"].alias("bad_rows"),
     )
 
 
@@ -488,6 +495,18 @@ def bucket_distance_histogram_sql():
     return f"{distances_sql(DISTANCE_FAMILY)} {O.bins('d', 'mean_distance', 100)}"
 
 
+@query
+def mean_bucket_distance(spark, folder):
+    found = _distances(spark, folder)
+    return found.agg(r6(F.avg("mean_distance"), "mean_distance"), F.count(F.lit(1)).alias("multi_buckets"))
+
+
+@oracle
+def mean_bucket_distance_sql():
+    return f"""{distances_sql(DISTANCE_FAMILY)}
+SELECT {O.rounded('avg(mean_distance)')} AS mean_distance, count(*) AS multi_buckets FROM d"""
+
+
 @query
 def distance_sweep_radius(spark, folder):
     table = staged_orders(spark, folder)
@@ -862,13 +881,34 @@ def tuned_w_sql():
     return f"WITH {SWEEP_SQL} SELECT min(w) AS w FROM sweep WHERE relative_size BETWEEN 0.05e0 AND 0.1e0"
 
 
+LONG_KEYS = HashFamily(dim=5, key_length=22, num_tables=10, widths=(8.0,), seed=SEED)
+KEY_LENGTHS = (1, 2, 4, 8, 12)
+
+
+@query
+def key_length_sweep(spark, folder):
+    """Minimum neighbours for some lengths; prefixes of one key."""
+    table = staged_orders(spark, folder)
+    rows = [(k, minimum_neighbors(table.df, LONG_KEYS.shorten(k), table.rows)) for k in KEY_LENGTHS]
+    return spark.createDataFrame(rows, "key_length bigint, min_neighbors bigint")
+
+
+@oracle
+def key_length_sweep_sql():
+    parts = []
+    for k in KEY_LENGTHS:
+        codes = ", ".join(LONG_KEYS.codes[:k])
+        parts.append(f"""SELECT {k}::BIGINT AS key_length, min(s)::BIGINT AS min_neighbors FROM (SELECT id, sum(n - 1) AS s
+FROM h JOIN (SELECT t, {codes}, count(*) AS n FROM h GROUP BY t, {codes}) USING (t, {codes}) GROUP BY id)""")
+    return f"WITH {ORDER_PTS}, {O.planes(LONG_KEYS)}, {O.hashed(LONG_KEYS)} " + " UNION ALL ".join(parts)
+
+
 @query
 def tuned_key_length(spark, folder):
     table = staged_orders(spark, folder)
-    family = replace(ORDERS, num_tables=10).at(8.0)
-    chosen = tune_key_length(table.df, family, 10, table.rows)
-    least = minimum_neighbors(table.df, replace(family, key_length=chosen), table.rows)
-    return spark.createDataFrame([(chosen, least)], "key_length bigint, min_neighbors bigint")
+    chosen = tune_key_length(table.df, replace(ORDERS, num_tables=10).at(8.0), 10, table.rows)
+    least = minimum_neighbors(table.df, chosen, table.rows)
+    return spark.createDataFrame([(chosen.key_length, least)], "key_length bigint, min_neighbors bigint")
 
 
 @query
@@ -935,6 +975,96 @@ def grid_search_summary_sql():
 {O.rounded('stddev_pop(area)')} AS std_auroc, count(area) AS folds FROM area GROUP BY w, estimator"""
 
 
+@query
+def grid_bucket_sizes(spark, folder):
+    table = staged_orders(spark, folder)
+    found = fold_bucket_sizes(fold_counts(table.df, GRID_FAMILY, 5, SEED))
+    return found.groupBy("w").agg(
+        r6(F.avg("mean_size"), "mean_size"), r6(F.avg("relative_size"), "relative_size"), r6(F.avg("multi_buckets"), "multi_buckets")
+    )
+
+
+@oracle
+def grid_bucket_sizes_sql():
+    k = O.keys(GRID_FAMILY)
+    return f"""WITH {ORDER_PTS}, {O.planes(GRID_FAMILY)},
+f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED)} * 5)::INTEGER AS own FROM pts),
+{O.hashed(GRID_FAMILY, 'f', 'own')},
+b AS (SELECT fold, {k}, count(*) AS n FROM h, range(5) AS r(fold) WHERE own <> fold GROUP BY fold, {k}),
+total AS (SELECT fold, count(*) AS rows FROM f, range(5) AS r(fold) WHERE own <> fold GROUP BY fold),
+m AS (SELECT w, fold, avg(n) AS size, avg(n) / any_value(rows) AS share, count(*) AS c FROM b JOIN total USING (fold) WHERE n > 1 GROUP BY w, fold)
+SELECT w, {O.rounded('avg(size)')} AS mean_size, {O.rounded('avg(share)')} AS relative_size, {O.rounded('avg(c)')} AS multi_buckets
+FROM m GROUP BY w"""
+
+
+@query
+def experiment_orders(spark, folder):
+    """Standardise on the training part, split, fit, evaluate."""
+    detector = ReachabilityDetector(keyLength=4, numTables=50, splitW=4.0, seed=SEED)
+    _, measures = run_experiment(V.orders(spark, folder), detector, 0.8, SEED)
+    names = ("auroc", "accuracy", "precision", "recall", "f1")
+    return measures.select("estimator", "tp", "tn", "fp", "fn", *[r6(F.col(c), c) for c in names])
+
+
+@oracle
+def experiment_orders_sql():
+    flags = f"""th AS (SELECT max(reach) - {ORDERS.num_tables} AS threshold FROM (SELECT reach FROM r ORDER BY reach
+LIMIT (SELECT count(*) FROM train WHERE label = 1))),
+flagged AS (SELECT scored.*, CASE WHEN score1 >= -threshold THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM scored, th)"""
+    long = " UNION ALL ".join(f"SELECT '{s}' AS estimator, label, {s} AS value FROM flagged" for s in (*SCORES, "prediction"))
+    return f"""WITH {REACH_SQL}, {flags}, long AS ({long}), a AS ({O.auroc('long', 'value', 'estimator')}),
+c AS (SELECT count(*) FILTER (prediction = 1 AND label = 1) AS tp, count(*) FILTER (prediction = 0 AND label = 0) AS tn,
+count(*) FILTER (prediction = 1 AND label = 0) AS fp, count(*) FILTER (prediction = 0 AND label = 1) AS fn FROM flagged)
+SELECT estimator, tp, tn, fp, fn, {O.rounded('area')} AS auroc, {O.rounded('(tp + tn)::DOUBLE / (tp + tn + fp + fn)')} AS accuracy,
+{O.rounded('tp::DOUBLE / nullif(tp + fp, 0)')} AS precision, {O.rounded('tp::DOUBLE / nullif(tp + fn, 0)')} AS recall,
+{O.rounded('CASE WHEN tp > 0 THEN 2.0e0 * tp / (2 * tp + fp + fn) END')} AS f1 FROM a, c"""
+
+
+@query
+def base_documents(spark, folder):
+    """Whole texts, rebalanced training rows, and a threshold from the kept anomalies."""
+    table = staged_points(V.documents(spark, folder))
+    detector = BucketCountDetector(keyLength=4, numTables=20, splitW=4.0, seed=SEED)
+    return detector.fit(table.df).transform(table.df).select("id", "label", "score", "prediction")
+
+
+@oracle
+def base_documents_sql():
+    k = O.keys(DOCUMENTS)
+    return f"""WITH {O.points('documents')}, {O.planes(DOCUMENTS)}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM pts),
+kept AS (SELECT pts.* FROM pts, c WHERE label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED)} < 0.01e0 * n / a),
+{O.hashed(DOCUMENTS, 'kept')}, {O.hashed(DOCUMENTS, 'pts', name='g')}, {O.counts(DOCUMENTS)},
+near AS (SELECT id, sum(n - 1) AS neighbors FROM h JOIN b USING ({k}) GROUP BY id),
+ks AS (SELECT CASE WHEN count(*) FILTER (label = 1) > 0 THEN count(*) FILTER (label = 1)
+              ELSE greatest(1, round_even(0.01e0 * count(*), 0)) END::BIGINT AS k FROM kept),
+th AS (SELECT max(neighbors) AS threshold FROM (SELECT neighbors FROM near ORDER BY neighbors LIMIT (SELECT k FROM ks))),
+s AS (SELECT id, sum(coalesce(n, 0))::BIGINT AS s FROM g LEFT JOIN b USING ({k}) GROUP BY id)
+SELECT id, label, -s AS score, CASE WHEN s <= threshold THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM s JOIN pts USING (id), th"""
+
+
+@query
+def stream_event_scores(spark, folder):
+    """Events read as a stream and scored batch by batch against a fitted bucket table."""
+    scaling = fit_scaling(V.events(spark, folder))
+    detector = BucketCountDetector(keyLength=4, numTables=20, splitW=2.0, seed=SEED)
+    model = detector.fit(scaling.apply(V.events(spark, folder)))
+    schema = V.table(spark, folder, "events").schema
+    # A glob, because a file source reads folders.
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    points = scaling.apply(V.event_points(source))
+    out = _fresh(spark, "stream")
+    writer = score_stream(points, model, lambda df, number: df.select("id", "score").write.mode("append").parquet(out))
+    run = writer.option("checkpointLocation", _fresh(spark, "stream-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("id bigint, score bigint").parquet(out)
+
+
+@oracle
+def stream_event_scores_sql():
+    return f"""WITH {O.points('events')}, {O.planes(EVENTS)}, {O.hashed(EVENTS)}, {O.counts(EVENTS)}
+SELECT id, -sum(n)::BIGINT AS score FROM h JOIN b USING ({O.keys(EVENTS)}) GROUP BY id"""
+
+
 @query
 def ml_transform(spark, folder):
     """The detector as a stage of a Spark ML pipeline, with Spark's own AUROC as a cross-check."""
@@ -983,6 +1113,52 @@ def libsvm_roundtrip_sql():
     return f"WITH {O.raw('orders')} SELECT label, {', '.join(f'{O.rounded(f"f{i}")} AS f{i}' for i in range(5))} FROM orders_raw"
 
 
+@query
+def one_hot_libsvm(spark, folder):
+    """Encode, write sparse LIBSVM, and read it back with a named width."""
+    dictionary = V.customer_dictionary(spark, folder)
+    points = V.customers(spark, folder).withColumn("label", F.lit(0.0))
+    encoded = one_hot(points, dictionary, vector=True)
+    path = _fresh(spark, "one-hot")
+    write_libsvm(encoded, path)
+    width = sum(len(values) for values in dictionary) + 1
+    cells = read_libsvm(spark, path, width).select(F.posexplode("features").alias("slot", "x"))
+    return cells.groupBy("slot").agg(F.count_if(F.col("x") != 0).alias("set_rows"), r6(F.sum("x"), "total"))
+
+
+@oracle
+def one_hot_libsvm_sql():
+    return one_hot_slots_sql()
+
+
+@query
+def scored_export(spark, folder):
+    model, test = _base(spark, folder)
+    path = _fresh(spark, "scored")
+    write_scored(model.transform(test), path, "csv")
+    rows = spark.read.csv(path, schema="id bigint, label double, features string, score bigint, prediction double")
+    return rows.select("id", "label", F.size(F.split("features", ";")).alias("cells"), "score", "prediction")
+
+
+@oracle
+def scored_export_sql():
+    return f"WITH {BASE_SQL} SELECT id, label, 5 AS cells, score, prediction FROM scored"
+
+
+@query
+def saved_model_scores(spark, folder):
+    model, test = _reach(spark, folder)
+    path = _fresh(spark, "model")
+    model.save(path)
+    again = ReachabilityModel.load(spark, path)
+    return again.transform(test).select("id", *[r6(F.col(s), s) for s in SCORES])
+
+
+@oracle
+def saved_model_scores_sql():
+    return reach_scores_sql()
+
+
 @query
 def libsvm_folds(spark, folder):
     path = _fresh(spark, "folds")

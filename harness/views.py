@@ -42,10 +42,14 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
+    return event_points(table(spark, folder, "events"))
+
+
+def event_points(rows: DataFrame) -> DataFrame:
     """One point per event; a value of 200 or more is an anomaly."""
     label = F.when(F.col("value") >= 200, 1.0).otherwise(0.0)
     features = F.array("value", F.hour("ts").cast("double"), F.dayofweek("ts").cast("double"))
-    return table(spark, folder, "events").select(F.col("event_id").alias("id"), label.alias("label"), features.alias("features"))
+    return rows.select(F.col("event_id").alias("id"), label.alias("label"), features.alias("features"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ from bucketscore import (
 )
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
-from bucketscore.plans.experiments import fold_bucket_sizes, grid_scores, grid_summary
+from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary
 from bucketscore.plans.tuning import minimum_neighbors, starting_radius, tune_key_length
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
@@ -226,9 +226,15 @@ def test_tune_w_in_range_and_refined(points, caplog):
 
 def test_tune_key_length(points):
     family = HashFamily(6, 1, 4, (4.0,), seed=5)
-    least = {k: minimum_neighbors(points, HashFamily(6, k, 4, (4.0,), seed=5), 406) for k in (1, 2, 4, 8)}
-    assert least[1] >= least[2] >= least[4] >= least[8]
-    assert 1 <= tune_key_length(points, family, 10, 406) <= 22
+    bulk, rows = points.filter("label = 0"), 400
+    longest = HashFamily(6, 22, 4, (16.0,), seed=5)
+    least = {k: minimum_neighbors(bulk, longest.shorten(k), rows) for k in (1, 4, 6, 8)}
+    assert least[1] >= least[4] >= least[6] >= least[8]
+    wanted = least[6]
+    assert wanted > 0
+    chosen = tune_key_length(bulk, family.at(16.0), wanted, rows)
+    assert 0.2 * wanted <= minimum_neighbors(bulk, chosen, rows) <= 4.0 * wanted
+    assert tune_key_length(points, family, 10**6, 406).key_length >= 1
     assert starting_radius(points, 6) > 0
 
 
@@ -274,11 +280,14 @@ def test_grid_equals_separate_fits(spark, points, raw, widths, limit):
 
 def test_grid_summary_and_sizes(points):
     family = HashFamily(6, 2, 5, (2.0, 4.0), seed=5)
-    scores, counts = grid_scores(points, family, folds=3, seed=5)
-    assert scores.count() == 406 * 2
-    folds = [r.c for r in points.select(F.floor(hash01("id", 5) * 3).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c")).orderBy("f").collect()]
-    sizes = fold_bucket_sizes(counts, [406 - c for c in folds]).collect()
+    found = fold_counts(points, family, folds=3, seed=5)
+    assert grid_scores(found, family, folds=3).count() == 406 * 2
+    sizes = fold_bucket_sizes(found, 3).collect()
     assert {(r.w, r.fold) for r in sizes} == {(w, f) for w in (2.0, 4.0) for f in range(3)}
+    total = found.training.count()
+    own = {r.fold: r["count"] for r in found.training.groupBy("fold").count().collect()}
+    for r in sizes:
+        assert r.relative_size == pytest.approx(r.mean_size / (total - own[r.fold]))
     rows = points.sparkSession.createDataFrame([(1.0, 0, 1, 0.5), (1.0, 1, 1, 0.7), (1.0, 2, 1, None)], "w double, fold int, estimator int, auroc double")
     row = grid_summary(rows).first()
     assert (row.mean_auroc, row.std_auroc, row.folds) == (pytest.approx(0.6), pytest.approx(0.1), 2)
