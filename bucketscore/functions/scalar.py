@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 UNROLL_LIMIT = 64
 
 
+def doubles(values: Sequence[float]) -> Column:
+    """Constant ``array<double>``, handed to Spark in one piece."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def hash01(id_col: str | Column, seed: int) -> Column:
     """Uniform number in [0, 1) that depends only on the row id and the seed."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

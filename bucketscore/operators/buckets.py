@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.functions.scalar import distance, histogram
+from bucketscore.functions.scalar import distance, doubles, histogram
 from bucketscore.operators.lsh import HashFamily, hash_points
 from bucketscore.staging import Staged, broadcast_limit, row_bytes, stage
 
@@ -82,7 +82,7 @@ def join_buckets(
     if share < 2:
         # Rows too wide to broadcast even the largest buckets: the adaptive skew join splits them.
         return _shuffled_join(hashed, table.df, table.rows, width, family.keys)
-    is_crowded = F.col("n") > n_points / share
+    is_crowded = F.col("n") > n_points // share
     crowded = table.df.filter(is_crowded)
     crowded_part = hashed.join(F.broadcast(crowded), family.keys)
     rest = hashed.join(F.broadcast(crowded.select(*family.keys)), family.keys, "left_anti")
@@ -137,7 +137,7 @@ def sum_over_buckets(
         # A zero for every point, so that those in no bucket stay in without an outer join.
         every = points.select(id_col, *carry)
         if per_width:
-            every = every.select("*", F.explode(F.lit(list(family.widths))).alias("w"))
+            every = every.select("*", F.explode(doubles(family.widths)).alias("w"))
         types = {f.name: f.dataType for f in matched.schema.fields}
         every = every.select(*group, *[F.lit(0).cast(types[name]).alias(name) for name in values])
         found = matched.unionByName(every)
@@ -216,13 +216,12 @@ def bucket_distances(
     Buckets of two or more; the reference itself counts with distance 0.
     """
     hashed = hash_points(points, family, features, keep=[id_col])
-    heads = (
-        hashed.groupBy(*family.keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_head"))
-        .filter("n > 1")
-    )
+    grouped = hashed.groupBy(*family.keys).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_head"))
+    heads = stage(grouped.filter("n > 1"), "heads")
     located = points.select(F.col(id_col).alias("_head"), F.col(features).alias("_origin"))
-    references = stage(heads.join(located, "_head"), "references")
+    # A point heads at most one bucket per table, so its id is not a hot key on either side.
+    side = F.broadcast(heads.df) if _fits(heads, 0) else heads.df.hint("merge")
+    references = stage(side.join(located, "_head"), "references")
     members = points.select(id_col, features)
     joined = join_buckets(members, family, references, n_points, [features], features, family.dim)
     gap = distance(F.col(features), F.col("_origin"), family.dim)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bucketscore.functions.scalar import doubles
+
 
 @dataclass(frozen=True)
 class HashFamily:
@@ -149,7 +151,7 @@ def _projection_udf(family: HashFamily):
 
 def _projection_native(family: HashFamily, features: Column) -> Column:
     """The same projections as array expressions, without Python workers."""
-    planes = F.array(*[F.lit(plane.tolist()) for plane in family.planes])
+    planes = F.array(*[doubles(plane) for plane in family.planes])
     scaled = features if family.radius == 1.0 else F.transform(features, lambda x: x / family.radius)
     return F.transform(
         planes,
@@ -180,13 +182,13 @@ def hash_points(
         carried += [f for f in fields if f != "w"]
         width = F.col("w")
     elif family.sweeping:
-        rows = rows.select(*carried, F.explode(F.lit(list(family.widths))).alias("w"), "_p")
+        rows = rows.select(*carried, F.explode(doubles(family.widths)).alias("w"), "_p")
         width = F.col("w")
     else:
         width = F.lit(float(family.widths[0]))
     tables = F.sequence(F.lit(0), F.lit(family.num_tables - 1))
     rows = rows.select(*rows.columns[:-1], F.explode(tables).alias("t"), "_p")
-    offsets = F.lit(family.offsets.tolist())
+    offsets = doubles(family.offsets)
     codes = []
     for j, name in enumerate(family.codes):
         plane = F.col("t") * family.key_length + j

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscore.functions.scalar import UNROLL_LIMIT
+from bucketscore.functions.scalar import UNROLL_LIMIT, doubles
 from bucketscore.staging import Staged
 
 
@@ -69,7 +69,7 @@ def standardized(features: Column, scaling: Scaling) -> Column:
             for i, (m, s) in enumerate(zip(scaling.mean, scaling.std))
         ]
         return F.array(*cells)
-    mean, std = F.lit(scaling.mean), F.lit(scaling.std)
+    mean, std = doubles(scaling.mean), doubles(scaling.std)
     centred = F.zip_with(features, mean, lambda x, m: x - m)
     return F.zip_with(centred, std, lambda x, s: F.when(s == 0.0, x * 0.0).otherwise(x / s))
 

@@ -39,13 +39,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder that goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    location, files = _file_system(spark, path)
+    files.mkdirs(location)
+    files.deleteOnExit(location)
+    return path
+
+
 def stage(df: DataFrame, name: str, **facts: Column) -> Staged:
     """Write ``df`` to the shared folder and return it as a table with its row count.
 
-    ``facts`` are further aggregates, measured while the rows are written.
+    ``facts`` are further aggregates, measured while the rows are written. The table is for this
+    session: it is deleted by ``drop``, or at the latest when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark, name)}/rows"
     seen = Observation()
     measures = [F.count(F.lit(1)).alias("rows"), *[fact.alias(key) for key, fact in facts.items()]]
     df.observe(seen, *measures).write.parquet(path)
@@ -55,10 +65,14 @@ def stage(df: DataFrame, name: str, **facts: Column) -> Staged:
 
 def drop(spark: SparkSession, *tables: Staged) -> None:
     """Delete staged tables that no DataFrame needs any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.path)
-        path.getFileSystem(hadoop).delete(path, True)
+        location, files = _file_system(spark, table.path)
+        files.delete(location, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fol
 from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
 from bucketscore.streaming.scoring import score_stream
-from bucketscore.staging import Staged, shared_folder, stage
+from bucketscore.staging import Staged, session_folder, stage
 from harness import oracle_sql as O
 from harness import views as V
 
@@ -1096,9 +1096,7 @@ SELECT {O.rounded('area')} AS auroc, {O.rounded('area')} AS spark_auroc FROM a""
 
 
 def _fresh(spark, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark, name)}/rows"
 
 
 @query
