@@ -30,7 +30,6 @@ from bucketscore.operators.reach import (
     SCORES,
     estimators_from_reach,
     neighbor_threshold,
-    reach,
     reach_scores,
 )
 from bucketscore.operators.sampling import ClassCounts, class_counts, is_anomaly, kept_in_training
@@ -144,6 +143,14 @@ class _Detector(Estimator, DetectorParams):
     def _width(self, data: _Training, family: HashFamily) -> float:
         return self.getOrDefault("splitW") if self.isSet("splitW") else self._tuned(data, family)
 
+    def _neighbors(self, data: _Training, family: HashFamily, counts: Staged) -> Staged:
+        """Neighbour counts of the training rows. One row per id, so a repeated id shows here."""
+        features, id_col, _ = self.names
+        near = stage(neighbor_counts(data.points, family, counts, data.rows, id_col, (), features), "neighbors")
+        if near.rows != data.rows * (len(family.widths) if family.sweeping else 1):
+            raise ValueError(f"{id_col} must be unique: {data.rows} training rows, {near.rows} rows by id")
+        return near
+
     def _expected(self, data: _Training) -> int:
         """How many training rows the threshold should flag."""
         share = round(self.getOrDefault("contamination") * data.rows)
@@ -247,14 +254,14 @@ class BucketCountDetector(_Detector):
         self.set_params(**values)
 
     def _fit(self, dataset: DataFrame) -> BucketCountModel:
-        features, id_col, _ = self.names
+        features, _, _ = self.names
         data = self._training(dataset)
         start = self._start_family(data.dim)
         family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
         counts = stage_counts(data.points, family, features)
-        near = neighbor_counts(data.points, family, counts, data.rows, id_col, (), features)
-        threshold = neighbor_threshold(near, self._expected(data)).first().threshold
-        drop(dataset.sparkSession, data.staged)
+        near = self._neighbors(data, family, counts)
+        threshold = neighbor_threshold(near.df, self._expected(data)).first().threshold
+        drop(dataset.sparkSession, data.staged, near)
         return BucketCountModel(family, counts, [threshold], data.rows)._like(self)
 
 
@@ -288,8 +295,9 @@ class ReachabilityDetector(_Detector):
         start = self._start_family(data.dim)
         family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
         counts = stage_counts(data.points, family, features)
-        near = stage(reach(data.points, family, counts, data.rows, id_col, features), "reach")
-        buckets = stage(estimators_from_reach(data.points, family, near.df, id_col, features), "buckets")
+        near = self._neighbors(data, family, counts)
+        reach = near.df.select(id_col, (F.col("neighbors") + family.num_tables).alias("reach"))
+        buckets = stage(estimators_from_reach(data.points, family, reach, id_col, features), "buckets")
         threshold = self._threshold(data, family, near, buckets)
         drop(dataset.sparkSession, data.staged, counts, near)
         return ReachabilityModel(family, buckets, [threshold], data.rows)._like(self)
@@ -298,8 +306,7 @@ class ReachabilityDetector(_Detector):
         features, id_col, _ = self.names
         chosen, k = self.getOrDefault("predictionScore"), self._expected(data)
         if chosen == SCORES[0]:
-            neighbors = near.df.select((F.col("reach") - family.num_tables).alias("neighbors"))
-            return -float(neighbor_threshold(neighbors, k).first().threshold)
+            return -float(neighbor_threshold(near.df, k).first().threshold)
         scores = reach_scores(data.points, family, buckets, data.rows, id_col, (), features)
         return -float(kth_smallest(scores.select((-F.col(chosen)).alias("value")), "value", k).first().kth)
 
@@ -355,13 +362,12 @@ class DualResolutionDetector(_Detector):
         return small, large
 
     def _fit(self, dataset: DataFrame) -> DualResolutionModel:
-        features, id_col, _ = self.names
+        features, _, _ = self.names
         data = self._training(dataset)
         start = self._start_family(data.dim)
         family = start.at(*self._widths(data, start)).times(self.getOrDefault("numTablesMultiplier"))
         counts = stage_counts(data.points, family, features)
-        near = neighbor_counts(data.points, family, counts, data.rows, id_col, (), features)
-        near = stage(near, "neighbors")
+        near = self._neighbors(data, family, counts)
         thresholds = [
             neighbor_threshold(near.df.filter(F.col("w") == w), self._expected(data)).first().threshold
             for w in family.widths

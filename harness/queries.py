@@ -1067,15 +1067,24 @@ SELECT id, -sum(n)::BIGINT AS score FROM h JOIN b USING ({O.keys(EVENTS)}) GROUP
 
 @query
 def ml_transform(spark, folder):
-    """The detector as a stage of a Spark ML pipeline, with Spark's own AUROC as a cross-check."""
+    """The detector as a stage of a Spark ML pipeline."""
     train, test = train_test(spark, folder)
     stages = [ReachabilityDetector(keyLength=4, numTables=50, splitW=4.0, seed=SEED)]
     scored = Pipeline(stages=stages).fit(train).transform(test)
-    return scored.select("id", "label", *SCORES, "prediction")
+    return scored.select("id", "label", *[r6(F.col(s), s) for s in SCORES], "prediction")
+
+
+@oracle
+def ml_transform_sql():
+    return f"""WITH {REACH_SQL}, th AS (SELECT max(reach) - {ORDERS.num_tables} AS threshold FROM (SELECT reach FROM r ORDER BY reach
+LIMIT (SELECT count(*) FROM train WHERE label = 1)))
+SELECT id, label, {', '.join(f'{O.rounded(s)} AS {s}' for s in SCORES)},
+       CASE WHEN score1 >= -threshold THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM scored, th"""
 
 
 @query
 def spark_auroc(spark, folder):
+    """Spark's own AUROC next to ours."""
     table = staged_points(V.events(spark, folder))
     counts = B.stage_counts(table.df, EVENTS)
     scored = stage(R.count_scores(table.df, EVENTS, counts, table.rows, carry=["label"]), "scored").df

@@ -175,6 +175,13 @@ def test_edge_cases(spark):
             BucketCountDetector(**FIXED).fit(bad)
 
 
+@pytest.mark.parametrize("kind", [BucketCountDetector, ReachabilityDetector])
+def test_repeated_ids_are_refused(points, kind):
+    twice = points.unionByName(points.filter("id = 3"))
+    with pytest.raises(ValueError, match="unique"):
+        kind(**FIXED).fit(twice)
+
+
 def test_planted_outliers_are_found(spark):
     rng = np.random.default_rng(9)
     bulk = [(0.0, x) for x in rng.standard_normal((5000, 8)).tolist()]
