@@ -17,7 +17,7 @@ from bucketscore.operators.encoding import category_dictionary, one_hot
 from bucketscore.operators.evaluate import auroc, confusion
 from bucketscore.operators.lsh import HashFamily, hash_points
 from bucketscore.operators.sampling import class_counts, rebalance, sample, split, with_fold
-from bucketscore.operators.scaling import feature_stats, fit_scaling, point_facts
+from bucketscore.operators.scaling import as_array, as_vector, feature_stats, fit_scaling, point_facts
 from bucketscore.plans.detectors import (
     BucketCountDetector,
     DualResolutionDetector,
@@ -25,7 +25,7 @@ from bucketscore.plans.detectors import (
     ReachabilityModel,
     dual_scores,
 )
-from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_search, grid_summary, run_experiment
+from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_report, grid_search, grid_summary, run_experiment
 from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
 from bucketscore.streaming.scoring import score_stream
@@ -187,6 +187,17 @@ SELECT 0 AS pos, seg::INTEGER AS c FROM cust UNION SELECT 1, c_nationkey::INTEGE
 SELECT pos, string_agg(c::VARCHAR, ',' ORDER BY c) AS cats FROM flat GROUP BY pos"""
 
 
+@query
+def vector_features(spark, folder):
+    """Arrays to Spark ML vectors and back."""
+    return as_array(as_vector(V.events(spark, folder))).select("id", *cells(3))
+
+
+@oracle
+def vector_features_sql():
+    return f"WITH {O.raw('events')} SELECT id, {', '.join(f'{O.rounded(f"f{i}")} AS f{i}' for i in range(3))} FROM events_raw"
+
+
 @query
 def class_counts_views(spark, folder):
     parts = []
@@ -997,6 +1008,34 @@ SELECT w, {O.rounded('avg(size)')} AS mean_size, {O.rounded('avg(share)')} AS re
 FROM m GROUP BY w"""
 
 
+REPORT = ("buckets", "multi_buckets", "mean_size", "relative_size", "relative_std")
+
+
+@query
+def grid_report_orders(spark, folder):
+    table = staged_orders(spark, folder, 9)
+    found = grid_report(table.df, ORDERS_GRID, GRID_WIDTHS, 5, SEED, dataset="orders")
+    areas = [f"{kind}_auroc{e}" for kind in ("mean", "std") for e in range(1, 5)]
+    return found.select("dataset", "key_length", "num_tables", "w", *[r6(F.col(c), c) for c in (*areas, *REPORT)])
+
+
+@oracle
+def grid_report_orders_sql():
+    areas = ", ".join(
+        f"{O.rounded(f'{kind}(area) FILTER (estimator = {e})')} AS {name}_auroc{e}"
+        for kind, name in (("avg", "mean"), ("stddev_pop", "std"))
+        for e in range(1, 5)
+    )
+    return f"""WITH {grid_sql()}, total AS (SELECT fold, count(*) AS rows FROM f, range(5) AS r(fold) WHERE kept AND own <> fold GROUP BY fold),
+m AS (SELECT w, fold, count(*) AS buckets, count(*) FILTER (n > 1) AS multi_buckets, avg(n) FILTER (n > 1) AS mean_size,
+             avg(n) FILTER (n > 1) / any_value(rows) AS relative_size, stddev_pop(n) FILTER (n > 1) / any_value(rows) AS relative_std
+      FROM b JOIN total USING (fold) GROUP BY w, fold),
+z AS (SELECT w, {', '.join(f'{O.rounded(f"avg({c})")} AS {c}' for c in REPORT)} FROM m GROUP BY w),
+q AS (SELECT w, {areas} FROM area GROUP BY w)
+SELECT 'orders' AS dataset, {ORDERS_GRID.key_length}::INTEGER AS key_length, {ORDERS_GRID.num_tables}::INTEGER AS num_tables,
+       q.*, {', '.join(REPORT)} FROM q JOIN z USING (w)"""
+
+
 @query
 def experiment_orders(spark, folder):
     """Standardise on the training part, split, fit, evaluate."""
