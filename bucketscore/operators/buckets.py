@@ -71,7 +71,8 @@ def join_buckets(
     buckets are split off: at most ``share`` buckets per hash table can hold more than
     ``n_points / share`` of the points each, so a broadcast of those is bounded whatever the data
     looks like, and their many points skip the shuffle. Only points of the remaining, small
-    buckets are shuffled, so no join key is hot.
+    buckets are shuffled, so no join key is hot. Points to score may crowd where the training points
+    did not; the adaptive skew join splits such a key, since the table is always the build side.
     """
     hashed = hash_points(points, family, features, keep)
     if _fits(table, array_length):

@@ -116,6 +116,38 @@ def test_plan_avoids_shuffling_rows_of_broadcast_tables(points, spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("build_bytes", [64 << 20, 0])
+def test_hot_keys_of_scored_rows_are_split(spark, monkeypatch, build_bytes):
+    """Two thirds of the rows to score are copies that no training bucket is crowded with."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(buckets_module, "CROWDED_BYTES", 64 << 10)
+    monkeypatch.setattr(buckets_module, "HASH_BUILD_BYTES", build_bytes)
+    family = HashFamily(3, 3, 4, (0.2,), seed=3)
+    random = [F.array(*[F.randn(s + i) for i in range(3)]) for s in (1, 4)]
+    train = stage(spark.range(0, 50000, 1, 4).select("id", random[0].alias("features")), "train")
+    copy = F.array(F.lit(0.31), F.lit(0.5), F.lit(-0.2))
+    rows = spark.range(0, 150000, 1, 4).select("id", F.when(F.col("id") % 3 != 0, copy).otherwise(random[1]).alias("features"))
+    test = stage(rows, "test")
+    counts = B.stage_counts(train.df, family)
+    plain = {r.id: r.score for r in R.count_scores(test.df, family, counts, train.rows).collect()}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    scored = R.count_scores(test.df, family, counts, train.rows)
+    got = {r.id: r.score for r in scored.collect()}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    for key, value in old.items():
+        spark.conf.set(key, value)
+    assert got == plain and len(got) == 150000
+    assert "skew=true" in plan
+
+
 def test_invariants(points):
     counts = B.stage_counts(points, FAMILY)
     table = R.reach_estimators(points, FAMILY, counts, 300)
