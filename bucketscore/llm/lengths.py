@@ -17,7 +17,7 @@ from bucketscore.llm.rows import need
 from bucketscore.llm.tokens import default_vocabulary, encoder
 
 #: Lengths that one group of the suffix sums spans.
-SPAN = 4096
+SPAN = 512
 
 
 def token_lengths(

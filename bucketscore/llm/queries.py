@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bucketscore.llm.rows import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +34,31 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from bucketscore.llm.lengths import length_histogram, limit_table, token_lengths
 
     return limit_table(length_histogram(token_lengths(table(spark, folder, "documents"))))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import toxicity
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.filter(remainder(F.col("doc_id"), 3) != 1))
+    return judged(model.score(docs, "doc_id"), 3, 1, 0.7)
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import ranking
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = ranking.fit(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0), threshold=0.3)
+    return judged(model.score(docs, "doc_id"), 5, 0, 0.3)
+
+
+def judged(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    """Scores with the fold of each document and the decision at ``threshold``."""
+    return scored.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )

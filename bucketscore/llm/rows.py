@@ -57,3 +57,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 def remainder(doc_id: Column, by: int) -> Column:
     """``crc32`` of the id as text, modulo ``by``; null for a null id."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % by
+
+
+def labelled_sample(labels: DataFrame, label: str, max_rows: int, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, label)`` of at most ``max_rows`` labelled documents, the first by a digest of the id.
+
+    Rows with a null id or label are left out; of contradicting labels of one document the larger
+    counts. The bound makes the table small enough to broadcast.
+    """
+    need(labels, id_column, label)
+    rows = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic regression without an intercept of its own, by Newton steps."""
+    weights = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -35, 35)))
+        gradient = x.T @ (y - p) - ridge * weights
+        curvature = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(curvature, gradient)
+        weights = weights + step / max(1.0, float(np.abs(step).max()) / 5)
+        if float(np.abs(step).max()) < 1e-9:
+            break
+    return weights
