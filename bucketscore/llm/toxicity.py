@@ -9,9 +9,10 @@ different contexts it has, so that a text copied a thousand times counts once:
 With absolute discount ``D``, class total ``N``, ``T`` stems seen in the class and shared share
 ``s``: ``p(stem) = (max(n - D, 0) + D·T·s) / N``. A stem with fewer than ``rare`` contexts in both
 classes together is left to the shared counts alone, so it favours neither class. A document is
-judged by the log-likelihood ratio of its words over what is usual in that document (the median of
-its words, which takes out language and subject), normalised by its length. A logistic curve fitted
-on other labelled documents turns that into a score.
+judged by how far the log-likelihood ratios of its words rise above what is usual in that document,
+normalised by its length. Usual is the median of its words, which takes out language and subject,
+plus ``MARGIN`` for what chance does to words with few counts. A logistic curve fitted on other
+labelled documents turns that into a score.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ STEM = 4
 #: Slots of the shared backoff counts; stems in one slot share them.
 SLOTS = 1 << 17
 DISCOUNT = 0.75
+#: What a word's log-likelihood ratio may exceed the document's median by without counting.
+MARGIN = 2.0
 #: Words whose ratio a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -102,8 +105,8 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns and ``(mean, scaled, size)``: the ratio over the usual one by length, by
-        the root of the length, and the length's logarithm."""
+        """``keep`` columns, ``excess`` (the ratios above the usual, by the root of the length) and
+        ``size`` (the length's logarithm)."""
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
 
@@ -119,45 +122,45 @@ class ToxicityModel:
 
             look_up = Words().__getitem__
             for batch in batches:
-                rows = np.zeros((batch.num_rows, 3))
+                rows = np.zeros((batch.num_rows, 2))
                 for i, text in enumerate(batch.column(0)):
                     words = words_of(text.as_py())
                     if words:
                         values = np.fromiter(map(look_up, words), np.float64, len(words))
-                        over = float((values - np.median(values)).sum())
-                        rows[i] = over / len(words), over / math.sqrt(len(words) + 1), math.log(len(words) + 1)
-                columns = [*batch.columns[1:], *[pa.array(rows[:, j]) for j in range(3)]]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "mean", "scaled", "size"])
+                        over = float(np.maximum(values - np.median(values) - MARGIN, 0).sum())
+                        rows[i] = over / math.sqrt(len(words)), math.log(len(words) + 1)
+                columns = [*batch.columns[1:], pa.array(rows[:, 0]), pa.array(rows[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "excess", "size"])
 
         chosen = docs.select(F.col("text").cast("string").alias("text"), *keep)
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-        return chosen.mapInArrow(run, f"{types}, mean double, scaled double, size double")
+        return chosen.mapInArrow(run, f"{types}, excess double, size double")
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``keep`` columns and ``score``, 0 to 1, higher where toxic is likelier."""
-        bias, *rest = [F.lit(float(w)) for w in self.weights]
-        logit = bias + sum((w * F.col(c) for w, c in zip(rest, ("mean", "scaled", "size"))), F.lit(0.0))
+        bias, excess, size = [F.lit(float(w)) for w in self.weights]
+        logit = bias + excess * F.col("excess") + size * F.col("size")
         return self.features(docs, *keep).select(*keep, (1 / (1 + F.exp(-logit))).alias("score"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: int = 20) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: int = 10) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     The shared counts cover all documents. The class models and the curve are classifiers fitted on
-    ``max_documents`` labelled documents at most: two thirds of them for the counts, a third for the
-    curve. Null and empty texts, nulls in ``labels`` and other columns are harmless. With no
+    ``max_documents`` labelled documents at most: three quarters of them for the counts, a quarter for
+    the curve. Null and empty texts, nulls in ``labels`` and other columns are harmless. With no
     labelled document of a class, the score is 1 where all are toxic, else 0.
     """
     need(docs, "doc_id", "text")
     sample = labelled_sample(labels, "toxic", max_documents)
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(3))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4))
     sample = sample.withColumn("part", part)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     counted = class_counts(chosen.filter("part > 0")).toPandas()
     totals = counted.groupby("label")["n"].agg(["sum", "count"])
     if not {0, 1} <= set(totals.index):
-        return ToxicityModel({}, (40.0 if set(totals.index) == {1} else -40.0, 0.0, 0.0, 0.0))
+        return ToxicityModel({}, (40.0 if set(totals.index) == {1} else -40.0, 0.0, 0.0))
     shared = shared_counts(docs)
     everything = float(shared.sum()) + SLOTS
     table = counted.pivot(index="stem", columns="label", values="n").fillna(0)
@@ -171,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
             logs.append(math.log((max(n - DISCOUNT, 0) + DISCOUNT * types * backoff) / total))
         ratios[stem] = logs[1] - logs[0]
 
-    model = ToxicityModel(ratios, (0.0, 0.0, 0.0, 0.0))
+    model = ToxicityModel(ratios, (0.0, 0.0, 0.0))
     rest = model.features(chosen.filter("part = 0"), "label").toPandas()
-    x, y = rest[["mean", "scaled", "size"]].to_numpy(), rest["label"].to_numpy(dtype=float)
+    x, y = rest[["excess", "size"]].to_numpy(), rest["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         share = float(totals.loc[1, "sum"] / totals["sum"].sum())
-        return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0, 1.0, 0.0))
+        return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0, 0.0))
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y)
+    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=1e-2)
     slopes = weights[1:] / scale
     return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)))
