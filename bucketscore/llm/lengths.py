@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bucketscore.llm.rows import need
 from bucketscore.llm.tokens import default_vocabulary, encoder
+from bucketscore.staging import stage
 
 #: Lengths that one group of the suffix sums spans.
 SPAN = 512
@@ -48,8 +49,10 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     ``(n_tokens, docs, docs_at_least, tokens_at_least, docs_total, tokens_total, kept_tokens)``:
     documents and tokens of that length or more, all documents and tokens, and the tokens kept when
     every text is cut at that limit. Between two lengths that occur, ``kept_tokens`` is linear. An
-    empty table gives no rows. Sums are decimals, so they cannot overflow.
+    empty table gives no rows. Sums are decimals, so they cannot overflow. The histogram is written
+    to the shared folder, since it is read twice and the encoding should run once.
     """
+    histogram = stage(histogram, "lengths").df
     wide = "decimal(38,0)"
     rows = histogram.select(
         "n_tokens",
