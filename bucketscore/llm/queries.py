@@ -62,3 +62,10 @@ def judged(scored: DataFrame, folds: int, held_out: int, threshold: float) -> Da
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import neardup
+
+    return neardup.components(table(spark, folder, "documents"))

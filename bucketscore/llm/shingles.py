@@ -95,10 +95,10 @@ def shingles(words: Words) -> list[np.ndarray]:
         if n >= WIDTH:
             out.append(np.unique(rolling[start : stop - WIDTH + 1]))
         elif n:
-            total = np.uint64(n)
+            total = np.array([n], np.uint64)
             for k in range(n):
-                total = mix(np.array([total * _BASE + h[start + k]], np.uint64))[0]
-            out.append(np.array([total], np.uint64))
+                total = mix(total * _BASE + h[start + k])
+            out.append(total)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
