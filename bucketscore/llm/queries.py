@@ -69,3 +69,14 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from bucketscore.llm import neardup
 
     return neardup.components(table(spark, folder, "documents"))
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import langid
+
+    docs = table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.filter(~held_out))
+    scored = model.predict(docs, "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
