@@ -147,3 +147,22 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its verdict, and the benchmark item it leaks most of."""
+    from bucketscore.llm.decontaminate import contaminated
+
+    docs = table(spark, folder, "documents")
+    found = contaminated(docs, table(spark, folder, "benchmark"))
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    return rows.select(
+        "doc_id",
+        F.col("item_id").isNotNull().alias("contaminated"),
+        "item_id",
+        F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "hits",
+        "n_windows",
+        "changed_slots",
+    )
