@@ -166,3 +166,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "n_windows",
         "changed_slots",
     )
+
+
+@query
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm.syncmers import edits
+
+    return edits(table(spark, folder, "documents"))
