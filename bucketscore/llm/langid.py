@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.llm.rows import need
+from bucketscore.llm.rows import need, text_and
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -99,12 +99,12 @@ class LanguageModel:
                     mean = (total - total[best]) / len(words)
                     names.append(known.languages[best])
                     shares[i] = 1 / np.exp(mean).sum()
-                columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(shares)]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+                columns = [batch.column(1), pa.array(names, pa.string()), pa.array(shares)]
+                yield pa.RecordBatch.from_arrays(columns, ["_keep", "lang_pred", "score"])
 
-        chosen = docs.select(F.col("text").cast("string").alias("text"), *keep)
-        types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[1:])
-        return chosen.mapInArrow(run, f"{types}lang_pred string, score double")
+        chosen, kind = text_and(docs, keep)
+        predicted = chosen.mapInArrow(run, f"{kind}, lang_pred string, score double")
+        return predicted.select("_keep.*", "lang_pred", "score")
 
 
 def _counts(sample: DataFrame) -> DataFrame:

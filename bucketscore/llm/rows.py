@@ -83,3 +83,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
         if float(np.abs(step).max()) < 1e-9:
             break
     return weights
+
+
+def text_and(docs: DataFrame, keep: tuple[str, ...], text_column: str = "text") -> tuple[DataFrame, str]:
+    """The text and one struct ``_keep`` of the columns to carry, and the struct's type.
+
+    As a struct, carried columns pass through Python untouched and cannot clash with new names.
+    """
+    need(docs, text_column, *keep)
+    if not keep:
+        raise ValueError("name at least one column to keep")
+    chosen = docs.select(F.col(text_column).cast("string").alias("_text"), F.struct(*keep).alias("_keep"))
+    return chosen, f"_keep {chosen.schema['_keep'].dataType.simpleString()}"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.llm.rows import fit_logistic, labelled_sample, need
+from bucketscore.llm.rows import fit_logistic, labelled_sample, need, text_and
 
 WORD = re.compile(r"[^\W_]+")
 #: Letters of a stem.
@@ -105,7 +105,7 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns, ``excess`` (the ratios above the usual, by the root of the length) and
+        """``_keep`` (a struct of the ``keep`` columns), ``excess`` (the ratios above the usual, by the root of the length) and
         ``size`` (the length's logarithm)."""
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
@@ -129,18 +129,17 @@ class ToxicityModel:
                         values = np.fromiter(map(look_up, words), np.float64, len(words))
                         over = float(np.maximum(values - np.median(values) - MARGIN, 0).sum())
                         rows[i] = over / math.sqrt(len(words)), math.log(len(words) + 1)
-                columns = [*batch.columns[1:], pa.array(rows[:, 0]), pa.array(rows[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "excess", "size"])
+                columns = [batch.column(1), pa.array(rows[:, 0]), pa.array(rows[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["_keep", "excess", "size"])
 
-        chosen = docs.select(F.col("text").cast("string").alias("text"), *keep)
-        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-        return chosen.mapInArrow(run, f"{types}, excess double, size double")
+        chosen, kind = text_and(docs, keep)
+        return chosen.mapInArrow(run, f"{kind}, excess double, size double")
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``keep`` columns and ``score``, 0 to 1, higher where toxic is likelier."""
         bias, excess, size = [F.lit(float(w)) for w in self.weights]
         logit = bias + excess * F.col("excess") + size * F.col("size")
-        return self.features(docs, *keep).select(*keep, (1 / (1 + F.exp(-logit))).alias("score"))
+        return self.features(docs, *keep).select("_keep.*", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: int = 10) -> ToxicityModel:
@@ -175,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
         ratios[stem] = logs[1] - logs[0]
 
     model = ToxicityModel(ratios, (0.0, 0.0, 0.0))
-    rest = model.features(chosen.filter("part = 0"), "label").toPandas()
+    rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess", "size").toPandas()
     x, y = rest[["excess", "size"]].to_numpy(), rest["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         share = float(totals.loc[1, "sum"] / totals["sum"].sum())
