@@ -9,19 +9,19 @@
    shared lists than ``MATCHES`` drop out.
 3. Members of a list are first compared with one member of it, its hub. That is linear, and unites
    groups of near copies whatever their size. What is left are lists with members of several
-   components: their members of different components meet in pairs, in long lists block by block
-   within tasks, so that only pairs above the match threshold are ever written.
+   components. Short ones meet in pairs. Members of long ones meet only where they share one of
+   their rarest shingles, which every link does, so the pairs do not grow with the group's square.
 4. Pairs that agree in ``MATCHES`` coordinates are confirmed on the full shingle sets of the whole
    texts. Components of the confirmed links are the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bucketscore.llm.components import connected_components
@@ -35,8 +35,6 @@ MATCHES = 23
 SIMILARITY = 75
 #: Members a posting list may have for its pairs to be made by a join.
 SHORT_LIST = 32
-#: Members of a block of a long list.
-BLOCK = 256
 
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -81,15 +79,24 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def posting_lists(vertices: DataFrame) -> DataFrame:
-    """``(key, rep, members)``: the lists each vertex has to look through."""
-    postings = vertices.select("rep", F.posexplode("signature").alias("pos", "value")).select(
-        "rep", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(1 << 31)).alias("key")
-    )
+    """``(key, rep, members)``: the lists of coordinates each vertex has to look through."""
+    postings = vertices.select("rep", F.posexplode("signature").alias("pos", "value"))
+    key = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(1 << 31)
+    postings = postings.select("rep", key.alias("key"), F.lit(COORDINATES).cast("bigint").alias("n"))
+    return shortest_lists(postings, "n", lambda n: n - (MATCHES - 1)).select("key", "rep", "members")
+
+
+def shortest_lists(postings: DataFrame, total: str, needed: Callable[[Column], Column]) -> DataFrame:
+    """``(rep, n, key, members)``: of the ``total`` lists of each ``rep``, the ``needed`` shortest.
+
+    Lists with one member come first and are not returned, so a ``rep`` with at least that many of
+    them has no rows.
+    """
     crowded = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    lists = postings.join(crowded, "key").groupBy("rep")
+    lists = postings.join(crowded, "key").groupBy("rep", F.col(total).alias("n"))
     lists = lists.agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("lists"))
-    needed = F.slice("lists", 1, F.size("lists") - (MATCHES - 1))
-    return lists.filter(F.size("lists") >= MATCHES).select("rep", F.inline(needed)).select("key", "rep", "members")
+    left = (needed(F.col("n")) - (F.col("n") - F.size("lists"))).cast("int")
+    return lists.filter(left > 0).select("rep", "n", F.inline(F.slice("lists", 1, F.greatest(left, F.lit(1)))))
 
 
 def confirm(pairs: DataFrame, vertices: DataFrame, texts: DataFrame) -> DataFrame:
@@ -121,41 +128,34 @@ def confirm(pairs: DataFrame, vertices: DataFrame, texts: DataFrame) -> DataFram
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def block_pairs(lists: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs of different components in long lists that agree in enough coordinates.
+def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components among ``members(rep, component)`` that can be similar.
 
-    A list is dealt into blocks and every two blocks meet in one task, so a task never holds more
-    than two blocks, and what does not agree is not written. A pair that several lists have is
-    compared in the first of them.
+    For members of long lists, whose pairs would grow with the square of a group. Sets at the wanted
+    similarity share one of the rarest quarter of their shingles (and one more), so only members
+    that share such a shingle meet. A near copy with more than a quarter of its own words meets
+    nobody, although it agrees with the whole group in many coordinates.
     """
-    keys = lists.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = lists.join(keys, "rep").join(vertices.select("rep", "signature"), "rep")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(
-        "key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "component", "keys", "signature"
-    )
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.num_rows
-        signs = np.array(group["signature"].to_pylist(), dtype=np.int32).reshape(rows, COORDINATES)
-        rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
-        block, keys = group["block"].to_numpy(), group["keys"].to_pylist()
-        low, high, key = group["low"][0].as_py(), group["high"][0].as_py(), group["key"][0].as_py()
-        found = []
-        for i in np.flatnonzero(block == low):
-            near = (signs == signs[i]).sum(axis=1) >= MATCHES
-            near &= (block == high) & (component != component[i])
-            if low == high:
-                near &= rep > rep[i]
-            for j in np.flatnonzero(near):
-                if min(set(keys[i]) & set(keys[j])) == key:
-                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
+    rows = members.join(texts, "rep").select("rep", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            found = list(shingle_sets(batch.column(1)))
+            sizes = [len(f) for f in found]
+            n = np.repeat(np.array(sizes, dtype=np.int64), sizes)
+            key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(reps, sizes)), pa.array(key), pa.array(n)], ["rep", "key", "n"]
+            )
+
+    postings = rows.mapInArrow(run, "rep bigint, key bigint, n bigint").distinct()
+    shared = shortest_lists(postings, "n", lambda n: F.floor(n * (100 - SIMILARITY) / 100) + 1)
+    shared = shared.select("key", "rep", "n").join(members, "rep")
+    one = shared.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+    other = shared.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    sizes_fit = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    return one.join(other, "key").filter(sizes_fit & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).select("a", "b").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def components(docs: DataFrame) -> DataFrame:
     one = short.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
     other = short.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
     pairs = one.join(other, "key").filter("a < b and component_a <> component_b").select("a", "b").distinct()
-    crowded = block_pairs(open_lists.filter(F.col("members") > SHORT_LIST), vertices)
+    crowded = rare_pairs(open_lists.filter(F.col("members") > SHORT_LIST).select("rep", "component").distinct(), texts)
     links = keep(links.union(confirm(pairs.union(crowded).distinct(), vertices, texts)), "links").df
     united = keep(connected_components(links), "united").df
 

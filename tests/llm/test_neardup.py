@@ -59,9 +59,8 @@ def test_against_all_pairs(spark):
     compare(spark, corpus())
 
 
-def test_long_lists_meet_block_by_block(spark, monkeypatch):
+def test_long_lists_meet_by_rare_shingles(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SHORT_LIST", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
     base = prose(5, 80, 100_000)
     rows = [(i, edited(base, 0.05, i)) for i in range(40)]
     compare(spark, rows)
