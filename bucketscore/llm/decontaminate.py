@@ -54,7 +54,7 @@ def template(words: Column) -> Column:
     follows a word which is lower-case, so the first word of a sentence counts as a name only
     inside a line of text; what matters is that the same words give the same template.
     """
-    previous = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    previous = F.slice(F.concat(F.array(F.lit("")), words), 1, F.size(words))
     units = F.array(*map(F.lit, UNITS))
 
     def placeholder(word: Column, before: Column) -> Column:
@@ -62,7 +62,7 @@ def template(words: Column) -> Column:
         first = F.substring(word, 1, 1)
         low = F.lower(word)
         odd = first != F.substring(low, 1, 1)
-        after_number = F.substring(before, -1, 1).between("0", "9") & before.rlike(_NUMBER)
+        after_number = F.substring(before, 1, 1).rlike(r"[\d$€£+-]") & before.rlike(_NUMBER)
         return (
             F.when(first.rlike(r"[\d$€£+-]") & word.rlike(_NUMBER), F.lit(NUMBER))
             .when(first.rlike(r"[\d$€£+-]") & word.rlike(_GLUED), F.lit(NUMBER + UNIT))

@@ -38,6 +38,8 @@ SLOTS = 1 << 17
 DISCOUNT = 0.75
 #: What a word's log-likelihood ratio may exceed the document's median by without counting.
 MARGIN = 2.0
+#: How far the median may lie from 0 either way, so that a text of toxic words alone is not usual.
+USUAL = 1.0
 #: Words whose ratio a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -105,8 +107,8 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``_keep`` (a struct of the ``keep`` columns), ``excess`` (the ratios above the usual, by the root of the length) and
-        ``size`` (the length's logarithm)."""
+        """``_keep``, a struct of the ``keep`` columns, and ``excess``: the sum of what ratios have
+        above the usual, divided by the root of the length; 0 without words."""
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
 
@@ -122,23 +124,23 @@ class ToxicityModel:
 
             look_up = Words().__getitem__
             for batch in batches:
-                rows = np.zeros((batch.num_rows, 2))
+                rows = np.zeros(batch.num_rows)
                 for i, text in enumerate(batch.column(0)):
                     words = words_of(text.as_py())
                     if words:
                         values = np.fromiter(map(look_up, words), np.float64, len(words))
-                        over = float(np.maximum(values - np.median(values) - MARGIN, 0).sum())
-                        rows[i] = over / math.sqrt(len(words)), math.log(len(words) + 1)
-                columns = [batch.column(1), pa.array(rows[:, 0]), pa.array(rows[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, ["_keep", "excess", "size"])
+                        usual = min(max(float(np.median(values)), -USUAL), USUAL)
+                        over = float(np.maximum(values - usual - MARGIN, 0).sum())
+                        rows[i] = over / math.sqrt(len(words))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows)], ["_keep", "excess"])
 
         chosen, kind = text_and(docs, keep)
-        return chosen.mapInArrow(run, f"{kind}, excess double, size double")
+        return chosen.mapInArrow(run, f"{kind}, excess double")
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``keep`` columns and ``score``, 0 to 1, higher where toxic is likelier."""
-        bias, excess, size = [F.lit(float(w)) for w in self.weights]
-        logit = bias + excess * F.col("excess") + size * F.col("size")
+        bias, slope = [F.lit(float(w)) for w in self.weights]
+        logit = bias + slope * F.col("excess")
         return self.features(docs, *keep).select("_keep.*", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
@@ -146,20 +148,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     The shared counts cover all documents. The class models and the curve are classifiers fitted on
-    ``max_documents`` labelled documents at most: three quarters of them for the counts, a quarter for
+    ``max_documents`` labelled documents at most: seven eighths of them for the counts, the rest for
     the curve. Null and empty texts, nulls in ``labels`` and other columns are harmless. With no
     labelled document of a class, the score is 1 where all are toxic, else 0.
     """
     need(docs, "doc_id", "text")
     sample = labelled_sample(labels, "toxic", max_documents)
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8))
     sample = sample.withColumn("part", part)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     counted = class_counts(chosen.filter("part > 0")).toPandas()
     totals = counted.groupby("label")["n"].agg(["sum", "count"])
     if not {0, 1} <= set(totals.index):
-        return ToxicityModel({}, (40.0 if set(totals.index) == {1} else -40.0, 0.0, 0.0))
+        return ToxicityModel({}, (40.0 if set(totals.index) == {1} else -40.0, 0.0))
     shared = shared_counts(docs)
     everything = float(shared.sum()) + SLOTS
     table = counted.pivot(index="stem", columns="label", values="n").fillna(0)
@@ -173,13 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
             logs.append(math.log((max(n - DISCOUNT, 0) + DISCOUNT * types * backoff) / total))
         ratios[stem] = logs[1] - logs[0]
 
-    model = ToxicityModel(ratios, (0.0, 0.0, 0.0))
-    rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess", "size").toPandas()
-    x, y = rest[["excess", "size"]].to_numpy(), rest["label"].to_numpy(dtype=float)
+    model = ToxicityModel(ratios, (0.0, 0.0))
+    rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess").toPandas()
+    x, y = rest[["excess"]].to_numpy(), rest["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         share = float(totals.loc[1, "sum"] / totals["sum"].sum())
-        return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0, 0.0))
+        return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0))
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=1e-2)
+    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=0.1)
     slopes = weights[1:] / scale
     return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)))

@@ -84,7 +84,8 @@ def absolute(link: Column, page: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(a, b)``: hashes of the addresses of a page and of a redirect target or canonical link.
+    """``(a, b, target)``: hashes of the addresses of a page and of a redirect target or canonical
+    link, and that link as an absolute URL.
 
     Redirects are ``<meta http-equiv="refresh" content="…;url=…">``, canonical links
     ``<link rel="canonical" href="…">``, both anywhere in the page, in any case and quoting.
@@ -100,9 +101,9 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     link = F.regexp_replace(F.when(F.col("tag").rlike("(?is)^<link"), href).otherwise(target), "&amp;", "&")
     # Each name below stands for one evaluation.
     whole = F.transform(F.array(link), lambda x: F.when(x != "", absolute(x, F.col("page"))))
-    other = F.transform(whole, address)
-    ends = rows.select(address(F.col("page")).alias("x"), F.explode(other).alias("y"))
-    return ends.filter("x is not null and y is not null").select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
+    both = F.transform(whole, lambda x: F.struct(x.alias("target"), address(x).alias("y")))
+    ends = rows.select(address(F.col("page")).alias("x"), F.inline(both)).filter("x is not null and y is not null")
+    return ends.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"), "target")
 
 
 def judge(
@@ -111,18 +112,24 @@ def judge(
     """``keep`` columns, ``host``, ``path``, ``rule`` and ``verdict``, one row per row of ``pages``.
 
     ``edges(a, b)``, by default ``alias_edges(pages)``, link hashed addresses; all pages of a
-    component share its verdict unless a rule fits them. Null URLs and those without ``://`` have
+    component share its verdict unless a rule fits them. With a column ``target``, rules also judge
+    the URLs that no page has. Null URLs and those without ``://`` have
     empty host and path, no aliases, and are allowed. Repeated pages are each returned. The rules
     are a short list in the plan. Other columns are not read.
     """
     need(pages, url, *keep)
     edges = alias_edges(pages, url, html) if edges is None else edges
-    united = stage(connected_components(edges), "aliases").df
+    links = stage(edges, "links").df
+    united = stage(connected_components(links), "aliases").df
     rows = pages.select(*keep, F.col(url).alias("_url"))
     rows = rows.select(*keep, host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path"), F.xxhash64(address(F.col("_url"))).alias("_node"))
     rows = rows.withColumn("_match", matching_rule(F.col("host"), F.col("path"), rules))
     # Verdicts of whole components: one row each, merged on the map side.
-    ruled = rows.filter("_match is not null").groupBy(F.col("_node").alias("node"), F.col("_match.verdict").alias("verdict")).agg(F.lit(1).alias("x"))
+    ruled = rows.filter("_match is not null").select(F.col("_node").alias("node"), F.col("_match.verdict").alias("verdict"))
+    if "target" in links.columns:
+        match = matching_rule(host(F.col("target")), path(F.col("target")), rules)
+        ruled = ruled.union(links.filter(match.isNotNull()).select("b", match["verdict"]))
+    ruled = ruled.distinct()
     spread = united.join(ruled, "node").groupBy("component").agg(
         F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked")
     )
