@@ -148,13 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     The shared counts cover all documents. The class models and the curve are classifiers fitted on
-    ``max_documents`` labelled documents at most: seven eighths of them for the counts, the rest for
+    ``max_documents`` labelled documents at most: three quarters of them for the counts, a quarter for
     the curve. Null and empty texts, nulls in ``labels`` and other columns are harmless. With no
     labelled document of a class, the score is 1 where all are toxic, else 0.
     """
     need(docs, "doc_id", "text")
     sample = labelled_sample(labels, "toxic", max_documents)
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(4))
     sample = sample.withColumn("part", part)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -182,6 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
         share = float(totals.loc[1, "sum"] / totals["sum"].sum())
         return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0))
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=0.1)
+    weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=1e-3)
     slopes = weights[1:] / scale
     return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)))
