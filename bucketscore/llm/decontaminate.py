@@ -18,7 +18,7 @@ from bucketscore.staging import broadcast_limit, drop, stage
 
 #: Template words of a window.
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: Words of a benchmark window that must not be placeholders, else it is not looked for.
 LITERAL = 4
 #: Share of an item's windows, in hundredths, that a document must have to leak it.
 COVERED = 50
@@ -35,15 +35,20 @@ UNITS = (
     "year", "degrees", "degree", "inches", "inch", "feet", "foot", "pounds", "pound", "ounces", "ounce",
 )
 
+# What parts words: characters of no word, with the inner punctuation next to them.
+_BETWEEN = r"[.,:/'’]*[^\p{L}\p{N}$€£%+.,:/'’-]+[.,:/'’]*"
 NUMBER, NAME, UNIT = "<n>", "<name>", "<unit>"
 _NUMBER = r"^[$€£]?[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?$"
 _GLUED = r"^[$€£]?[+-]?\d+(?:[.,]\d+)*(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")$"
 
 
 def tokens(text: Column) -> Column:
-    """Words without the punctuation around them, as they are written; empty ones are left out."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![\w])[^\w\s$€£%+-]+|[^\w\s%]+(?![\w])", " ")
-    return F.filter(F.split(F.trim(F.regexp_replace(flat, r"\s+", " ")), " "), lambda w: w != "")
+    """Words without the punctuation around them, as they are written.
+
+    A word is made of letters, digits and ``$€£%+-.,:/'``; of these, ``.,:/'`` only inside.
+    """
+    around = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    return F.array_remove(F.split(around, _BETWEEN), "")
 
 
 def template(words: Column) -> Column:
@@ -57,33 +62,27 @@ def template(words: Column) -> Column:
     previous = F.slice(F.concat(F.array(F.lit("")), words), 1, F.size(words))
     units = F.array(*map(F.lit, UNITS))
 
-    def placeholder(word: Column, before: Column) -> Column:
-        # The first character decides for most words, before any pattern is tried.
+    def numeric(word: Column) -> Column:
+        # Digits and the signs that a number may begin with; no pattern is tried on other words.
         first = F.substring(word, 1, 1)
+        return (first < ":") | first.isin("€", "£")
+
+    def placeholder(word: Column, before: Column) -> Column:
         low = F.lower(word)
-        odd = first != F.substring(low, 1, 1)
-        after_number = F.substring(before, 1, 1).rlike(r"[\d$€£+-]") & before.rlike(_NUMBER)
-        return (
-            F.when(first.rlike(r"[\d$€£+-]") & word.rlike(_NUMBER), F.lit(NUMBER))
-            .when(first.rlike(r"[\d$€£+-]") & word.rlike(_GLUED), F.lit(NUMBER + UNIT))
-            .when(after_number & F.array_contains(units, low), F.lit(UNIT))
-            .when(odd & (F.length(word) > 2) & (F.lower(before) == before) & (before != ""), F.lit(NAME))
-            .otherwise(low)
-        )
+        number = F.when(word.rlike(_NUMBER), F.lit(NUMBER)).when(word.rlike(_GLUED), F.lit(NUMBER + UNIT)).otherwise(low)
+        unit = numeric(before) & before.rlike(_NUMBER) & F.array_contains(units, low)
+        capital = (low != word) & (F.substring(low, 1, 1) != F.substring(word, 1, 1))
+        name = capital & (F.length(word) > 2) & (before != "") & (F.lower(before) == before)
+        return F.when(numeric(word), number).when(unit, F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low)
 
     return F.zip_with(words, previous, placeholder)
 
 
 def window_hashes(words: Column) -> Column:
-    """``array<bigint>``: the hash of the template window at each position, null where it has fewer
-    than ``LITERAL`` words of its own."""
-
-    def one(start: Column) -> Column:
-        window = F.slice(words, start, WINDOW)
-        return F.when(F.size(F.filter(window, lambda w: F.substring(w, 1, 1) != "<")) >= LITERAL, F.xxhash64(window))
-
+    """``array<bigint>``: the hash of the template window that starts at each position."""
     last = F.size(words) - (WINDOW - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), one))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda start: F.xxhash64(F.slice(words, start, WINDOW)))
+    return F.when(last > 0, hashes)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -92,10 +91,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("words"))
     rows = rows.select("item_id", "words", template(F.col("words")).alias("template"))
     rows = rows.groupBy("template").agg(F.min(F.struct("item_id", "words")).alias("first"))
-    rows = rows.select("first.item_id", "first.words", window_hashes(F.col("template")).alias("hashes"), "template")
-    rows = rows.withColumn("n_windows", F.size(F.filter("hashes", lambda h: h.isNotNull())))
-    rows = rows.select("item_id", "n_windows", "words", "template", F.posexplode("hashes").alias("pos", "hash"))
-    return rows.filter("hash is not null").select("hash", "item_id", "pos", "n_windows", _slots("words", "template", F.col("pos")).alias("slots"))
+    rows = rows.select("first.item_id", "first.words", "template", F.posexplode(window_hashes(F.col("template"))).alias("pos", "hash"))
+    own = F.filter(F.slice("template", F.col("pos") + 1, WINDOW), lambda w: F.substring(w, 1, 1) != "<")
+    rows = rows.filter(F.size(own) >= LITERAL).select("hash", "item_id", "pos", _slots("words", "template", F.col("pos")).alias("slots"))
+    sizes = rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
+    return rows.join(sizes, "item_id").select("hash", "item_id", "pos", "n_windows", "slots")
 
 
 def _slots(words: str, templates: str, start: Column) -> Column:
@@ -123,7 +123,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "words", template(F.col("words")).alias("template"))
     windows = rows.select("doc_id", "words", "template", F.posexplode(window_hashes(F.col("template"))).alias("at", "hash"))
-    windows = windows.filter("hash is not null")
     slots = _slots("words", "template", F.col("at"))
     if 64 * keys.rows <= max(broadcast_limit(spark), 8 << 20):
         # The benchmark's windows fit a broadcast of a checked size: nothing else of a document moves.
