@@ -7,10 +7,11 @@
    similarity of exactly 0.75), so of a vertex's lists, shortest first, all but the ``MATCHES - 1``
    longest are enough to meet every partner: the long lists are skipped, and vertices with fewer
    shared lists than ``MATCHES`` drop out.
-3. Members of a list are first compared with one member of it, its hub. That is linear, and unites
-   groups of near copies whatever their size. What is left are lists with members of several
-   components. Short ones meet in pairs. Members of long ones meet only where they share one of
-   their rarest shingles, which every link does, so the pairs do not grow with the group's square.
+3. Members of a list are first compared with one member of it, its hub: the one whose lists are the
+   longest, so the text with the fewest words of its own. That is linear, and unites groups of near
+   copies whatever their size. What is left are lists with members of several components. Short ones
+   meet in pairs. Members of long ones meet only where they share one of their rarest shingles, and
+   so early in the order of their shingles that enough others are left to be shared.
 4. Pairs that agree in ``MATCHES`` coordinates are confirmed on the full shingle sets of the whole
    texts. Components of the confirmed links are the result.
 """
@@ -79,24 +80,29 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def posting_lists(vertices: DataFrame) -> DataFrame:
-    """``(key, rep, members)``: the lists of coordinates each vertex has to look through."""
+    """``(key, rep, members, weight)``: the lists of coordinates each vertex has to look through."""
     postings = vertices.select("rep", F.posexplode("signature").alias("pos", "value"))
     key = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(1 << 31)
     postings = postings.select("rep", key.alias("key"), F.lit(COORDINATES).cast("bigint").alias("n"))
-    return shortest_lists(postings, "n", lambda n: n - (MATCHES - 1)).select("key", "rep", "members")
+    return shortest_lists(postings, "n", lambda n: n - (MATCHES - 1)).select("key", "rep", "members", "weight")
 
 
 def shortest_lists(postings: DataFrame, total: str, needed: Callable[[Column], Column]) -> DataFrame:
-    """``(rep, n, key, members)``: of the ``total`` lists of each ``rep``, the ``needed`` shortest.
+    """``(rep, n, key, members, position, weight)``: of the ``total`` lists of each ``rep``, the
+    ``needed`` shortest, each with the number of lists before it.
 
     Lists with one member come first and are not returned, so a ``rep`` with at least that many of
-    them has no rows.
+    them has no rows. ``weight`` is the number of members of all lists of the ``rep`` together.
     """
     crowded = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     lists = postings.join(crowded, "key").groupBy("rep", F.col(total).alias("n"))
     lists = lists.agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("lists"))
-    left = (needed(F.col("n")) - (F.col("n") - F.size("lists"))).cast("int")
-    return lists.filter(left > 0).select("rep", "n", F.inline(F.slice("lists", 1, F.greatest(left, F.lit(1)))))
+    alone = F.col("n") - F.size("lists")
+    left = (needed(F.col("n")) - alone).cast("int")
+    weight = F.aggregate("lists", F.lit(0).cast("bigint"), lambda total, item: total + item["members"])
+    chosen = F.slice("lists", 1, F.greatest(left, F.lit(1)))
+    items = lists.filter(left > 0).select("rep", "n", alone.alias("alone"), weight.alias("weight"), F.posexplode(chosen).alias("i", "item"))
+    return items.select("rep", "n", "item.key", "item.members", (F.col("alone") + F.col("i")).alias("position"), "weight")
 
 
 def confirm(pairs: DataFrame, vertices: DataFrame, texts: DataFrame) -> DataFrame:
@@ -133,8 +139,10 @@ def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     For members of long lists, whose pairs would grow with the square of a group. Sets at the wanted
     similarity share one of the rarest quarter of their shingles (and one more), so only members
-    that share such a shingle meet. A near copy with more than a quarter of its own words meets
-    nobody, although it agrees with the whole group in many coordinates.
+    that share such a shingle meet. The first shingle a link shares, in the order of rarity, leaves
+    ``n - position`` of either set that can be shared; if that is too few for the similarity, the
+    shingle makes no pair. So texts with a passage in common and more than a seventh of words of
+    their own meet nobody, although they agree with a whole group in many coordinates.
     """
     rows = members.join(texts, "rep").select("rep", "text")
 
@@ -151,11 +159,14 @@ def rare_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     postings = rows.mapInArrow(run, "rep bigint, key bigint, n bigint").distinct()
     shared = shortest_lists(postings, "n", lambda n: F.floor(n * (100 - SIMILARITY) / 100) + 1)
-    shared = shared.select("key", "rep", "n").join(members, "rep")
-    one = shared.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-    other = shared.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    rest = (F.col("n") - F.col("position")).alias("rest")
+    shared = shared.select("key", "rep", "n", rest).join(members, "rep")
+    one, other = (shared.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "rest", "component")]) for side in "ab")
     sizes_fit = 100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    return one.join(other, "key").filter(sizes_fit & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).select("a", "b").distinct()
+    # An intersection c of sets of n_a and n_b with 100 c >= SIMILARITY (n_a + n_b - c).
+    enough = (100 + SIMILARITY) * F.least("rest_a", "rest_b") >= SIMILARITY * (F.col("n_a") + F.col("n_b"))
+    meet = sizes_fit & enough & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+    return one.join(other, "key").filter(meet).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -186,7 +197,7 @@ def components(docs: DataFrame) -> DataFrame:
     texts = keep(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts").df
 
     # The hub that a vertex meets in most of its lists.
-    hubs = lists.groupBy("key").agg(F.min("rep").alias("hub"))
+    hubs = lists.groupBy("key").agg(F.min_by("rep", F.struct(-F.col("weight"), "rep")).alias("hub"))
     met = lists.join(hubs, "key").filter("hub <> rep").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = met.groupBy("rep").agg(F.min(F.struct((-F.col("n")).alias("less"), "hub")).alias("best"))
     links = keep(confirm(first.select(F.col("best.hub").alias("a"), F.col("rep").alias("b")), vertices, texts), "links").df
