@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from bucketscore.staging import stage
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
 
 
 def running_totals(
@@ -31,7 +30,7 @@ def running_totals(
     by = list(by)
     staged = stage(df, "ordered")
     table = staged.df
-    ranges = min(MAX_RANGES, math.ceil(staged.rows / rows_per_range))
+    ranges = math.ceil(staged.rows / rows_per_range)
     if ranges <= 1:
         window = Window.partitionBy(*by).orderBy(order) if by else Window.partitionBy(F.lit(0)).orderBy(order)
         window = window.rowsBetween(Window.unboundedPreceding, 0)

@@ -15,10 +15,13 @@ def doubles(values: Sequence[float]) -> Column:
     return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def hash01(id_col: str | Column, seed: int) -> Column:
-    """Uniform number in [0, 1) that depends only on the row id and the seed."""
+def hash01(id_col: str | Column, seed: int, purpose: str) -> Column:
+    """Uniform number in [0, 1) that depends only on the row id, the seed and the purpose.
+
+    Draws for different purposes are independent, also with one seed.
+    """
     col = F.col(id_col) if isinstance(id_col, str) else id_col
-    digest = F.md5(F.concat(col.cast("string"), F.lit(f":{seed}")))
+    digest = F.md5(F.concat(col.cast("string"), F.lit(f":{seed}:{purpose}")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 

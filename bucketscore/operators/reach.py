@@ -65,7 +65,8 @@ def estimators_from_reach(
     hashed = hash_points(rows, family, features, keep=["reach"])
     sums = hashed.groupBy(*family.keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("reach").alias("_reach"),
+        # A decimal: the sum over a crowded bucket of a large table passes 2^63.
+        F.sum(F.col("reach").cast("decimal(20,0)")).cast("double").alias("_reach"),
         F.sum(1.0 / F.col("reach")).alias("_inverse"),
     )
     values = estimator_columns(F.col("n"), F.col("_reach"), F.col("_inverse"))

@@ -43,7 +43,7 @@ def kept_in_training(
     """Predicate of the rebalanced training set: all normal rows, and a share of the anomalies."""
     if counts.keep_probability >= 1.0:
         return F.lit(True)
-    return ~is_anomaly(label, anomaly_value) | (hash01(id_col, seed) < counts.keep_probability)
+    return ~is_anomaly(label, anomaly_value) | (hash01(id_col, seed, "rebalance") < counts.keep_probability)
 
 
 def rebalance(
@@ -54,15 +54,15 @@ def rebalance(
 
 
 def sample(df: DataFrame, fraction: float, id_col: str = "id", seed: int = 7) -> DataFrame:
-    return df.filter(hash01(id_col, seed) < fraction)
+    return df.filter(hash01(id_col, seed, "sample") < fraction)
 
 
 def split(df: DataFrame, train: float = 0.8, id_col: str = "id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Training and test rows; every row is in exactly one of them."""
-    draw = hash01(id_col, seed)
+    draw = hash01(id_col, seed, "split")
     return df.filter(draw < train), df.filter(draw >= train)
 
 
 def with_fold(df: DataFrame, folds: int = 5, id_col: str = "id", seed: int = 7) -> DataFrame:
     """Add ``fold`` in 0..folds-1. Fold ``f`` trains on ``fold <> f`` and tests on ``fold = f``."""
-    return df.withColumn("fold", F.floor(hash01(id_col, seed) * folds).cast("int"))
+    return df.withColumn("fold", F.floor(hash01(id_col, seed, "fold") * folds).cast("int"))

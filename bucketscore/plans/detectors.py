@@ -176,7 +176,7 @@ class _DetectorModel(Model, DetectorParams):
         made = type(self)(self.family, self.buckets, self.thresholds, self.rows)
         return self._copyValues(made, extra)
 
-    def _scores(self, points: DataFrame) -> DataFrame:
+    def _scores(self, points: DataFrame, id_col: str) -> DataFrame:
         raise NotImplementedError
 
     def _decide(self, scored: DataFrame) -> Column:
@@ -187,9 +187,14 @@ class _DetectorModel(Model, DetectorParams):
         return self.family.num_tables if self.getOrDefault("excludeSelf") else 0
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        scores = self._scores(self._points(dataset))
+        # The rows are written with a number of their own: the input runs once, and rows with
+        # a repeated or null id are scored each for itself.
+        numbered = dataset.withColumn("_row", F.monotonically_increasing_id())
+        rows = stage(numbered, "rows").df
+        features = self.getOrDefault("featuresCol")
+        scores = self._scores(as_array(rows.select("_row", features), features), "_row")
         scores = scores.withColumn("prediction", F.when(self._decide(scores), 1.0).otherwise(0.0))
-        return dataset.join(scores, self.getOrDefault("idCol"))
+        return rows.join(scores, "_row").drop("_row")
 
     def summary(self) -> DataFrame:
         """Bucket numbers and sizes of the training rows."""
@@ -214,7 +219,7 @@ class _DetectorModel(Model, DetectorParams):
         return bucket_size_histogram(around, bins)
 
     def release(self) -> None:
-        """Delete the staged bucket table of a model that is no longer used."""
+        """Delete the staged bucket table of a fitted model that is no longer used; saved files stay."""
         drop(self.buckets.df.sparkSession, self.buckets)
 
     def save(self, path: str, mode: str = "error") -> None:
@@ -241,7 +246,7 @@ class _DetectorModel(Model, DetectorParams):
             raise ValueError(f"{path} holds a {facts['class']}")
         shape = dict(facts["family"], widths=tuple(facts["family"]["widths"]))
         family = HashFamily.from_planes_df(spark.read.parquet(f"{path}/planes"), **shape)
-        table = Staged(spark.read.parquet(f"{path}/buckets"), facts["bucket_rows"], f"{path}/buckets")
+        table = Staged(spark.read.parquet(f"{path}/buckets"), facts["bucket_rows"], f"{path}/buckets", owned=False)
         return cls(family, table, facts["thresholds"], facts["rows"], **facts["params"])
 
 
@@ -268,8 +273,8 @@ class BucketCountDetector(_Detector):
 class BucketCountModel(_DetectorModel):
     """Adds ``score`` (minus the summed sizes) and ``prediction``."""
 
-    def _scores(self, points: DataFrame) -> DataFrame:
-        features, id_col, _ = self.names
+    def _scores(self, points: DataFrame, id_col: str) -> DataFrame:
+        features, _, _ = self.names
         values = {"score": -F.col("n")}
         return sum_over_buckets(points, self.family, self.buckets, values, self.rows, id_col, (), features)
 
@@ -322,8 +327,8 @@ class ReachabilityModel(_DetectorModel):
         self._setDefault(predictionScore=SCORES[0])
         self.set_params(**values)
 
-    def _scores(self, points: DataFrame) -> DataFrame:
-        features, id_col, _ = self.names
+    def _scores(self, points: DataFrame, id_col: str) -> DataFrame:
+        features, _, _ = self.names
         return reach_scores(points, self.family, self.buckets, self.rows, id_col, (), features)
 
     def _decide(self, scored: DataFrame) -> Column:
@@ -343,7 +348,7 @@ class DualResolutionDetector(_Detector):
 
     def __init__(self, **values) -> None:
         super().__init__()
-        self._setDefault(smallBucketSize=5, largeBucketSize=100, tuneFraction=0.05)
+        self._setDefault(smallBucketSize=5, largeBucketSize=100)
         self.set_params(**values)
 
     def _widths(self, data: _Training, family: HashFamily) -> tuple[float, float]:
@@ -355,10 +360,8 @@ class DualResolutionDetector(_Detector):
         else:
             small = self._tuned(data, family, get("smallBucketSize") / get("largeBucketSize"))
         if small >= large:
-            if self.isSet("splitWSmall") or self.isSet("splitWLarge"):
-                raise ValueError(f"the small width {small} must be below the large width {large}")
             # The share cannot fall below 2 / rows, so a small table may tune both to one width.
-            small = large / 2
+            raise ValueError(f"the small width {small} must be below the large width {large}; set one")
         return small, large
 
     def _fit(self, dataset: DataFrame) -> DualResolutionModel:
@@ -385,8 +388,8 @@ class DualResolutionModel(_DetectorModel):
     smallBucketSize = DualResolutionDetector.smallBucketSize
     largeBucketSize = DualResolutionDetector.largeBucketSize
 
-    def _scores(self, points: DataFrame) -> DataFrame:
-        features, id_col, _ = self.names
+    def _scores(self, points: DataFrame, id_col: str) -> DataFrame:
+        features, _, _ = self.names
         return dual_scores(points, self.family, self.buckets, self.rows, id_col, features)
 
     def _decide(self, scored: DataFrame) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -24,10 +23,11 @@ HIGH_SHARE = 0.1
 MIN_TOLERANCE = 0.2
 MAX_TOLERANCE = 4.0
 
+# A sweep for reports; the search for a width has no fixed ends.
 CANDIDATES = tuple(2.0**e for e in range(9, -4, -1))
 BATCH = 4
-REFINE_ROUNDS = 6
-MIN_SAMPLE = 1000
+# The search for a width inside a gap stops when its ends are this close to each other.
+PRECISION = 0.01
 
 
 def w_sweep(points: DataFrame, family: HashFamily, widths, n_points: int, features: str = "features") -> DataFrame:
@@ -46,48 +46,63 @@ def tune_w(
     features: str = "features",
     seed: int = 7,
     n_points: int | None = None,
+    precision: float = PRECISION,
 ) -> float:
     """A width whose mean relative size of multi-member buckets lies in ``[low, high]``.
 
-    Powers of two are tried from wide to narrow, a few per job: wide buckets are few and merge
-    before the shuffle, so the costly narrow widths are reached only if needed. The smallest one
-    in range wins. Otherwise the gap that holds the range is narrowed geometrically; if that ends
-    without a hit, the nearest width is taken with a warning.
+    Powers of two are measured, a few per job, and more of them upwards until one is too wide and
+    downwards until one is too narrow, whatever the scale of the features. The smallest one in range
+    wins. Otherwise the gap that holds the range is narrowed geometrically to ``precision``; then
+    the nearest width is taken with a warning. Rows that no width can tell apart, or that even one
+    bucket leaves too small a share, raise an error.
     """
     table = stage(points.select(id_col, features), "tuning") if n_points is None else None
     rows, chosen = (n_points, points) if table is None else (table.rows, table.df)
     if rows == 0:
         raise ValueError("no rows to tune on")
-    if fraction < 1.0 and rows > MIN_SAMPLE:
-        chosen = sample(chosen, max(fraction, min(1.0, 1.2 * MIN_SAMPLE / rows)), id_col, seed)
+    if fraction < 1.0:
+        chosen = sample(chosen, fraction, id_col, seed)
         rows = chosen.count()
+        if rows == 0:
+            raise ValueError(f"a share of {fraction} leaves no rows to tune on")
 
-    def measure(widths) -> dict[float, float]:
-        found = w_sweep(chosen, family, widths, rows, features).select("w", "relative_size").collect()
-        return {r.w: r.relative_size for r in found}
+    shares: dict[float, float] = {}
+    buckets: dict[float, int] = {}
+
+    def measure(widths) -> None:
+        for r in w_sweep(chosen, family, widths, rows, features).select("w", "relative_size", "buckets").collect():
+            shares[r.w], buckets[r.w] = r.relative_size, r.buckets
 
     def miss(share: float) -> float:
         return max(low - share, share - high, 0.0)
 
-    shares: dict[float, float] = {}
-    for start in range(0, len(CANDIDATES), BATCH):
-        shares.update(measure(CANDIDATES[start : start + BATCH]))
-        if min(shares.values()) < low:
+    def hits() -> list[float]:
+        return [w for w, share in shares.items() if miss(share) == 0.0]
+
+    measure([2.0**e for e in range(BATCH)])
+    while max(shares.values()) < low:
+        widest = max(shares)
+        if buckets[widest] <= family.num_tables:
+            raise ValueError(f"one bucket per table has a share of {shares[widest]}, below {low}")
+        measure([widest * 2.0**e for e in range(1, BATCH + 1)])
+    while min(shares.values()) >= low:
+        narrow = min(shares)
+        measure([narrow * 2.0**-e for e in range(1, BATCH + 1)])
+        if buckets[min(shares)] == buckets[narrow] and not hits():
+            raise ValueError(f"rows that are equal keep the share at {shares[narrow]}, above {high}")
+        if buckets[min(shares)] == buckets[narrow]:
             break
-    for _ in range(REFINE_ROUNDS):
-        hits = [w for w, share in shares.items() if miss(share) == 0.0]
-        small = [w for w, share in shares.items() if share < low]
-        large = [w for w, share in shares.items() if share > high]
-        if hits or not small or not large or max(small) >= min(large):
+    while not hits():
+        bottom = max(w for w, share in shares.items() if share < low)
+        top = min((w for w, share in shares.items() if share > high and w > bottom), default=bottom)
+        if top <= bottom * (1 + precision):
             break
-        bottom, top = max(small), min(large)
         step = (top / bottom) ** 0.25
-        shares.update(measure([bottom * step**i for i in (1, 2, 3)]))
+        measure([bottom * step**i for i in (1, 2, 3)])
     if table is not None:
         drop(points.sparkSession, table)
-    hits = [w for w, share in shares.items() if miss(share) == 0.0]
-    if hits:
-        return min(hits)
+    if hits():
+        return min(hits())
     best = min(shares, key=lambda w: (miss(shares[w]), w))
     log.warning("no width reached a share in [%s, %s]; using %s with %s", low, high, best, shares[best])
     return best
@@ -112,31 +127,42 @@ def tune_key_length(
 ) -> HashFamily:
     """A family whose minimum neighbour count is within tolerance of ``wanted``.
 
-    The lengths tried are prefixes of one long key. Buckets of a prefix contain those of the whole
-    key, so the minimum can only fall as the key grows, and bisection finds the length. The nearest
-    length seen is used if none is within tolerance.
+    The lengths tried are prefixes of one key. Buckets of a prefix contain those of the whole key,
+    so the minimum can only fall as the key grows. The key is doubled until its minimum is within
+    the tolerance above ``wanted``; bisection then finds the shortest such prefix. If that one is
+    below the tolerance, it or the one before is taken, whichever is nearer.
     """
-    start = max(2, math.ceil(math.log2(max(2.0, n_points / family.dim))) + 1)
-    left = start // 2 if start > 2 else 1
-    right = int(start * 1.5) if start > 15 else 22
-    longest = replace(family, key_length=right, stored=None)
+    longest = replace(family, key_length=2, stored=None)
     seen: dict[int, int] = {}
-    while left <= right:
-        length = (left + right) // 2
-        seen[length] = minimum_neighbors(points, longest.shorten(length), n_points, id_col, features)
-        if seen[length] < wanted * MIN_TOLERANCE:
-            right = length - 1
-        elif seen[length] > wanted * MAX_TOLERANCE:
-            left = length + 1
+
+    def least(length: int) -> int:
+        if length not in seen:
+            seen[length] = minimum_neighbors(points, longest.shorten(length), n_points, id_col, features)
+        return seen[length]
+
+    while least(longest.key_length) > wanted * MAX_TOLERANCE:
+        if seen[longest.key_length] == seen.get(longest.key_length // 2):
+            raise ValueError(f"rows that are equal keep {seen[longest.key_length]} neighbours at any key length")
+        # Other planes than those of the shorter key, so what was seen does not count.
+        longest = replace(family, key_length=2 * longest.key_length, stored=None)
+        seen.clear()
+        least(longest.key_length // 2)
+    below, reached = 0, longest.key_length
+    while reached - below > 1:
+        middle = (below + reached) // 2
+        if least(middle) > wanted * MAX_TOLERANCE:
+            below = middle
         else:
-            return longest.shorten(length)
-    best = min(seen, key=lambda length: (abs(seen[length] - wanted), length))
-    log.warning("no key length reached %s neighbours; using %s with %s", wanted, best, seen[best])
-    return longest.shorten(best)
+            reached = middle
+    if least(reached) < wanted * MIN_TOLERANCE and below:
+        nearer = min((below, reached), key=lambda length: (abs(least(length) - wanted), length))
+        log.warning("no key length reached %s neighbours; using %s with %s", wanted, nearer, seen[nearer])
+        return longest.shorten(nearer)
+    return longest.shorten(reached)
 
 
 def starting_radius(points: DataFrame, dim: int, id_col: str = "id", features: str = "features", seed: int = 7) -> float:
     """Distance of two seeded random points, a scale to start a search from."""
-    pair = points.orderBy(hash01(id_col, seed), id_col).limit(2)
+    pair = points.orderBy(hash01(id_col, seed, "radius"), id_col).limit(2)
     ends = pair.agg(F.min_by(features, id_col).alias("p"), F.max_by(features, id_col).alias("q"))
     return float(ends.select(distance(F.col("p"), F.col("q"), dim)).first()[0])

@@ -49,8 +49,11 @@ def _flat_text(df: DataFrame) -> DataFrame:
 
 
 def with_content_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """Id from the content of a row: the same for equal rows, whatever the partitioning."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
+    """Id from the content of a row: the same for equal rows, whatever the partitioning.
+
+    A value has a mark in front, so that null differs from any text.
+    """
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in df.columns]
     return df.withColumn(name, F.md5(F.concat_ws("\u0001", *cells)))
 
 

@@ -7,7 +7,6 @@ readers, and gives an exact row count for the join decisions.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -24,19 +23,17 @@ class Staged:
     rows: int
     path: str
     facts: dict = field(default_factory=dict)
+    # False for files that someone else saved; ``drop`` leaves those alone.
+    owned: bool = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; local sessions may go without it."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="bucketscore-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``, else one in the session's warehouse.
+
+    Both are folders that every executor can reach; a temporary folder of one machine is not.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged").rstrip("/")
 
 
 def session_folder(spark: SparkSession, name: str) -> str:
@@ -65,7 +62,7 @@ def stage(df: DataFrame, name: str, **facts: Column) -> Staged:
 
 def drop(spark: SparkSession, *tables: Staged) -> None:
     """Delete staged tables that no DataFrame needs any more."""
-    for table in tables:
+    for table in (t for t in tables if t.owned):
         location, files = _file_system(spark, table.path)
         files.delete(location, True)
 

@@ -15,3 +15,16 @@ def score_stream(stream: DataFrame, model, sink: Callable[[DataFrame, int], None
     and the batch code is used as it is.
     """
     return stream.writeStream.foreachBatch(lambda batch, number: sink(model.transform(batch), number))
+
+
+def parquet_sink(path: str, *columns: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes every batch to its own folder ``batch=<number>`` of ``path``.
+
+    A batch that is replayed after a failure overwrites its folder, so no row comes twice.
+    """
+
+    def write(scored: DataFrame, number: int) -> None:
+        chosen = scored.select(*columns) if columns else scored
+        chosen.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write

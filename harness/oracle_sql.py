@@ -20,7 +20,7 @@ DOCUMENTS = """documents_raw AS (
          list_unique(w)::DOUBLE / len(w) AS f2,
          coalesce((length(text) - length(translate(text, '0123456789', '')))::DOUBLE / nullif(length(text), 0), 0) AS f3,
          coalesce((length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::DOUBLE / nullif(length(text), 0), 0) AS f4
-  FROM (SELECT *, string_split(text, ' ') AS w FROM documents JOIN labels USING (doc_id)))"""
+  FROM (SELECT *, string_split(text, ' ') AS w FROM documents LEFT JOIN labels USING (doc_id)))"""
 
 EMBEDDINGS = """embeddings_raw AS (
   SELECT vec_id AS id, CASE WHEN label = 7 THEN 1.0e0 ELSE 0.0e0 END AS label, """ + ", ".join(
@@ -36,8 +36,8 @@ def number(x: float) -> str:
     return text if "e" in text else text + "e0"
 
 
-def hash01(id_col: str, seed: int) -> str:
-    return f"(('0x' || substr(md5({id_col}::VARCHAR || ':{seed}'), 1, 8))::BIGINT / 4294967296.0e0)"
+def hash01(id_col: str, seed: int, purpose: str) -> str:
+    return f"(('0x' || substr(md5({id_col}::VARCHAR || ':{seed}:{purpose}'), 1, 8))::BIGINT / 4294967296.0e0)"
 
 
 def raw(view: str, cutoff: int = 10) -> str:

@@ -16,7 +16,7 @@ from bucketscore.operators import reach as R
 from bucketscore.operators.encoding import category_dictionary, one_hot
 from bucketscore.operators.evaluate import auroc, confusion
 from bucketscore.operators.lsh import HashFamily, hash_points
-from bucketscore.operators.sampling import class_counts, rebalance, sample, split, with_fold
+from bucketscore.operators.sampling import class_counts, kept_in_training, rebalance, sample, split, with_fold
 from bucketscore.operators.scaling import as_array, as_vector, feature_stats, fit_scaling, point_facts
 from bucketscore.plans.detectors import (
     BucketCountDetector,
@@ -28,7 +28,7 @@ from bucketscore.plans.detectors import (
 from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_report, grid_search, grid_summary, run_experiment
 from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
-from bucketscore.streaming.scoring import score_stream
+from bucketscore.streaming.scoring import parquet_sink, score_stream
 from bucketscore.staging import Staged, session_folder, stage
 from harness import oracle_sql as O
 from harness import views as V
@@ -99,7 +99,7 @@ def train_test(spark, folder, cutoff=10):
     return split(table, 0.8, "id", SEED)
 
 
-TRAIN = f"{O.hash01('id', SEED)} < 0.8e0"
+TRAIN = f"{O.hash01('id', SEED, 'split')} < 0.8e0"
 ORDER_PTS = O.points("orders")
 SPLIT_PTS = O.points("orders", fit_where=TRAIN) + f""",
 train AS (SELECT * FROM pts WHERE {TRAIN}),
@@ -245,7 +245,7 @@ def rebalance_orders(spark, folder):
 def rebalance_orders_sql():
     return f"""WITH {O.raw('orders', 9)}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM orders_raw)
 SELECT id, label FROM orders_raw, c
-WHERE label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED)} < 0.01e0 * n / a"""
+WHERE coalesce(label, 0) <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a"""
 
 
 @query
@@ -257,7 +257,7 @@ def rebalance_documents(spark, folder):
 def rebalance_documents_sql():
     return f"""WITH {O.raw('documents')}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM documents_raw)
 SELECT id, label FROM documents_raw, c
-WHERE label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED)} < 0.01e0 * n / a"""
+WHERE coalesce(label, 0) <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a"""
 
 
 @query
@@ -267,7 +267,7 @@ def sample_orders(spark, folder):
 
 @oracle
 def sample_orders_sql():
-    return f"WITH {O.raw('orders')} SELECT id FROM orders_raw WHERE {O.hash01('id', SEED)} < 0.05e0"
+    return f"WITH {O.raw('orders')} SELECT id FROM orders_raw WHERE {O.hash01('id', SEED, 'sample')} < 0.05e0"
 
 
 @query
@@ -288,7 +288,7 @@ def kfold_counts(spark, folder):
 
 @oracle
 def kfold_counts_sql():
-    return f"""WITH {O.raw('orders')} SELECT floor({O.hash01('id', SEED)} * 5)::INTEGER AS fold, label, count(*) AS rows
+    return f"""WITH {O.raw('orders')} SELECT floor({O.hash01('id', SEED, 'fold')} * 5)::INTEGER AS fold, label, count(*) AS rows
 FROM orders_raw GROUP BY 1, 2"""
 
 
@@ -308,17 +308,22 @@ count(DISTINCT i) AS ids, {O.rounded('sum(l_quantity)')} AS quantity
 FROM (SELECT row_number() OVER () - 1 AS i, l_quantity FROM lineitem)"""
 
 
+LINE_CELLS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
 @query
 def content_ids(spark, folder):
-    keys = with_content_id(V.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"))
+    keys = with_content_id(V.table(spark, folder, "lineitem").select(*LINE_CELLS))
     return keys.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @oracle
 def content_ids_sql():
-    cell = "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"
-    return f"""SELECT md5(concat_ws(chr(1), l_orderkey::VARCHAR, l_linenumber::VARCHAR, {cell})) AS id, count(*) AS rows
-FROM lineitem GROUP BY 1"""
+    cells = ", ".join(f"coalesce('=' || {c}::VARCHAR, '')" for c in LINE_CELLS)
+    return f"""SELECT md5(concat_ws(chr(1), {cells})) AS id, count(*) AS rows FROM lineitem GROUP BY 1"""
 
 
 # --- hashing ------------------------------------------------------------------------------------
@@ -914,14 +919,72 @@ FROM h JOIN (SELECT t, {codes}, count(*) AS n FROM h GROUP BY t, {codes}) USING
     return f"WITH {ORDER_PTS}, {O.planes(LONG_KEYS)}, {O.hashed(LONG_KEYS)} " + " UNION ALL ".join(parts)
 
 
+KEY_SEARCH = replace(ORDERS, num_tables=10).at(8.0)
+WANTED = 10
+
+
 @query
 def tuned_key_length(spark, folder):
     table = staged_orders(spark, folder)
-    chosen = tune_key_length(table.df, replace(ORDERS, num_tables=10).at(8.0), 10, table.rows)
+    chosen = tune_key_length(table.df, KEY_SEARCH, WANTED, table.rows)
     least = minimum_neighbors(table.df, chosen, table.rows)
     return spark.createDataFrame([(chosen.key_length, least)], "key_length bigint, min_neighbors bigint")
 
 
+@oracle
+def tuned_key_length_sql():
+    """The shortest prefix within the tolerance, of the first key that reaches it; keys double."""
+    ctes, rows = [], []
+    for size in (2, 4, 8, 16):
+        family = replace(KEY_SEARCH, key_length=size, stored=None)
+        ctes += [O.planes(family).replace("planes(", f"planes{size}(", 1), O.hashed(family, name=f"h{size}").replace("planes", f"planes{size}")]
+        for k in range(1, size + 1):
+            codes = ", ".join(family.codes[:k])
+            rows.append(f"""SELECT {size} AS size, {k} AS k, min(s) AS least FROM (SELECT id, sum(n - 1) AS s FROM h{size}
+JOIN (SELECT t, {codes}, count(*) AS n FROM h{size} GROUP BY t, {codes}) USING (t, {codes}) GROUP BY id)""")
+    return f"""WITH {ORDER_PTS}, {", ".join(ctes)}, m AS ({" UNION ALL ".join(rows)}),
+key AS (SELECT min(size) AS size FROM m WHERE k = size AND least <= 4 * {WANTED}),
+found AS (SELECT m.* FROM m JOIN key USING (size)),
+short AS (SELECT min(k) AS k FROM found WHERE least <= 4 * {WANTED})
+SELECT found.k::BIGINT AS key_length, least::BIGINT AS min_neighbors FROM found, short
+WHERE found.k = short.k OR found.k = short.k - 1 AND (SELECT f.least FROM found f WHERE f.k = short.k) < 0.2 * {WANTED}
+ORDER BY abs(least - {WANTED}) * (found.k <> short.k OR (SELECT f.least FROM found f WHERE f.k = short.k) < 0.2 * {WANTED})::INTEGER, found.k LIMIT 1"""
+
+
+UNSCALED = replace(ORDERS, num_tables=10, label_width=True).at(*(2.0**e for e in range(25)))
+
+
+@query
+def tuned_w_unscaled(spark, folder):
+    """Raw orders, whose features reach a hundred thousand."""
+    chosen = tune_w(stage(V.orders(spark, folder), "orders").df, replace(ORDERS, num_tables=10))
+    return spark.createDataFrame([(chosen,)], "w double")
+
+
+@oracle
+def tuned_w_unscaled_sql():
+    return f"""WITH {O.raw("orders")}, pts AS (SELECT id, [f0, f1, f2, f3, f4] AS x FROM orders_raw), {O.planes(UNSCALED)},
+{O.hashed(UNSCALED)}, {O.counts(UNSCALED)}, sweep AS (SELECT w, coalesce(avg(n) FILTER (n > 1) / any_value(total), 0) AS relative_size
+FROM b, (SELECT count(*) AS total FROM pts) GROUP BY w)
+SELECT min(w) AS w FROM sweep WHERE relative_size BETWEEN 0.05e0 AND 0.1e0"""
+
+
+@query
+def fold_anomalies(spark, folder):
+    """Anomalies of each fold, and those that the rebalanced training rows keep."""
+    rows = with_fold(V.orders(spark, folder, 9), seed=SEED)
+    kept = kept_in_training(class_counts(rows), seed=SEED)
+    return rows.filter("label = 1").groupBy("fold").agg(F.count(F.lit(1)).alias("anomalies"), F.count_if(kept).alias("kept"))
+
+
+@oracle
+def fold_anomalies_sql():
+    return f"""WITH {O.raw('orders', 9)}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM orders_raw)
+SELECT floor({O.hash01('id', SEED, 'fold')} * 5)::INTEGER AS fold, count(*) AS anomalies,
+count(*) FILTER (a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a) AS kept
+FROM orders_raw, c WHERE label = 1 GROUP BY fold"""
+
+
 @query
 def start_radius(spark, folder):
     radius = starting_radius(order_points(spark, folder), 5, seed=SEED)
@@ -930,7 +993,7 @@ def start_radius(spark, folder):
 
 @oracle
 def start_radius_sql():
-    return f"""WITH {ORDER_PTS}, two AS (SELECT * FROM pts ORDER BY {O.hash01('id', SEED)}, id LIMIT 2)
+    return f"""WITH {ORDER_PTS}, two AS (SELECT * FROM pts ORDER BY {O.hash01('id', SEED, 'radius')}, id LIMIT 2)
 SELECT {O.rounded('list_distance(arg_min(x, id), arg_max(x, id))')} AS radius FROM two"""
 
 
@@ -948,8 +1011,8 @@ def grid_sql() -> str:
     k = O.keys(family)
     return f"""{O.points('orders', 9)}, {O.planes(family)},
 c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM pts),
-f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED)} * 5)::INTEGER AS own,
-             label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED)} < 0.01e0 * n / a AS kept FROM pts, c),
+f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED, 'fold')} * 5)::INTEGER AS own,
+             label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a AS kept FROM pts, c),
 h AS MATERIALIZED (SELECT * FROM ({O.hashed(family, 'f', 'id, label, own, kept', 'x')[len('x AS (') : -1]})),
 tr AS MATERIALIZED (SELECT h.*, fold FROM h, range(5) AS r(fold) WHERE kept AND own <> fold),
 b AS (SELECT fold, {k}, count(*) AS n FROM tr GROUP BY fold, {k}),
@@ -999,7 +1062,7 @@ def grid_bucket_sizes(spark, folder):
 def grid_bucket_sizes_sql():
     k = O.keys(GRID_FAMILY)
     return f"""WITH {ORDER_PTS}, {O.planes(GRID_FAMILY)},
-f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED)} * 5)::INTEGER AS own FROM pts),
+f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED, 'fold')} * 5)::INTEGER AS own FROM pts),
 {O.hashed(GRID_FAMILY, 'f', 'own')},
 b AS (SELECT fold, {k}, count(*) AS n FROM h, range(5) AS r(fold) WHERE own <> fold GROUP BY fold, {k}),
 total AS (SELECT fold, count(*) AS rows FROM f, range(5) AS r(fold) WHERE own <> fold GROUP BY fold),
@@ -1071,7 +1134,7 @@ def base_documents(spark, folder):
 def base_documents_sql():
     k = O.keys(DOCUMENTS)
     return f"""WITH {O.points('documents')}, {O.planes(DOCUMENTS)}, c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM pts),
-kept AS (SELECT pts.* FROM pts, c WHERE label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED)} < 0.01e0 * n / a),
+kept AS (SELECT pts.* FROM pts, c WHERE coalesce(label, 0) <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a),
 {O.hashed(DOCUMENTS, 'kept')}, {O.hashed(DOCUMENTS, 'pts', name='g')}, {O.counts(DOCUMENTS)},
 near AS (SELECT id, sum(n - 1) AS neighbors FROM h JOIN b USING ({k}) GROUP BY id),
 ks AS (SELECT CASE WHEN count(*) FILTER (label = 1) > 0 THEN count(*) FILTER (label = 1)
@@ -1092,10 +1155,10 @@ def stream_event_scores(spark, folder):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     points = scaling.apply(V.event_points(source))
     out = _fresh(spark, "stream")
-    writer = score_stream(points, model, lambda df, number: df.select("id", "score").write.mode("append").parquet(out))
+    writer = score_stream(points, model, parquet_sink(out, "id", "score"))
     run = writer.option("checkpointLocation", _fresh(spark, "stream-state")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("id bigint, score bigint").parquet(out)
+    return spark.read.schema("id bigint, score bigint, batch bigint").parquet(out).drop("batch")
 
 
 @oracle

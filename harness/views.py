@@ -53,8 +53,8 @@ def event_points(rows: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One point per labelled document, from counts over its whole text; toxic is the anomaly."""
-    texts = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    """One point per document, from counts over its whole text; toxic is the anomaly, null if not labelled."""
+    texts = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     words = F.split("text", " ")
     size = F.length("text")
     digits = size - F.length(F.translate("text", "0123456789", ""))

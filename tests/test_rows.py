@@ -61,7 +61,7 @@ def test_rebalance_branches(points):
     assert class_counts(points).anomalies == 50
     kept = rebalance(points, seed=1)
     assert kept.filter("label = 0").count() == 150
-    draws = {r.id: r.u for r in points.filter("label = 1").select("id", hash01("id", 1).alias("u")).collect()}
+    draws = {r.id: r.u for r in points.filter("label = 1").select("id", hash01("id", 1, "rebalance").alias("u")).collect()}
     assert {r.id for r in kept.filter("label = 1").collect()} == {k for k, u in draws.items() if u < 0.01 * 200 / 50}
     few = points.filter("label = 0 or id = 0")
     assert rebalance(few).count() == 151
@@ -76,7 +76,7 @@ def test_split_sample_and_folds(points):
     assert sample(points, 1.0).count() == 200 and sample(points, 0.0).count() == 0
     folds = with_fold(points, 4).groupBy("fold").count().collect()
     assert {r.fold for r in folds} == {0, 1, 2, 3} and sum(r["count"] for r in folds) == 200
-    draws = [r.u for r in points.select(hash01("id", 3).alias("u")).collect()]
+    draws = [r.u for r in points.select(hash01("id", 3, "sample").alias("u")).collect()]
     assert 0 <= min(draws) and max(draws) < 1 and len(set(draws)) == 200
 
 
