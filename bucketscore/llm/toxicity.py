@@ -41,7 +41,9 @@ MARGIN = 2.0
 #: How far the median may lie from 0 either way, so that a text of toxic words alone is not usual.
 USUAL = 1.0
 #: Words whose ratio a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
+#: Different words or pairs that a worker gathers before it passes them on.
+GATHERED = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,17 +62,24 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
-            found: set[str] = set()
-            for text in batch.column(0):
-                found.update(words_of(text.as_py()))
+
+        def fresh(found: set[str]) -> pa.RecordBatch:
             packed = {
                 stem_slot(w[:STEM]) << 32 | zlib.crc32(w[STEM:].encode("utf-8", "surrogatepass")) for w in found
             } - sent
-            if len(sent) > 1_000_000:
+            if len(sent) > 3 * GATHERED:
                 sent.clear()
-            sent |= packed
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(packed), pa.int64())], ["word"])
+            sent.update(packed)
+            return pa.RecordBatch.from_arrays([pa.array(sorted(packed), pa.int64())], ["word"])
+
+        for batch in batches:
+            found: set[str] = set()
+            for text in batch.column(0):
+                found.update(words_of(text.as_py()))
+                if len(found) >= GATHERED:
+                    yield fresh(found)
+                    found = set()
+            yield fresh(found)
 
     words = docs.select(F.col("text").cast("string")).mapInArrow(run, "word bigint").distinct()
     rows = words.groupBy(F.shiftright("word", 32).alias("slot")).count().toPandas()
@@ -82,18 +91,23 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
 def class_counts(docs: DataFrame) -> DataFrame:
     """``(stem, label, n)``: different (word before, word) pairs of the class, by the word's stem."""
 
+    def gathered(pairs: set[tuple[int, str, int]]) -> pa.RecordBatch:
+        columns = list(zip(*sorted(pairs))) or [(), (), ()]
+        types = (pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "stem", "pair"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: set[tuple[int, str, str]] = set()
+            pairs: set[tuple[int, str, int]] = set()
             for text, label in zip(batch.column(0), batch.column(1)):
                 words, label = words_of(text.as_py()), label.as_py()
-                pairs.update((label, before, word) for before, word in zip(["", *words], words))
-            rows = sorted({(c, w[:STEM], zlib.crc32(f"{b} {w}".encode("utf-8", "surrogatepass"))) for c, b, w in pairs})
-            columns = list(zip(*rows)) or [(), (), ()]
-            types = (pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["label", "stem", "pair"]
-            )
+                for before, word in zip(["", *words], words):
+                    pair = zlib.crc32(f"{before} {word}".encode("utf-8", "surrogatepass"))
+                    pairs.add((label, word[:STEM], pair))
+                if len(pairs) >= GATHERED:
+                    yield gathered(pairs)
+                    pairs = set()
+            yield gathered(pairs)
 
     pairs = docs.select("text", "label").mapInArrow(run, "label int, stem string, pair bigint").distinct()
     return pairs.groupBy("stem", "label").agg(F.count(F.lit(1)).alias("n"))
