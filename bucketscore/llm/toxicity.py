@@ -6,10 +6,10 @@ different contexts it has, so that a text copied a thousand times counts once:
 * in a class, the different (word before, word) pairs of its labelled documents that end in the stem;
 * shared by both classes as the backoff, the different words of *all* documents that have the stem.
 
-With absolute discount ``D``, class total ``N``, ``T`` stems seen in the class and shared share
-``s``: ``p(stem) = (max(n - D, 0) + D·T·s) / N``. A stem with fewer than ``rare`` contexts in both
-classes together is left to the shared counts alone, so it favours neither class. A document is
-judged by how far the log-likelihood ratios of its words rise above what is usual in that document,
+With class total ``N``, shared share ``s`` and the absolute discount ``D(n)`` of a count, which sums
+to ``L`` over the stems seen in the class: ``p(stem) = (max(n - D(n), 0) + L·s) / N``. Discounts of
+one, two and more contexts follow from how many stems have one to four (modified Kneser-Ney), so that
+rare stems weigh by discount and backoff, and no count drops a stem. A document is judged by how far the log-likelihood ratios of its words rise above what is usual in that document,
 normalised by its length. Usual is the median of its words, which takes out language and subject,
 plus ``MARGIN`` for what chance does to words with few counts. A logistic curve fitted on other
 labelled documents turns that into a score.
@@ -35,7 +35,8 @@ WORD = re.compile(r"[^\W_]+")
 STEM = 4
 #: Slots of the shared backoff counts; stems in one slot share them.
 SLOTS = 1 << 17
-DISCOUNT = 0.75
+#: Discount of a class with too few stems to tell it from their counts, and the least one.
+DISCOUNT, LEAST_DISCOUNT = 0.75, 0.1
 #: What a word's log-likelihood ratio may exceed the document's median by without counting.
 MARGIN = 2.0
 #: How far the median may lie from 0 either way, so that a text of toxic words alone is not usual.
@@ -113,27 +114,52 @@ def class_counts(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("stem", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """The discount of each count: by Chen and Goodman for 1, 2 and 3 or more contexts."""
+    one, two, three, four = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    if not (one and two and three and four):
+        return np.where(counts > 0, DISCOUNT, 0.0)
+    y = one / (one + 2 * two)
+    by_count = [1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three]
+    by_count = [0.0, *(min(max(d, LEAST_DISCOUNT), k) for k, d in zip((1, 2, 3), by_count))]
+    return np.array(by_count)[np.minimum(counts, 3).astype(int)]
+
+
+def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+    """``log p(stem | toxic) - log p(stem | ordinary)`` from the counts in both classes and the shared
+    share, and the same for a stem that neither class has, whose share cancels out."""
+    logs, left = [], []
+    for counts in (ordinary, toxic):
+        discount = discounts(counts)
+        left.append(discount.sum() / counts.sum())
+        logs.append(np.log((counts - discount) / counts.sum() + left[-1] * share))
+    return logs[1] - logs[0], math.log(left[1] / left[0])
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log-likelihood ratio of each stem that is not rare, and the curve from features to a score."""
+    """Log-likelihood ratio of each stem of the class models and of all others, and the curve from
+    features to a score."""
 
     ratios: dict[str, float]
     weights: tuple[float, ...]
+    unseen: float = 0.0
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``_keep``, a struct of the ``keep`` columns, and ``excess``: the sum of what ratios have
         above the usual, divided by the root of the length; 0 without words."""
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
+        other = self.unseen
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = ratios.value
+            known, unseen = ratios.value, other
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
                     if len(self) >= KEPT_WORDS:
                         self.clear()
-                    found = self[word] = known.get(word[:STEM], 0.0)
+                    found = self[word] = known.get(word[:STEM], unseen)
                     return found
 
             look_up = Words().__getitem__
@@ -158,7 +184,7 @@ class ToxicityModel:
         return self.features(docs, *keep).select("_keep.*", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: int = 10) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     The shared counts cover all documents. The class models and the curve are classifiers fitted on
@@ -179,23 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000, rare: i
     shared = shared_counts(docs)
     everything = float(shared.sum()) + SLOTS
     table = counted.pivot(index="stem", columns="label", values="n").fillna(0)
-    table = table[table[0] + table[1] >= rare]
-    ratios: dict[str, float] = {}
-    for stem, ordinary, toxic in zip(table.index, table[0], table[1]):
-        backoff = (shared[stem_slot(stem)] + 1) / everything
-        logs = []
-        for label, n in ((0, ordinary), (1, toxic)):
-            total, types = totals.loc[label]
-            logs.append(math.log((max(n - DISCOUNT, 0) + DISCOUNT * types * backoff) / total))
-        ratios[stem] = logs[1] - logs[0]
-
-    model = ToxicityModel(ratios, (0.0, 0.0))
+    share = (shared[[stem_slot(stem) for stem in table.index]] + 1) / everything
+    values, unseen = log_ratios(table[0].to_numpy(), table[1].to_numpy(), share)
+    ratios = dict(zip(table.index, map(float, values)))
+
+    model = ToxicityModel(ratios, (0.0, 0.0), unseen)
     rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess").toPandas()
     x, y = rest[["excess"]].to_numpy(), rest["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
-        share = float(totals.loc[1, "sum"] / totals["sum"].sum())
-        return ToxicityModel(ratios, (math.log(share / (1 - share)), 1.0))
+        toxic = float(totals.loc[1, "sum"] / totals["sum"].sum())
+        return ToxicityModel(ratios, (math.log(toxic / (1 - toxic)), 1.0), unseen)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=1e-3)
     slopes = weights[1:] / scale
-    return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)))
+    return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)), unseen)

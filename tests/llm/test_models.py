@@ -101,6 +101,29 @@ def test_counts_of_stems_and_contexts(spark):
     assert shared[toxicity.stem_slot("abcd")] == 3 and shared.sum() == 4
 
 
+def test_rare_stems_count(spark):
+    # A slur that always follows the same word has one context; each of ten slurs is that rare.
+    rows, labels = [], []
+    for i in range(400):
+        slur = f"so {chr(97 + i // 4 % 10) * 3}zslur"
+        rows.append((i, prose(i, 30, 900) + (f" {slur} {slur}" if i % 4 == 0 else "")))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    slurs = [f"{chr(97 + k) * 3}z" for k in range(10)]
+    assert all(model.ratios[s] > toxicity.MARGIN for s in slurs)
+    found = {r.doc_id: r.score for r in model.score(docs(spark, [(k, f"{prose(k, 20, 900)} so {s}slur") for k, s in enumerate(slurs)]), "doc_id").collect()}
+    assert all(s > 0.7 for s in found.values())
+
+
+def test_discounts_by_counts_of_counts():
+    counts = np.array([0.0] + [1] * 8 + [2] * 4 + [3] * 2 + [4] + [9])
+    assert toxicity.discounts(counts)[[0, 1, 9, 13, 15, 16]] == pytest.approx([0, 0.5, 1.25, 2, 2, 2])
+    assert set(toxicity.discounts(np.array([0.0, 1, 7]))) == {0.0, toxicity.DISCOUNT}
+    values, unseen = toxicity.log_ratios(np.array([4.0, 0]), np.array([2.0, 2]), np.array([0.3, 0.1]))
+    one, other = math.log((1.25 + 1.5 * 0.1) / 4 / (0.75 * 0.1 / 4)), math.log((1.25 + 1.5 * 0.3) / 4 / ((3.25 + 0.75 * 0.3) / 4))
+    assert values == pytest.approx([other, one]) and unseen == pytest.approx(math.log(2))
+
+
 def test_toxicity_without_two_classes(spark):
     for label, score in ((0, 0.0), (1, 1.0)):
         model = toxicity.fit(docs(spark, [(1, "a b")]), spark.createDataFrame([(1, label)], "doc_id bigint, toxic int"))
