@@ -173,3 +173,10 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from bucketscore.llm.syncmers import edits
 
     return edits(table(spark, folder, "documents"))
+
+
+@query
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import periodic
+
+    return periodic.digests(periodic.periodic_runs(periodic.repeat_tails(table(spark, folder, "documents"))))
