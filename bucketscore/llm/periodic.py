@@ -21,7 +21,9 @@ searched together; words of different texts have different numbers, so nothing m
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -257,12 +259,10 @@ def _collapse(texts: pa.Array, keep: pa.Array) -> pa.RecordBatch:
     words = [text.as_buffer().to_pybytes().split() if text.is_valid else [] for text in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
     bounds = np.append(0, np.cumsum(counts))
-    numbers, offset = np.empty(bounds[-1], dtype=np.int64), 0
-    for i, row in enumerate(words):
-        known: dict[bytes, int] = {}
-        numbers[bounds[i] : bounds[i + 1]] = [known.setdefault(word, len(known)) for word in row]
-        numbers[bounds[i] : bounds[i + 1]] += offset
-        offset += len(known)
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=bounds[-1])
+    numbers += np.repeat(np.arange(len(words), dtype=np.int64) * len(known), counts)
     runs = find_runs(numbers)
     owner = np.searchsorted(bounds, runs[:, 0], side="right") - 1
     edges = np.zeros(len(numbers) + 1, dtype=np.int64)

@@ -180,3 +180,58 @@ def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     from bucketscore.llm import periodic
 
     return periodic.digests(periodic.periodic_runs(periodic.repeat_tails(table(spark, folder, "documents"))))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import trie
+
+    nodes = trie.conversation_trie(table(spark, folder, "conversations"), trie.share_beginnings)
+    return nodes.drop("t1", "t2")
+
+
+ORACLES["op11_conversation_trie"] = """
+WITH crcs AS MATERIALIZED (
+  -- The table of remainders by which crc32 takes a byte.
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS d,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS giver,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id), crcs
+), rebuilt AS (
+  SELECT c.conv_id, o.d, role, text FROM convs c JOIN own o ON o.conv_id = c.giver AND o.d < c.h
+  UNION ALL
+  SELECT c.conv_id, o.d - c.h + least(c.h, coalesce(g.n, 0)), role, text
+  FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.d >= c.h LEFT JOIN convs g ON g.conv_id = c.giver
+), paths AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, '' AS text FROM convs
+  UNION ALL
+  SELECT conv_id, d + 1, string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY d), text
+  FROM rebuilt
+), nodes AS MATERIALIZED (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text FROM paths GROUP BY depth, path
+), children AS MATERIALIZED (
+  SELECT p.depth, p.path, count(*) AS n_children FROM nodes v JOIN paths p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1 GROUP BY p.depth, p.path
+), sums AS (
+  SELECT p.depth, p.path, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((v.n_convs - 1) * octet_length(encode(v.text))) AS saved_tokens
+  FROM nodes v LEFT JOIN children k ON k.depth = v.depth AND k.path = v.path JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth
+  GROUP BY p.depth, p.path
+), ends AS (
+  SELECT depth, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS n FROM paths) WHERE depth = n GROUP BY depth, path
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children,
+  s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes v JOIN sums s ON s.depth = v.depth AND s.path = v.path
+  LEFT JOIN children k ON k.depth = v.depth AND k.path = v.path
+  LEFT JOIN ends e ON e.depth = v.depth AND e.path = v.path
+  LEFT JOIN paths p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1
+  LEFT JOIN nodes u ON u.depth = p.depth AND u.path = p.path
+"""
