@@ -235,3 +235,10 @@ FROM nodes v JOIN sums s ON s.depth = v.depth AND s.path = v.path
   LEFT JOIN paths p ON p.conv_id = v.conv_id AND p.depth = v.depth - 1
   LEFT JOIN nodes u ON u.depth = p.depth AND u.path = p.path
 """
+
+
+@query
+def op13_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from bucketscore.llm import jaccard
+
+    return jaccard.components(table(spark, folder, "documents"))
