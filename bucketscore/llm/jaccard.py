@@ -7,8 +7,9 @@ sizes: linked rows differ in size by at most the similarity, and a row of n colu
 
 1. Blocks of the first columns of each row, in order of their hash, are dealt by column. A block says
    how many columns each row shares with any row of a fitting size. Linked rows share at least
-   ``promised(n)`` of those columns, so rows with fewer have no link and are done. Columns that several
-   rows of one batch share are settled there and travel once, however common they are.
+   a tenth of ``least(n)`` of those columns, so rows with fewer have no link and are done. Columns that several
+   rows of one batch share are settled there and travel once, however common they are. Counts go back
+   per batch, so there are as many as texts.
 2. The other rows are looked at in full. Columns no other row has can be left out of products, and
    rows with fewer than ``least(n)`` other columns drop out. The rest are ordered from the rarest
    column to the most common; linked rows meet in one of the first ``n - least(n) + 1`` places.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def _column_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     size class and the text that has it, -1 if several of the batch do. One row per batch holds how
     many columns each text shares inside the batch.
     """
-    names = ["block", "columns", "classes", "owners", "ids", "sets", "hits"]
+    names = ["block", "batch", "columns", "classes", "owners", "ids", "sets", "hits"]
 
     def pack(ids: list, found: list[np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
         # Equal sets are one row.
@@ -132,14 +134,15 @@ def _column_blocks(docs: DataFrame, blocks: int) -> DataFrame:
             present = np.unique(own[own >= 0])
             place = np.where(own >= 0, np.searchsorted(present, own), -1)
             values = (columns[begin:end], classes[begin:end].astype(np.int16), place.astype(np.int32), doc_ids[present], sets[present])
-            for column, value in zip(rows, [int(block[begin]), *(v.tobytes() for v in values), b""]):
+            for column, value in zip(rows, [int(block[begin]), batch, *(v.tobytes() for v in values), b""]):
                 column.append(value)
-        for column, value in zip(rows, [batch % blocks, b"", b"", b"", doc_ids.tobytes(), sets.tobytes(), hits.astype(np.int64).tobytes()]):
+        for column, value in zip(rows, [batch % blocks, batch, b"", b"", b"", doc_ids.tobytes(), sets.tobytes(), hits.astype(np.int64).tobytes()]):
             column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names)
+        numbers = [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*numbers, *(pa.array(r, pa.binary()) for r in rows[2:])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, waiting, number = [], [], 0, 0
+        ids, found, waiting, number = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, shingle_set in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 ids.append(doc_id)
@@ -150,45 +153,54 @@ def _column_blocks(docs: DataFrame, blocks: int) -> DataFrame:
                     ids, found, waiting, number = [], [], 0, number + 1
         yield from pack(ids, found, number)
 
-    return docs.mapInArrow(run, "block int, columns binary, classes binary, owners binary, ids binary, sets binary, hits binary")
+    return docs.mapInArrow(run, "block int, batch bigint, columns binary, classes binary, owners binary, ids binary, sets binary, hits binary")
 
 
 def _shared_in_block(table: pa.Table) -> pa.Table:
-    """``(doc_id, hits)``: the columns of a block that each row shares with one of a fitting size."""
-    columns, classes, sets, ids, many = [], [], [], [], []
-    done_ids, done_hits = [], []
-    for _, c, k, o, i, s, h in zip(*(table.column(j).to_pylist() for j in range(7))):
-        doc_ids, numbers = np.frombuffer(i, np.int64), np.frombuffer(s, np.int64)
+    """``(batch, ids, hits)``: the columns of a block that each text shares with one of a fitting size."""
+    columns, classes, sets, ids, many, batches, sizes = [], [], [], [], [], [], []
+    out: list[tuple[int, bytes, bytes]] = []
+    for _, batch, c, k, o, i, s, h in zip(*(table.column(j).to_pylist() for j in range(8))):
         if h:
-            done_ids.append(doc_ids)
-            done_hits.append(np.frombuffer(h, np.int64))
+            out.append((batch, i, h))
             continue
         owner = np.frombuffer(o, np.int32)
         columns.append(np.frombuffer(c, np.uint64))
         classes.append(np.frombuffer(k, np.int16))
         many.append(owner < 0)
-        sets.append(np.append(numbers, 0)[owner])
-        ids.append(np.append(doc_ids, 0)[owner])
+        sets.append(np.append(np.frombuffer(s, np.int64), 0)[owner])
+        ids.append(np.append(np.frombuffer(i, np.int64), 0)[owner])
+        batches.append(batch)
+        sizes.append(len(owner))
     if columns:
-        columns, classes, sets, ids, many = (np.concatenate(x) for x in (columns, classes, sets, ids, many))
+        columns, classes, sets, many = (np.concatenate(x) for x in (columns, classes, sets, many))
         order = np.lexsort((sets, classes, columns))
-        columns, classes, sets, ids, many = (x[order] for x in (columns, classes, sets, ids, many))
+        columns, classes, sets = (x[order] for x in (columns, classes, sets))
         same_column = np.append(False, columns[1:] == columns[:-1])
         same_class = same_column & np.append(False, classes[1:] == classes[:-1])
         other_set = same_class & np.append(False, sets[1:] != sets[:-1])
         start = np.flatnonzero(~same_class)
-        shared = (np.add.reduceat(other_set.astype(np.int64), start) > 0) | (np.add.reduceat(many.astype(np.int64), start) > 0)
+        shared = np.add.reduceat((other_set | many[order]).astype(np.int64), start) > 0
         # A neighbouring class of the same column.
         near = np.append(False, (columns[start][1:] == columns[start][:-1]) & (np.diff(classes[start]) <= CLASSES_APART))
         shared |= near | np.append(near[1:], False)
-        each = np.repeat(shared, np.diff(np.append(start, len(columns)))) & ~many
-        # Copies of a set in different batches count each for itself.
-        done_ids.append(ids[each])
-        done_hits.append(np.ones(int(each.sum()), dtype=np.int64))
-    ids = np.concatenate([np.zeros(0, np.int64), *done_ids])
-    unique, place = np.unique(ids, return_inverse=True)
-    hits = np.bincount(place, weights=np.concatenate([np.zeros(0, np.int64), *done_hits]), minlength=len(unique))
-    return pa.table({"doc_id": unique, "hits": hits.astype(np.int64)})
+        each = np.empty(len(order), dtype=bool)
+        each[order] = np.repeat(shared, np.diff(np.append(start, len(columns))))
+        each &= ~many
+        # Back to the batches that the columns came from.
+        for batch, own, mine in zip(batches, ids, np.split(each, np.cumsum(sizes)[:-1])):
+            found, hits = np.unique(own[mine], return_counts=True)
+            if len(found):
+                out.append((batch, found.tobytes(), hits.astype(np.int64).tobytes()))
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("batch", "ids", "hits"), list(zip(*out)) or [[], [], []], kinds)})
+
+
+def _sum_hits(table: pa.Table) -> pa.Table:
+    """``(doc_id, hits)`` of the texts of one batch, over all blocks."""
+    ids, hits = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("ids", "hits"))
+    found, place = np.unique(ids, return_inverse=True)
+    return pa.table({"doc_id": found, "hits": np.bincount(place, weights=hits, minlength=len(found)).astype(np.int64)})
 
 
 def _rows(texts: DataFrame) -> DataFrame:
@@ -330,8 +342,8 @@ def components(docs: DataFrame) -> DataFrame:
     known = members.filter("n_shingles > 0 and doc_id is not null").withColumn("v", F.xxhash64(*_SETS))
     vertices = keep(known.groupBy("v", *_SETS).agg(F.min("doc_id").alias("rep")), "vertices").df
 
-    hits = _column_blocks(docs, blocks).groupBy("block").applyInArrow(_shared_in_block, "doc_id bigint, hits bigint")
-    hits = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    hits = _column_blocks(docs, blocks).groupBy("block").applyInArrow(_shared_in_block, "batch bigint, ids binary, hits binary")
+    hits = hits.groupBy("batch").applyInArrow(_sum_hits, "doc_id bigint, hits bigint")
     # A partner has at least ``least(n)`` columns, and shares the smaller k of both.
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * SIMILARITY / 100) / 10))
     likely = known.join(hits, "doc_id").filter(enough).select("v").distinct()
