@@ -84,8 +84,20 @@ class HashFamily:
 
     def times(self, multiplier: int) -> HashFamily:
         """A family with ``multiplier`` times as many tables."""
+        if multiplier == 1:
+            return self
         return replace(self, num_tables=multiplier * self.num_tables, stored=None)
 
+    def finer(self, halvings: int) -> HashFamily:
+        """The same planes at a width halved so many times, with buckets that lie inside each other.
+
+        ``floor(2^j (p / w + u))`` is the code at ``w / 2^j``; half of it, rounded down, is the code one
+        halving before. So counts at a fine width add up to those at all coarser ones.
+        """
+        (width,) = self.widths
+        scale = 2.0**halvings
+        return replace(self, widths=(width / scale,), stored=(self.planes, self.offsets * scale))
+
     def shorten(self, key_length: int) -> HashFamily:
         """The same tables with only the first codes of each key; its buckets contain the old ones."""
         shape = (self.num_tables, self.key_length)

@@ -34,7 +34,7 @@ from bucketscore.operators.reach import (
 )
 from bucketscore.operators.sampling import ClassCounts, class_counts, is_anomaly, kept_in_training
 from bucketscore.operators.scaling import as_array, dimension, point_facts
-from bucketscore.plans.tuning import HIGH_SHARE, LOW_SHARE, tune_w
+from bucketscore.plans.tuning import HIGH_SHARE, LOW_SHARE, tune_family
 from bucketscore.staging import Staged, drop, stage
 
 
@@ -133,15 +133,18 @@ class _Detector(Estimator, DetectorParams):
         get = self.getOrDefault
         return HashFamily(dim, get("keyLength"), get("numTables"), (4.0,), get("radius"), get("seed"))
 
-    def _tuned(self, data: _Training, family: HashFamily, scale: float = 1.0) -> float:
+    def _tuned(self, data: _Training, family: HashFamily, scale: float = 1.0) -> HashFamily:
         features, id_col, _ = self.names
-        return tune_w(
+        return tune_family(
             data.points, family, LOW_SHARE * scale, HIGH_SHARE * scale, self.getOrDefault("tuneFraction"),
             id_col, features, self.getOrDefault("seed"), data.rows,
         )
 
-    def _width(self, data: _Training, family: HashFamily) -> float:
-        return self.getOrDefault("splitW") if self.isSet("splitW") else self._tuned(data, family)
+    def _family(self, data: _Training) -> HashFamily:
+        """The family of the model: as tuned, unless the width is given or there are to be more tables."""
+        start = self._start_family(data.dim)
+        chosen = start.at(self.getOrDefault("splitW")) if self.isSet("splitW") else self._tuned(data, start)
+        return chosen.times(self.getOrDefault("numTablesMultiplier"))
 
     def _neighbors(self, data: _Training, family: HashFamily, counts: Staged) -> Staged:
         """Neighbour counts of the training rows. One row per id, so a repeated id shows here."""
@@ -261,8 +264,7 @@ class BucketCountDetector(_Detector):
     def _fit(self, dataset: DataFrame) -> BucketCountModel:
         features, _, _ = self.names
         data = self._training(dataset)
-        start = self._start_family(data.dim)
-        family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
+        family = self._family(data)
         counts = stage_counts(data.points, family, features)
         near = self._neighbors(data, family, counts)
         threshold = neighbor_threshold(near.df, self._expected(data)).first().threshold
@@ -297,8 +299,7 @@ class ReachabilityDetector(_Detector):
         if self.getOrDefault("predictionScore") not in SCORES:
             raise ValueError(f"predictionScore is one of {SCORES}")
         data = self._training(dataset)
-        start = self._start_family(data.dim)
-        family = start.at(self._width(data, start)).times(self.getOrDefault("numTablesMultiplier"))
+        family = self._family(data)
         counts = stage_counts(data.points, family, features)
         near = self._neighbors(data, family, counts)
         reach = near.df.select(id_col, (F.col("neighbors") + family.num_tables).alias("reach"))
@@ -354,11 +355,11 @@ class DualResolutionDetector(_Detector):
     def _widths(self, data: _Training, family: HashFamily) -> tuple[float, float]:
         """The large width is tuned as usual; the small one for a share smaller by the size ratio."""
         get = self.getOrDefault
-        large = get("splitWLarge") if self.isSet("splitWLarge") else self._tuned(data, family)
+        large = get("splitWLarge") if self.isSet("splitWLarge") else self._tuned(data, family).widths[0]
         if self.isSet("splitWSmall"):
             small = get("splitWSmall")
         else:
-            small = self._tuned(data, family, get("smallBucketSize") / get("largeBucketSize"))
+            small = self._tuned(data, family, get("smallBucketSize") / get("largeBucketSize")).widths[0]
         if small >= large:
             # The share cannot fall below 2 / rows, so a small table may tune both to one width.
             raise ValueError(f"the small width {small} must be below the large width {large}; set one")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ MAX_TOLERANCE = 4.0
 
 # A sweep for reports; the search for a width has no fixed ends.
 CANDIDATES = tuple(2.0**e for e in range(9, -4, -1))
-BATCH = 4
+# Halvings of the width that one hashing pass measures.
+HALVINGS = 8
+# A double tells no more halvings of the data's extent apart.
+LAST_HALVING = 52
 # The search for a width inside a gap stops when its ends are this close to each other.
 PRECISION = 0.01
 
@@ -36,7 +41,37 @@ def w_sweep(points: DataFrame, family: HashFamily, widths, n_points: int, featur
     return bucket_stats(bucket_counts(points, wide, features), n_points, by=["w"])
 
 
-def tune_w(
+def extent(points: DataFrame, family: HashFamily, features: str = "features") -> float:
+    """The first power of two that no projection of the points spreads beyond.
+
+    A bucket of that width is cut at most once by each plane. The spread of a projection is at most
+    the length of the plane times the diagonal of the box that holds all points.
+    """
+    sides = points.select(F.posexplode(features).alias("pos", "x")).groupBy("pos").agg((F.max("x") - F.min("x")).alias("side"))
+    squares = sides.agg(F.sum((F.col("side") / family.radius) ** 2)).first()[0]
+    spread = math.sqrt(squares or 0.0) * float(np.sqrt((family.planes**2).sum(axis=1)).max())
+    return 2.0 ** math.ceil(math.log2(spread)) if spread else 1.0
+
+
+def halved_counts(points: DataFrame, finest: HashFamily, halvings: int, features: str = "features") -> DataFrame:
+    """Bucket counts ``(level, keys, n)`` at the width of ``finest`` (level 0) and wider ones.
+
+    Points are hashed once. Each level doubles the width, so its codes are those of level 0 halved
+    ``level`` times, and its buckets are sums of the counted ones.
+    """
+    counted = bucket_counts(points, finest, features)
+    levels = counted.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(halvings - 1))))
+    codes = [F.expr(f"shiftright({c}, level)").alias(c) for c in finest.codes]
+    return levels.select("level", "t", *codes, "n").groupBy("level", "t", *finest.codes).agg(F.sum("n").alias("n"))
+
+
+def different_rows(points: DataFrame, features: str = "features") -> int:
+    """How many different feature rows there are; by 128 bits of hash, rows of any width."""
+    marks = points.select(F.xxhash64(features).alias("x"), F.xxhash64(F.lit(1), F.reverse(features)).alias("y"))
+    return marks.distinct().count()
+
+
+def tune_family(
     points: DataFrame,
     family: HashFamily,
     low: float = LOW_SHARE,
@@ -47,15 +82,18 @@ def tune_w(
     seed: int = 7,
     n_points: int | None = None,
     precision: float = PRECISION,
-) -> float:
-    """A width whose mean relative size of multi-member buckets lies in ``[low, high]``.
-
-    Powers of two are measured, a few per job, and more of them upwards until one is too wide and
-    downwards until one is too narrow, whatever the scale of the features. The smallest one in range
-    wins. Otherwise the gap that holds the range is narrowed geometrically to ``precision``; then
-    the nearest width is taken with a warning. Rows that no width can tell apart, or that even one
-    bucket leaves too small a share, raise an error.
+) -> HashFamily:
+    """``family`` at a width whose mean relative size of multi-member buckets lies in ``[low, high]``.
+
+    The search starts at the extent of the data and halves the width until a share below ``low`` is
+    met, ``HALVINGS`` of them for each hashing pass, whatever the scale of the features. The smallest
+    width in range wins. Otherwise the gap that holds the range is narrowed geometrically to
+    ``precision``; then the nearest width is taken with a warning. It is an error if all different
+    rows are apart and the share is still too large, because then no width can help: rows that are
+    equal stay together. The family returned is the one that was measured, offsets included.
     """
+    if not 0 <= low <= high or low > 1:
+        raise ValueError(f"no share can lie in [{low}, {high}]: one bucket per table has a share of 1")
     table = stage(points.select(id_col, features), "tuning") if n_points is None else None
     rows, chosen = (n_points, points) if table is None else (table.rows, table.df)
     if rows == 0:
@@ -66,46 +104,51 @@ def tune_w(
         if rows == 0:
             raise ValueError(f"a share of {fraction} leaves no rows to tune on")
 
-    shares: dict[float, float] = {}
-    buckets: dict[float, int] = {}
-
-    def measure(widths) -> None:
-        for r in w_sweep(chosen, family, widths, rows, features).select("w", "relative_size", "buckets").collect():
-            shares[r.w], buckets[r.w] = r.relative_size, r.buckets
-
     def miss(share: float) -> float:
         return max(low - share, share - high, 0.0)
 
+    widest = replace(family.at(extent(chosen, family, features)), label_width=False)
+    shares: dict[float, float] = {}
+    measured: dict[float, HashFamily] = {}
+
     def hits() -> list[float]:
         return [w for w, share in shares.items() if miss(share) == 0.0]
 
-    measure([2.0**e for e in range(BATCH)])
-    while max(shares.values()) < low:
-        widest = max(shares)
-        if buckets[widest] <= family.num_tables:
-            raise ValueError(f"one bucket per table has a share of {shares[widest]}, below {low}")
-        measure([widest * 2.0**e for e in range(1, BATCH + 1)])
-    while min(shares.values()) >= low:
-        narrow = min(shares)
-        measure([narrow * 2.0**-e for e in range(1, BATCH + 1)])
-        if buckets[min(shares)] == buckets[narrow] and not hits():
-            raise ValueError(f"rows that are equal keep the share at {shares[narrow]}, above {high}")
-        if buckets[min(shares)] == buckets[narrow]:
+    halvings, apart = -1, None
+    while not shares or min(shares.values()) >= low:
+        if halvings >= LAST_HALVING or apart is not None and buckets >= apart * family.num_tables:
+            if not hits():
+                raise ValueError(f"rows that are equal keep the share at {min(shares.values())}, above {high}")
             break
+        halvings += HALVINGS
+        stats = bucket_stats(halved_counts(chosen, widest.finer(halvings), HALVINGS, features), rows, by=["level"])
+        for r in stats.select("level", "relative_size", "buckets").collect():
+            nested = widest.finer(halvings - r.level)
+            shares[nested.widths[0]], measured[nested.widths[0]] = r.relative_size, nested
+            if r.level == 0:
+                buckets = r.buckets
+        if apart is None and min(shares.values()) >= low:
+            apart = different_rows(chosen, features)
     while not hits():
         bottom = max(w for w, share in shares.items() if share < low)
         top = min((w for w, share in shares.items() if share > high and w > bottom), default=bottom)
         if top <= bottom * (1 + precision):
             break
         step = (top / bottom) ** 0.25
-        measure([bottom * step**i for i in (1, 2, 3)])
+        for r in w_sweep(chosen, family, [bottom * step**i for i in (1, 2, 3)], rows, features).select("w", "relative_size").collect():
+            shares[r.w], measured[r.w] = r.relative_size, family.at(r.w)
     if table is not None:
         drop(points.sparkSession, table)
     if hits():
-        return min(hits())
+        return measured[min(hits())]
     best = min(shares, key=lambda w: (miss(shares[w]), w))
     log.warning("no width reached a share in [%s, %s]; using %s with %s", low, high, best, shares[best])
-    return best
+    return measured[best]
+
+
+def tune_w(points: DataFrame, family: HashFamily, *args, **options) -> float:
+    """The width that ``tune_family`` chooses, with the same arguments."""
+    return tune_family(points, family, *args, **options).widths[0]
 
 
 def minimum_neighbors(points: DataFrame, family: HashFamily, n_points: int, id_col: str = "id", features: str = "features") -> int:

@@ -39,7 +39,7 @@ ORACLES: dict[str, Callable[[], str]] = {}
 SEED = 7
 ORDERS = HashFamily(dim=5, key_length=4, num_tables=50, widths=(4.0,), seed=SEED)
 ORDERS_DUAL = ORDERS.at(2.0, 8.0)
-ORDERS_SWEEP = replace(ORDERS, num_tables=10, label_width=True).at(*CANDIDATES)
+ORDERS_SWEEP = replace(ORDERS, label_width=True).at(*CANDIDATES)
 ORDERS_RADII = HashFamily(5, 4, 10, seed=SEED)
 ORDERS_GRID = replace(ORDERS, num_tables=10)
 GRID_WIDTHS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
@@ -888,13 +888,31 @@ def w_sweep_orders_sql():
 
 @query
 def tuned_w(spark, folder):
-    chosen = tune_w(order_points(spark, folder), replace(ORDERS, num_tables=10))
-    return spark.createDataFrame([(chosen,)], "w double")
+    chosen = tune_w(order_points(spark, folder), ORDERS)
+    return spark.createDataFrame([(round(chosen, 9),)], "w double")
 
 
 @oracle
 def tuned_w_sql():
-    return f"WITH {SWEEP_SQL} SELECT min(w) AS w FROM sweep WHERE relative_size BETWEEN 0.05e0 AND 0.1e0"
+    return f"WITH {ORDER_PTS}, {O.planes(ORDERS)}, {O.tuned(ORDERS, 8)}"
+
+
+CLUSTERS = HashFamily(dim=2, key_length=4, num_tables=50, seed=SEED)
+
+
+@query
+def tuned_w_clusters(spark, folder):
+    """Customers in one tight cluster for each market segment: far apart, and a billionth of the balance wide."""
+    points = V.customers(spark, folder)
+    features = F.array(F.get("features", F.lit(0)), F.get("features", F.lit(2)) * 1e-9)
+    chosen = tune_w(stage(points.withColumn("features", features), "clusters").df, CLUSTERS)
+    return spark.createDataFrame([(round(chosen, 9),)], "w double")
+
+
+@oracle
+def tuned_w_clusters_sql():
+    return f"""WITH {CUSTOMERS_SQL}, pts AS (SELECT id, [seg::DOUBLE, bal * 1.0e-9] AS x FROM cust),
+{O.planes(CLUSTERS)}, {O.tuned(CLUSTERS, 40)}"""
 
 
 LONG_KEYS = HashFamily(dim=5, key_length=22, num_tables=10, widths=(8.0,), seed=SEED)
@@ -951,22 +969,17 @@ WHERE found.k = short.k OR found.k = short.k - 1 AND (SELECT f.least FROM found
 ORDER BY abs(least - {WANTED}) * (found.k <> short.k OR (SELECT f.least FROM found f WHERE f.k = short.k) < 0.2 * {WANTED})::INTEGER, found.k LIMIT 1"""
 
 
-UNSCALED = replace(ORDERS, num_tables=10, label_width=True).at(*(2.0**e for e in range(25)))
-
-
 @query
 def tuned_w_unscaled(spark, folder):
     """Raw orders, whose features reach a hundred thousand."""
-    chosen = tune_w(stage(V.orders(spark, folder), "orders").df, replace(ORDERS, num_tables=10))
-    return spark.createDataFrame([(chosen,)], "w double")
+    chosen = tune_w(stage(V.orders(spark, folder), "orders").df, ORDERS)
+    return spark.createDataFrame([(round(chosen, 9),)], "w double")
 
 
 @oracle
 def tuned_w_unscaled_sql():
-    return f"""WITH {O.raw("orders")}, pts AS (SELECT id, [f0, f1, f2, f3, f4] AS x FROM orders_raw), {O.planes(UNSCALED)},
-{O.hashed(UNSCALED)}, {O.counts(UNSCALED)}, sweep AS (SELECT w, coalesce(avg(n) FILTER (n > 1) / any_value(total), 0) AS relative_size
-FROM b, (SELECT count(*) AS total FROM pts) GROUP BY w)
-SELECT min(w) AS w FROM sweep WHERE relative_size BETWEEN 0.05e0 AND 0.1e0"""
+    return f"""WITH {O.raw("orders")}, pts AS (SELECT id, [f0, f1, f2, f3, f4] AS x FROM orders_raw),
+{O.planes(ORDERS)}, {O.tuned(ORDERS, 8)}"""
 
 
 @query

@@ -20,7 +20,7 @@ from bucketscore import (
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
 from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary
-from bucketscore.plans.tuning import minimum_neighbors, starting_radius, tune_key_length
+from bucketscore.plans.tuning import halved_counts, minimum_neighbors, starting_radius, tune_family, tune_key_length
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
 
@@ -218,16 +218,49 @@ def test_histograms(points, raw):
 
 def test_tune_w_in_range_and_refined(points):
     family = HashFamily(6, 2, 8, seed=5)
-    w = tune_w(points, family)
-    share = B.bucket_stats(B.bucket_counts(points, family.at(w)), 406).first().relative_size
-    assert 0.05 <= share <= 0.1
-    narrow = tune_w(points, family, low=share * 1.02, high=share * 1.2)
-    refined = B.bucket_stats(B.bucket_counts(points, family.at(narrow)), 406).first().relative_size
+    chosen = tune_family(points, family)
+    share = B.bucket_stats(B.bucket_counts(points, chosen), 406).first().relative_size
+    assert 0.05 <= share <= 0.1 and tune_w(points, family) == chosen.widths[0]
+    narrow = tune_family(points, family, low=share * 1.02, high=share * 1.2)
+    refined = B.bucket_stats(B.bucket_counts(points, narrow), 406).first().relative_size
     assert share * 1.02 <= refined <= share * 1.2
     with pytest.raises(ValueError, match="one bucket"):
         tune_w(points, family, low=2.0, high=3.0)
 
 
+def test_halved_counts_are_those_of_each_width(points):
+    family = HashFamily(6, 3, 5, (64.0,), seed=5)
+    finest = family.finer(7)
+    assert finest.widths == (0.5,)
+    levels = halved_counts(points, finest, 8)
+    for level in (0, 3, 7):
+        own = levels.filter(F.col("level") == level).select(*family.keys, "n").collect()
+        assert sorted(own) == sorted(B.bucket_counts(points, family.finer(7 - level)).collect())
+        counted = brute.sizes(brute.bucket_ids({r.id: r.features for r in points.collect()}, family.finer(7 - level), family.finer(7 - level).widths[0]))
+        assert sorted(r.n for r in own) == sorted(counted.values())
+
+
+@pytest.mark.parametrize("spread", [1e-2, 1e-6, 1e-9])
+def test_tight_clusters_get_a_width(spark, spread):
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(100 * (i % 3)) + spread * draw.random(), float(100 * (i // 3 % 3)) + spread * draw.random()]) for i in range(600)]
+    table = spark.createDataFrame(rows, "id bigint, features array<double>")
+    chosen = tune_family(table, HashFamily(2, 2, 6, seed=5))
+    assert 0.05 <= B.bucket_stats(B.bucket_counts(table, chosen), 600).first().relative_size <= 0.1
+
+
+def test_equal_rows_cannot_be_tuned(spark):
+    rows = [(i, [float(i % 4), 0.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "id bigint, features array<double>")
+    with pytest.raises(ValueError, match="equal"):
+        tune_w(table, HashFamily(2, 2, 6, seed=5))
+    # Two of a kind are a share within range.
+    pairs = spark.createDataFrame([(i, [float(i // 2), 0.0]) for i in range(40)], "id bigint, features array<double>")
+    assert tune_w(pairs, HashFamily(2, 2, 6, seed=5)) > 0
+    with pytest.raises(ValueError, match="no rows"):
+        tune_w(table.limit(0), HashFamily(2, 2, 6, seed=5))
+
+
 def test_tune_key_length(points):
     family = HashFamily(6, 1, 4, (4.0,), seed=5)
     bulk, rows = points.filter("label = 0"), 400
