@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bucketscore.staging import stage
@@ -20,12 +20,14 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
+    value: Column | None = None,
 ) -> DataFrame:
     """Add ``upto_<c>`` for each of ``sums``: the total of ``c`` over rows up to this one.
 
     ``df`` has one row per ``(by, order)``; callers group before they call. The value axis is cut
     into ranges of similar row counts. Each range is summed, the few range totals are accumulated,
-    and the running sum inside a range is a window over that range alone.
+    and the running sum inside a range is a window over that range alone. ``value`` is a double that
+    grows with ``order``, if that is no number itself.
     """
     by = list(by)
     staged = stage(df, "ordered")
@@ -37,7 +39,7 @@ def running_totals(
         return table.select("*", *[F.sum(c).over(window).alias(f"upto_{c}") for c in sums])
 
     points = [i / ranges for i in range(1, ranges)]
-    value = F.col(order).cast("double")
+    value = F.col(order).cast("double") if value is None else value
     cuts = table.agg(F.percentile_approx(value, points, 10 * ranges)).first()[0]
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range", handleInvalid="error").transform(

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bucketscore.functions.exact import exact_total, parts_sums
 from bucketscore.functions.scalar import distance, doubles, histogram
 from bucketscore.operators.lsh import HashFamily, hash_points
 from bucketscore.staging import Staged, broadcast_limit, row_bytes, stage
@@ -119,11 +120,13 @@ def sum_over_buckets(
     features: str = "features",
     merge_widths: bool = False,
     array_length: int = 0,
+    exact: Sequence[str] = (),
 ) -> DataFrame:
     """For each point, the sum of each value over the buckets it falls in; no bucket counts 0.
 
     ``carry`` lists columns that depend on the id alone; ``merge_widths`` gives one row per point
-    where the family has several widths. The rows of one point leave the hashing step side by
+    where the family has several widths. The values in ``exact`` are doubles of one sign, whose sums do
+    not depend on the order of the tables. The rows of one point leave the hashing step side by
     side, so partial aggregation brings them down to one before the shuffle.
     """
     per_width = family.sweeping and not merge_widths
@@ -142,7 +145,9 @@ def sum_over_buckets(
         types = {f.name: f.dataType for f in matched.schema.fields}
         every = every.select(*group, *[F.lit(0).cast(types[name]).alias(name) for name in values])
         found = matched.unionByName(every)
-    return found.groupBy(*group).agg(*[F.sum(name).alias(name) for name in values])
+    sums = [s for name in values for s in (parts_sums(F.col(name), name) if name in exact else [F.sum(name).alias(name)])]
+    totals = [exact_total(name).alias(name) if name in exact else F.col(name) for name in values]
+    return found.groupBy(*group).agg(*sums).select(*group, *totals)
 
 
 def crowded_only(counts: Staged) -> Staged:

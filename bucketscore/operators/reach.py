@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bucketscore.functions.exact import exact_total, parts_sums
 from bucketscore.functions.running import kth_smallest
 from bucketscore.operators.buckets import neighbor_counts, sum_over_buckets
 from bucketscore.operators.lsh import HashFamily, hash_points
@@ -67,9 +68,9 @@ def estimators_from_reach(
         F.count(F.lit(1)).alias("n"),
         # A decimal: the sum over a crowded bucket of a large table passes 2^63.
         F.sum(F.col("reach").cast("decimal(20,0)")).cast("double").alias("_reach"),
-        F.sum(1.0 / F.col("reach")).alias("_inverse"),
+        *parts_sums(1.0 / F.col("reach"), "_inverse"),
     )
-    values = estimator_columns(F.col("n"), F.col("_reach"), F.col("_inverse"))
+    values = estimator_columns(F.col("n"), F.col("_reach"), exact_total("_inverse"))
     return sums.select(*family.keys, "n", *values)
 
 
@@ -98,7 +99,8 @@ def reach_scores(
 ) -> DataFrame:
     """``score1..score4``: minus the summed estimators of the buckets a point falls in."""
     values = {score: -F.col(e) for score, e in zip(SCORES, ESTIMATORS)}
-    return sum_over_buckets(points, family, estimators, values, n_points, id_col, carry, features)
+    # The sums of the first score are whole numbers.
+    return sum_over_buckets(points, family, estimators, values, n_points, id_col, carry, features, exact=SCORES[1:])
 
 
 def neighbor_threshold(neighbors: DataFrame, k: int) -> DataFrame:

@@ -127,7 +127,7 @@ def reach_tables(family: HashFamily, source: str = "h") -> str:
     return f"""{counts(family, source)},
 r AS (SELECT {scope}id, sum(n)::BIGINT AS reach FROM {source} JOIN b USING ({keys(family)}) GROUP BY {scope}id),
 e AS (SELECT {keys(family)}, count(*) AS n, count(*)::DOUBLE AS e1, sum(reach)::DOUBLE / count(*) AS e2,
-             count(*)::DOUBLE * count(*) / sum(reach) AS e3, sum(1.0e0 / reach) AS e4
+             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {exact_sum("1.0e0 / reach")} AS e4
       FROM {source} JOIN r USING {on} GROUP BY {keys(family)})"""
 
 
@@ -135,9 +135,15 @@ def rounded(expression: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0e0"
 
 
-def significant(value: str, digits: int = 10) -> str:
-    unit = f"pow(10.0e0, {digits - 1} - floor(log10(abs(nullif({value}, 0)))))"
-    return f"coalesce(floor({value} * {unit} + 0.5e0) / {unit}, 0.0e0)"
+def exact_sum(value: str) -> str:
+    """A sum of doubles of one sign, added as whole multiples of 2^-96 and made one double at the end."""
+    fraction = "0.0e0"
+    for k in range(4):
+        fraction = f"({fraction} + (abs(a) // {2 ** (24 * k)}::HUGEINT % 16777216)::DOUBLE) / 16777216.0e0"
+    return (
+        f"list_transform([sum(trunc(({value}) * {float(2**96)!r})::HUGEINT)], "
+        f"lambda a: CASE WHEN a < 0 THEN -1.0e0 ELSE 1.0e0 END * ((abs(a) // {2**96}::HUGEINT)::DOUBLE + {fraction}))[1]"
+    )
 
 
 def auroc(source: str, score: str, by: str = "", label: str = "label") -> str:
@@ -148,7 +154,7 @@ def auroc(source: str, score: str, by: str = "", label: str = "label") -> str:
     return f"""SELECT {group}sum(p * (below - n / 2.0e0)) / nullif(sum(p)::DOUBLE * sum(n), 0) AS area,
        sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives
 FROM (SELECT {group}s, p, n, sum(n) OVER ({part}ORDER BY s ROWS UNBOUNDED PRECEDING) AS below
-      FROM (SELECT {group}{significant(score)} AS s, count(*) FILTER ({label} = 1) AS p,
+      FROM (SELECT {group}{score} AS s, count(*) FILTER ({label} = 1) AS p,
                    count(*) FILTER ({label} <> 1) AS n FROM {source} GROUP BY {group}s)){tail}"""
 
 

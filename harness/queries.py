@@ -676,8 +676,9 @@ def base_training_predictions_sql():
 
 
 SCORES = ("score1", "score2", "score3", "score4")
+SCORE_SUMS = ", ".join(f"{O.exact_sum(f'-coalesce({e}, 0)')} AS {s}" for e, s in zip(ES, SCORES))
 REACH_SQL = f"""{split_hashed(ORDERS)}, {O.reach_tables(ORDERS)},
-scored AS (SELECT id, any_value(label) AS label, {', '.join(f'-sum(coalesce({e}, 0)) AS {s}' for e, s in zip(ES, SCORES))}
+scored AS (SELECT id, any_value(label) AS label, {SCORE_SUMS}
   FROM g LEFT JOIN e USING ({O.keys(ORDERS)}) JOIN test USING (id) GROUP BY id)"""
 
 
@@ -1031,10 +1032,10 @@ tr AS MATERIALIZED (SELECT h.*, fold FROM h, range(5) AS r(fold) WHERE kept AND
 b AS (SELECT fold, {k}, count(*) AS n FROM tr GROUP BY fold, {k}),
 r AS (SELECT fold, w, id, sum(n) AS reach FROM tr JOIN b USING (fold, {k}) GROUP BY fold, w, id),
 e AS (SELECT fold, {k}, count(*)::DOUBLE AS e1, sum(reach)::DOUBLE / count(*) AS e2,
-             count(*)::DOUBLE * count(*) / sum(reach) AS e3, sum(1.0e0 / reach) AS e4
+             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {O.exact_sum('1.0e0 / reach')} AS e4
       FROM tr JOIN r USING (fold, w, id) GROUP BY fold, {k}),
 scored AS (SELECT w, own AS fold, id, any_value(label) AS label,
-                  {', '.join(f'-sum(coalesce({x}, 0)) AS {s}' for x, s in zip(ES, SCORES))}
+                  {SCORE_SUMS}
            FROM (SELECT *, own AS fold FROM h) g LEFT JOIN e USING (fold, {k}) GROUP BY w, own, id),
 long AS ({' UNION ALL '.join(f'SELECT w, fold, {i + 1} AS estimator, label, {s} AS value FROM scored' for i, s in enumerate(SCORES))}),
 area AS ({O.auroc('long', 'value', 'w, fold, estimator')})"""

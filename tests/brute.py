@@ -44,10 +44,11 @@ def scores(test: dict[int, list[tuple]], table: dict[tuple, tuple]) -> dict[int,
     return {key: [-sum(table.get(b, zero)[e] for b in own) for e in range(4)] for key, own in test.items()}
 
 
-def auroc(values: list[float], labels: list[int]) -> float | None:
+def auroc(values: list[float], labels: list[int], tie: float = 1e-9) -> float | None:
+    """By pair counting; values whose relative difference is at most ``tie`` count as equal."""
     pos = [v for v, y in zip(values, labels) if y == 1]
     neg = [v for v, y in zip(values, labels) if y != 1]
     if not pos or not neg:
         return None
-    wins = sum(1.0 if p > n else 0.5 if abs(p - n) < 1e-9 * max(1.0, abs(p)) else 0.0 for p in pos for n in neg)
+    wins = sum(1.0 if p > n else 0.5 if p == n or abs(p - n) < tie * max(1.0, abs(p)) else 0.0 for p in pos for n in neg)
     return wins / (len(pos) * len(neg))

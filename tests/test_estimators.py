@@ -1,12 +1,15 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import bucketscore.operators.buckets as buckets_module
+from bucketscore.functions.exact import exact_total, parts_sums
 from bucketscore.functions.running import kth_smallest, running_totals
 from bucketscore.operators import buckets as B
 from bucketscore.operators import reach as R
-from bucketscore.operators.evaluate import auroc, confusion, evaluate
+from bucketscore.operators.evaluate import auroc, confusion, evaluate, rank
 from bucketscore.operators.lsh import HashFamily
 from bucketscore.staging import broadcast_limit, stage
 from tests import brute
@@ -223,10 +226,50 @@ def test_auroc_against_pairs(spark):
         assert got[g] == pytest.approx(brute.auroc([r[1] for r in part], [r[2] for r in part]))
 
 
-def test_auroc_ties_survive_another_order_of_addition(spark):
-    rows = [(0.1 + 0.2, 1.0), (0.3, 0.0)]
-    df = spark.createDataFrame(rows, "score double, label double")
-    assert auroc(df).first().auroc == 0.5
+def test_exact_sums_do_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(5)
+    groups = {g: (10.0 ** rng.uniform(-9, 9, 40)).tolist() for g in range(30)}
+    rows = [(g, sign, x) for g, xs in groups.items() for sign in (1.0, -1.0) for x in xs]
+    results = []
+    for seed in (1, 2):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        df = spark.createDataFrame(mixed, "g int, sign double, x double").repartition(1 + seed)
+        sums = df.groupBy("g", "sign").agg(*parts_sums(F.col("sign") * F.col("x"), "s")).select("g", "sign", exact_total("s").alias("s"))
+        results.append({(r.g, r.sign): r.s for r in sums.collect()})
+    assert results[0] == results[1]
+    for (g, sign), found in results[0].items():
+        assert found == pytest.approx(sign * float(sum(Fraction(x) for x in groups[g])), rel=1e-15)
+    none = spark.createDataFrame([(None,)], "x double").agg(*parts_sums(F.col("x"), "s")).select(exact_total("s").alias("s"))
+    assert none.first().s is None
+
+
+def test_sums_of_the_same_terms_tie(spark):
+    rows = [(1, 1.0, x) for x in (0.1, 0.2, 0.3)] + [(2, 0.0, x) for x in (0.3, 0.2, 0.1)]
+    df = spark.createDataFrame(rows, "id int, label double, x double").coalesce(1)
+    sums = df.groupBy("id", "label").agg(*parts_sums(F.col("x"), "s")).select("label", exact_total("s").alias("score"))
+    assert auroc(sums).first().auroc == 0.5
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_scores_are_ranked_unrounded(spark, kind):
+    """Apart in the 15th digit, or above 10^10; by pair counting, alone and with other scores."""
+    rng = np.random.default_rng(6)
+    if kind == "double":
+        values = [0.123456789012345 + 1e-15 * int(i) for i in rng.integers(0, 30, 60)] + [2e10 + 1e-5, 2e10 + 2e-5]
+    else:
+        values = [-20_000_000_000 - int(i) for i in rng.integers(0, 30, 60)] + [-(2**60), -(2**60) - 1]
+    rows = [(v, float(y), -v, 1.0) for v, y in zip(values, [*rng.integers(0, 2, 60), 1, 0])]
+    df = spark.createDataFrame(rows, f"score {kind}, label double, other {kind}, prediction double")
+    want = brute.auroc([r[0] for r in rows], [r[1] for r in rows], tie=0.0)
+    assert auroc(df).first().auroc == pytest.approx(want, abs=1e-12)
+    found = {r.estimator: r.auroc for r in evaluate(df, ("score", "other")).collect()}
+    assert found == {"score": pytest.approx(want, abs=1e-12), "other": pytest.approx(1 - want, abs=1e-12), "prediction": 0.5}
+
+
+def test_ranks_order_all_numbers(spark):
+    values = [-1e300, -3.5, -1.25, -1.0, -0.5, -1e-300, 0.0, 1e-300, 0.25, 1.0, 1.5, 2.0**53, 2.0**53 + 2, 1e19, 1e300]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    assert [r.i for r in df.orderBy(rank(F.col("v"))).collect()] == list(range(len(values)))
 
 
 def test_unlabelled_rows_take_no_part(spark):
