@@ -142,14 +142,14 @@ def standardize_orders_sql():
 
 @query
 def one_hot_customers(spark, folder):
-    encoded = one_hot(V.customers(spark, folder), V.customer_dictionary(spark, folder))
+    encoded = one_hot(V.customers(spark, folder), V.customer_dictionary(spark, folder), form="array")
     return encoded.select("id", F.concat_ws(",", F.transform("features", lambda x: F.round(x, 2).cast("string"))).alias("encoded"))
 
 
 @query
 def one_hot_slots(spark, folder):
     encoded = one_hot(V.customers(spark, folder), V.customer_dictionary(spark, folder))
-    slots = encoded.select("id", F.posexplode("features").alias("slot", "x"))
+    slots = encoded.select("id", F.inline(F.arrays_zip(F.col("features.indices").alias("slot"), F.col("features.values").alias("x"))))
     return slots.groupBy("slot").agg(F.count_if(F.col("x") != 0).alias("set_rows"), r6(F.sum("x"), "total"))
 
 
@@ -1241,11 +1241,10 @@ def one_hot_libsvm(spark, folder):
     """Encode, write sparse LIBSVM, and read it back with a named width."""
     dictionary = V.customer_dictionary(spark, folder)
     points = V.customers(spark, folder).withColumn("label", F.lit(0.0))
-    encoded = one_hot(points, dictionary, vector=True)
+    encoded = one_hot(points, dictionary, form="vector")
     path = _fresh(spark, "one-hot")
     write_libsvm(encoded, path)
-    width = sum(len(values) for values in dictionary) + 1
-    cells = read_libsvm(spark, path, width).select(F.posexplode("features").alias("slot", "x"))
+    cells = read_libsvm(spark, path, dictionary.width + 1).select(F.posexplode("features").alias("slot", "x"))
     return cells.groupBy("slot").agg(F.count_if(F.col("x") != 0).alias("set_rows"), r6(F.sum("x"), "total"))
 
 

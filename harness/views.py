@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bucketscore.operators.encoding import fit_one_hot
+from bucketscore.operators.encoding import Categories, fit_one_hot
 from bucketscore.operators.scaling import Scaling, fit_scaling
 
 ORDER_FEATURES = ("sum_qty", "sum_price", "avg_discount", "avg_tax", "o_totalprice")
@@ -81,7 +81,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.lit(None).cast("double").alias("label"), features.alias("features"))
 
 
-def customer_dictionary(spark: SparkSession, folder: str) -> list[list[int]]:
+def customer_dictionary(spark: SparkSession, folder: str) -> Categories:
     return fit_one_hot(customers(spark, folder), 2)
 
 

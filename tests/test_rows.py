@@ -85,16 +85,49 @@ def test_one_hot(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.pos: r.cats for r in category_dictionary(df, 2).collect()} == {0: [0, 2], 1: [10, 30]}
     dictionary = fit_one_hot(df, 2)
-    assert dictionary == [[0, 2], [10, 30]]
-    got = {r.id: r.features for r in one_hot(df, dictionary).collect()}
+    assert dictionary.sizes == (2, 2) and dictionary.width == 4
+    slots = {(r.pos, r.value): (r.slot, r.rows) for r in dictionary.table.df.collect()}
+    assert slots == {(0, 0): (0, 1), (0, 2): (1, 2), (1, 10): (2, 1), (1, 30): (3, 2)}
+    got = {r.id: r.features for r in one_hot(df, dictionary, form="array").collect()}
     assert got == {1: [0, 1, 1, 0, 0.5], 2: [1, 0, 0, 1, 1.5], 3: [0, 1, 0, 1, 0.0]}
+    sparse = {r.id: r.features for r in one_hot(df, dictionary).collect()}
+    assert (sparse[2].size, sparse[2].indices, sparse[2]["values"]) == (5, [0, 3, 4], [1.0, 1.0, 1.5])
     fresh = spark.createDataFrame([(4, 0.0, [7.0, 10.0, 2.0])], SCHEMA)
-    assert one_hot(fresh, dictionary, handle_invalid="zero").first().features == [0, 0, 1, 0, 2.0]
+    assert one_hot(fresh, dictionary, handle_invalid="zero", form="array").first().features == [0, 0, 1, 0, 2.0]
     with pytest.raises(Exception, match="unknown category in feature 0: 7"):
         one_hot(fresh, dictionary).collect()
-    wide = spark.createDataFrame([(i, 0.0, [float(i), 1.0]) for i in range(20)], SCHEMA)
-    vector = one_hot(wide, fit_one_hot(wide, 1), vector=True).filter("id = 3").first().features
-    assert type(vector).__name__ == "SparseVector" and vector.size == 21 and vector[3] == 1.0
+    none = spark.createDataFrame([(5, 0.0, [None, 10.0])], SCHEMA)
+    assert one_hot(none, dictionary, handle_invalid="zero").first().features.indices == [2]
+    with pytest.raises(Exception, match="unknown category in feature 0: null"):
+        one_hot(none, dictionary).collect()
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_wide_one_hot_with_a_hot_category(spark, limit, tmp_path):
+    """More values than a dense row should have; a third of the rows share one of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        value = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 2).cast("double")
+        features = F.array(value, (F.col("id") % 5).cast("double"), F.lit(0.5))
+        wide = spark.range(180_000).select("id", F.lit(1.0).alias("label"), features.alias("features"))
+        known = fit_one_hot(wide, 2)
+        assert known.sizes == (120_001, 5) and known.rows == 180_000
+        encoded = one_hot(wide, known, form="vector")
+        plan = one_hot(wide, known)._jdf.queryExecution().toString()
+        assert "array_to_vector" not in plan and "sequence(0, (" not in plan
+        assert ("_salt" in plan) == (limit == "-1")
+        rows = encoded.filter("id in (0, 3, 5, 179999)").collect()
+        assert len(rows) == 4 and {type(r.features).__name__ for r in rows} == {"SparseVector"}
+        value_at = {r.slot: r.value for r in known.table.df.collect()}
+        for r in rows:
+            assert r.features.size == 120_007 and list(r.features.values) == [1.0, 1.0, 0.5]
+            first, second, tail = (int(i) for i in r.features.indices)
+            assert value_at[first] == (7 if r.id % 3 == 0 else 2 * r.id) and value_at[second] == r.id % 5 and tail == 120_006
+        write_libsvm(encoded, str(tmp_path / "wide"))
+        back = spark.read.format("libsvm").option("numFeatures", "120007").load(str(tmp_path / "wide"))
+        assert back.count() == 180_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_histogram_bins(spark):
