@@ -10,7 +10,7 @@ from bucketscore.plans.detectors import (
     ReachabilityModel,
 )
 from bucketscore.plans.experiments import distance_sweep, grid_search, run_experiment
-from bucketscore.plans.tuning import tune_family, tune_w, w_sweep
+from bucketscore.plans.tuning import tune_family, tune_radius, tune_w, w_sweep
 
 __all__ = [
     "BucketCountDetector",
@@ -25,6 +25,7 @@ __all__ = [
     "hash_points",
     "run_experiment",
     "tune_family",
+    "tune_radius",
     "tune_w",
     "w_sweep",
 ]

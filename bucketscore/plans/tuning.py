@@ -27,6 +27,11 @@ MAX_TOLERANCE = 4.0
 
 # A sweep for reports; the search for a width has no fixed ends.
 CANDIDATES = tuple(2.0**e for e in range(9, -4, -1))
+# Accepted minimum neighbour count of a radius as a multiple of the wanted one.
+RADIUS_MIN_TOLERANCE = 0.1
+RADIUS_MAX_TOLERANCE = 10.0
+# Radii that one hashing pass measures.
+RADII = 4
 # Halvings of the width that one hashing pass measures.
 HALVINGS = 8
 # A double tells no more halvings of the data's extent apart.
@@ -204,6 +209,83 @@ def tune_key_length(
     return longest.shorten(reached)
 
 
+def least_neighbors(
+    points: DataFrame, family: HashFamily, radii, n_points: int, id_col: str = "id", features: str = "features"
+) -> dict[float, tuple[int, int]]:
+    """For each radius, the smallest neighbour count of any point and the number of buckets.
+
+    Dividing the points by a radius and multiplying the width by it are the same hash, so the points
+    are projected once and the radii are widths of one family.
+    """
+    (width,) = family.widths
+    by_width = {float(width * r): float(r) for r in radii}
+    wide = replace(family.at(*by_width), label_width=True)
+    counts = stage_counts(points, wide, features)
+    near = neighbor_counts(points, wide, counts, n_points, id_col, (), features)
+    least = {r.w: r.least for r in near.groupBy("w").agg(F.min("neighbors").alias("least")).collect()}
+    buckets = {r.w: r.n for r in counts.df.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drop(points.sparkSession, counts)
+    return {r: (int(least[w]), buckets[w]) for w, r in by_width.items()}
+
+
+def tune_radius(
+    points: DataFrame,
+    family: HashFamily,
+    wanted: int,
+    n_points: int,
+    id_col: str = "id",
+    features: str = "features",
+    start: float | None = None,
+    precision: float = PRECISION,
+) -> HashFamily:
+    """``family`` at a radius where the point with the fewest neighbours has about ``wanted``.
+
+    The search starts at ``start``, else at the distance of two random points, doubles the radius until
+    the minimum is within or above the tolerance and halves it until it is within or below, a few radii for each pass.
+    The smallest such radius in tolerance wins. Otherwise the gap between too few and too many is narrowed
+    geometrically; at ``precision`` the radius whose minimum is nearest is taken, with a warning. It is an
+    error if one bucket per table has too few rows, or if rows that are equal keep too many together.
+    """
+    if wanted < 1 or n_points < 1:
+        raise ValueError("wanted and n_points must be at least 1")
+    first = start if start is not None else starting_radius(points, family.dim, id_col, features, family.seed) or 1.0
+    low, high = RADIUS_MIN_TOLERANCE * wanted, RADIUS_MAX_TOLERANCE * wanted
+    found: dict[float, tuple[int, int]] = {}
+
+    def measure(radii) -> None:
+        found.update(least_neighbors(points, family, radii, n_points, id_col, features))
+
+    def hits() -> list[float]:
+        return [r for r, (least, _) in found.items() if low <= least <= high]
+
+    measure([first * 2.0**e for e in range(RADII)])
+    while found[max(found)][0] < low:
+        if found[max(found)][1] <= family.num_tables:
+            raise ValueError(f"one bucket per table gives {found[max(found)][0]} neighbours, {wanted} are wanted")
+        measure([max(found) * 2.0**e for e in range(1, RADII + 1)])
+    apart = None
+    while found[min(found)][0] >= low:
+        least, buckets = found[min(found)]
+        apart = different_rows(points, features) if apart is None else apart
+        if buckets >= apart * family.num_tables:
+            if not hits():
+                raise ValueError(f"rows that are equal keep {least} neighbours at any radius")
+            break
+        measure([min(found) * 2.0**-e for e in range(1, RADII + 1)])
+    while not hits():
+        bottom = max(r for r, (least, _) in found.items() if least < low)
+        top = min((r for r, (least, _) in found.items() if least > high and r > bottom), default=bottom)
+        if top <= bottom * (1 + precision):
+            break
+        step = (top / bottom) ** 0.25
+        measure([bottom * step**i for i in (1, 2, 3)])
+    if hits():
+        return replace(family, radius=family.radius * min(hits()))
+    best = min(found, key=lambda r: (abs(found[r][0] - wanted), r))
+    log.warning("no radius reached %s neighbours; using %s with %s", wanted, best, found[best][0])
+    return replace(family, radius=family.radius * best)
+
+
 def starting_radius(points: DataFrame, dim: int, id_col: str = "id", features: str = "features", seed: int = 7) -> float:
     """Distance of two seeded random points, a scale to start a search from."""
     pair = points.orderBy(hash01(id_col, seed, "radius"), id_col).limit(2)

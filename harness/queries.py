@@ -26,7 +26,7 @@ from bucketscore.plans.detectors import (
     dual_scores,
 )
 from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_report, grid_search, grid_summary, run_experiment
-from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_w, w_sweep
+from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_radius, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
 from bucketscore.streaming.scoring import parquet_sink, score_stream
 from bucketscore.staging import Staged, session_folder, stage
@@ -1011,6 +1011,30 @@ def start_radius_sql():
 SELECT {O.rounded('list_distance(arg_min(x, id), arg_max(x, id))')} AS radius FROM two"""
 
 
+RADIUS_SEARCH = ORDERS.at(2.0)
+RADIUS_WANTED = 20
+
+
+@query
+def tuned_radius(spark, folder):
+    """The radius at which the loneliest order has about the wanted neighbours over all tables."""
+    table = staged_orders(spark, folder)
+    chosen = tune_radius(table.df, RADIUS_SEARCH, RADIUS_WANTED, table.rows, start=1.0)
+    least = minimum_neighbors(table.df, chosen, table.rows)
+    return spark.createDataFrame([(chosen.radius, least)], "radius double, min_neighbors bigint")
+
+
+@oracle
+def tuned_radius_sql():
+    """The smallest power of two in tolerance; below it the minimum is too small."""
+    family = replace(RADIUS_SEARCH, label_width=True).at(*(2.0 * 2.0**e for e in range(-2, 9)))
+    k = O.keys(family)
+    return f"""WITH {ORDER_PTS}, {O.planes(family)}, {O.hashed(family)}, {O.counts(family)},
+m AS (SELECT w, min(s) AS least FROM (SELECT w, id, sum(n - 1) AS s FROM h JOIN b USING ({k}) GROUP BY w, id) GROUP BY w)
+SELECT w / 2.0e0 AS radius, least::BIGINT AS min_neighbors FROM m
+WHERE least BETWEEN 0.1e0 * {RADIUS_WANTED} AND 10 * {RADIUS_WANTED} ORDER BY w LIMIT 1"""
+
+
 def _grid(spark, folder):
     table = staged_orders(spark, folder, 9)
     return grid_search(table.df, ORDERS_GRID, GRID_WIDTHS, 5, SEED)

@@ -20,7 +20,7 @@ from bucketscore import (
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
 from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary
-from bucketscore.plans.tuning import halved_counts, minimum_neighbors, starting_radius, tune_family, tune_key_length
+from bucketscore.plans.tuning import halved_counts, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
 
@@ -275,6 +275,35 @@ def test_tune_key_length(points):
     assert starting_radius(points, 6) > 0
 
 
+def test_least_neighbors_by_radius(points, raw):
+    family = HashFamily(6, 2, 5, (3.0,), radius=2.0, seed=5)
+    found = least_neighbors(points, family, (0.5, 1.0, 4.0), 406)
+    plain = {k: x for k, (_, x) in raw.items()}
+    for radius, (least, buckets) in found.items():
+        own = brute.bucket_ids(plain, family, 3.0 * radius)
+        count = brute.sizes(own)
+        assert least == min(sum(count[b] - 1 for b in bs) for bs in own.values()) and buckets == len(count)
+
+
+@pytest.mark.parametrize("wanted, start", [(3, 1.0), (40, None), (900, 1e-4), (5, 1e5)])
+def test_tuned_radius_is_within_tolerance(points, wanted, start):
+    family = HashFamily(6, 1, 4, (4.0,), radius=1.5, seed=5)
+    bulk = points.filter("label = 0")
+    chosen = tune_radius(bulk, family, wanted, 400, start=start)
+    assert chosen.widths == family.widths and chosen.radius != family.radius
+    assert 0.1 * wanted <= minimum_neighbors(bulk, chosen, 400) <= 10 * wanted
+
+
+def test_radius_search_ends(points, spark):
+    family = HashFamily(6, 1, 4, (4.0,), seed=5)
+    with pytest.raises(ValueError, match="one bucket"):
+        tune_radius(points, family, 10**6, 406)
+    same = spark.createDataFrame([(i, [float(i % 2)] * 6) for i in range(60)], "id bigint, features array<double>")
+    with pytest.raises(ValueError, match="equal"):
+        tune_radius(same, family, 1, 60)
+    assert tune_radius(same, family, 20, 60).radius > 0
+
+
 def test_distance_sweep(points, raw):
     family = HashFamily(6, 2, 4, seed=5)
     got = {r.radius: r.mean_distance for r in distance_sweep(points, family, 406, (0.5, 2.0), 3.0).collect()}
