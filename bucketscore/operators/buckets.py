@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bucketscore.functions.exact import exact_total, parts_sums
 from bucketscore.functions.scalar import distance, doubles, histogram
-from bucketscore.operators.lsh import HashFamily, hash_points
+from bucketscore.operators.lsh import HashFamily, cut_keys, hash_points
 from bucketscore.staging import Staged, broadcast_limit, row_bytes, stage
 
 # Bytes that the crowded buckets may take as a broadcast side where the session's limit is lower.
@@ -20,8 +21,12 @@ HASH_BUILD_BYTES = 64 << 20
 
 def bucket_counts(points: DataFrame, family: HashFamily, features: str = "features") -> DataFrame:
     """Population ``n`` of every bucket. Partial aggregation merges crowded buckets per task."""
-    hashed = hash_points(points, family, features, keep=())
-    return hashed.groupBy(*family.keys).agg(F.count(F.lit(1)).alias("n"))
+    whole = replace(family, prefixes=())
+    counts = hash_points(points, whole, features, keep=()).groupBy(*whole.keys).agg(F.count(F.lit(1)).alias("n"))
+    if not family.prefixes:
+        return counts
+    # Buckets of a prefix are sums of those of the whole key.
+    return cut_keys(counts, family, "n").groupBy(*family.keys).agg(F.sum("n").alias("n"))
 
 
 def bucket_stats(counts: DataFrame, n_points: int, by: Sequence[str] = ()) -> DataFrame:
@@ -106,7 +111,7 @@ def _shuffled_join(hashed: DataFrame, table: DataFrame, rows: int, width: int, k
 def _crowded_share(family: HashFamily, table: Staged, width: int) -> int:
     """The share for which all crowded buckets together stay within the broadcast bound."""
     bound = max(broadcast_limit(table.df.sparkSession), CROWDED_BYTES)
-    return bound // (width * family.num_tables * len(family.widths))
+    return bound // (width * family.num_tables * family.scopes)
 
 
 def sum_over_buckets(
@@ -129,8 +134,8 @@ def sum_over_buckets(
     not depend on the order of the tables. The rows of one point leave the hashing step side by
     side, so partial aggregation brings them down to one before the shuffle.
     """
-    per_width = family.sweeping and not merge_widths
-    group = [id_col, *carry, *(family.scope if per_width else [])]
+    scope = [] if merge_widths else family.scope
+    group = [id_col, *carry, *scope]
     if _fits(table, array_length):
         hashed = hash_points(points, family, features, [id_col, *carry])
         found = hashed.join(F.broadcast(table.df), family.keys, "left")
@@ -140,8 +145,10 @@ def sum_over_buckets(
         matched = matched.select(*group, *[v.alias(name) for name, v in values.items()])
         # A zero for every point, so that those in no bucket stay in without an outer join.
         every = points.select(id_col, *carry)
-        if per_width:
+        if "w" in scope:
             every = every.select("*", F.explode(doubles(family.widths)).alias("w"))
+        if "length" in scope:
+            every = every.select("*", F.explode(F.array(*[F.lit(n) for n in family.prefixes])).alias("length"))
         types = {f.name: f.dataType for f in matched.schema.fields}
         every = every.select(*group, *[F.lit(0).cast(types[name]).alias(name) for name in values])
         found = matched.unionByName(every)

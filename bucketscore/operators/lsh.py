@@ -24,7 +24,10 @@ from bucketscore.functions.scalar import doubles
 
 @dataclass(frozen=True)
 class HashFamily:
-    """Seeded hash functions. With several widths, or ``label_width``, ``w`` is part of the key."""
+    """Seeded hash functions. With several widths, or ``label_width``, ``w`` is part of the key.
+
+    With ``prefixes``, so is ``length``: each key is also cut to its first codes, of which the rest is 0.
+    """
 
     dim: int
     key_length: int
@@ -33,6 +36,7 @@ class HashFamily:
     radius: float = 1.0
     seed: int = 7
     label_width: bool = False
+    prefixes: tuple[int, ...] = ()
     stored: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -67,7 +71,12 @@ class HashFamily:
     @property
     def scope(self) -> list[str]:
         """Columns that separate independent bucket tables."""
-        return ["w"] if self.sweeping else []
+        return [*(["w"] if self.sweeping else []), *(["length"] if self.prefixes else [])]
+
+    @property
+    def scopes(self) -> int:
+        """How many of them there are."""
+        return len(self.widths) * max(1, len(self.prefixes))
 
     @property
     def codes(self) -> list[str]:
@@ -120,6 +129,13 @@ class HashFamily:
         return spark.createDataFrame(rows, "t int, j int, a array<double>, u double")
 
 
+def cut_keys(rows: DataFrame, family: HashFamily, *carried: str) -> DataFrame:
+    """``rows`` of whole keys once for each of the family's prefixes, ``family.keys`` being cut to it."""
+    rows = rows.withColumn("length", F.explode(F.array(*[F.lit(n) for n in family.prefixes])))
+    codes = [F.when(F.col("length") > j, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c) for j, c in enumerate(family.codes)]
+    return rows.select(*carried, *family.scope, "t", *codes)
+
+
 def _projection_udf(family: HashFamily):
     planes, offsets = family.planes, family.offsets
     widths, radius = family.widths, family.radius
@@ -207,4 +223,6 @@ def hash_points(
         code = F.floor(F.get("_p", plane) / width + F.get(offsets, plane))
         # Never null: saying so spares joins a null filter that would compute every code again.
         codes.append(F.coalesce(code, F.lit(0)).alias(name))
-    return rows.select(*carried, *family.scope, "t", *codes)
+    whole = replace(family, prefixes=())
+    hashed = rows.select(*carried, *whole.scope, "t", *codes)
+    return cut_keys(hashed, family, *carried) if family.prefixes else hashed

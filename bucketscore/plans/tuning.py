@@ -165,6 +165,22 @@ def minimum_neighbors(points: DataFrame, family: HashFamily, n_points: int, id_c
     return int(least)
 
 
+def least_by_length(
+    points: DataFrame, family: HashFamily, lengths, n_points: int, id_col: str = "id", features: str = "features"
+) -> dict[int, tuple[int, int]]:
+    """For the family's key cut to each length, the smallest neighbour count and the number of buckets.
+
+    Points are hashed for whole keys; what is counted for those is added up for all shorter ones.
+    """
+    cut = replace(family, prefixes=tuple(lengths))
+    counts = stage_counts(points, cut, features)
+    near = neighbor_counts(points, cut, counts, n_points, id_col, (), features)
+    least = {r.length: r.least for r in near.groupBy("length").agg(F.min("neighbors").alias("least")).collect()}
+    buckets = {r.length: r.n for r in counts.df.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drop(points.sparkSession, counts)
+    return {n: (int(least[n]), buckets[n]) for n in lengths}
+
+
 def tune_key_length(
     points: DataFrame,
     family: HashFamily,
@@ -177,33 +193,25 @@ def tune_key_length(
 
     The lengths tried are prefixes of one key. Buckets of a prefix contain those of the whole key,
     so the minimum can only fall as the key grows. The key is doubled until its minimum is within
-    the tolerance above ``wanted``; bisection then finds the shortest such prefix. If that one is
-    below the tolerance, it or the one before is taken, whichever is nearer.
+    the tolerance above ``wanted``; one more pass then measures all its prefixes. The shortest within the
+    tolerance is taken; if that one is below it, it or the one before, whichever is nearer. It is an
+    error if all different rows are apart and the minimum is still too large.
     """
-    longest = replace(family, key_length=2, stored=None)
-    seen: dict[int, int] = {}
-
-    def least(length: int) -> int:
-        if length not in seen:
-            seen[length] = minimum_neighbors(points, longest.shorten(length), n_points, id_col, features)
-        return seen[length]
-
-    while least(longest.key_length) > wanted * MAX_TOLERANCE:
-        if seen[longest.key_length] == seen.get(longest.key_length // 2):
-            raise ValueError(f"rows that are equal keep {seen[longest.key_length]} neighbours at any key length")
-        # Other planes than those of the shorter key, so what was seen does not count.
+    longest = replace(family, key_length=1, stored=None)
+    least, apart = None, None
+    while least is None or least > wanted * MAX_TOLERANCE:
+        if least is not None:
+            apart = different_rows(points, features) if apart is None else apart
+            if buckets >= apart * family.num_tables:
+                raise ValueError(f"rows that are equal keep {least} neighbours at any key length")
+        # Other planes than those of the shorter key.
         longest = replace(family, key_length=2 * longest.key_length, stored=None)
-        seen.clear()
-        least(longest.key_length // 2)
-    below, reached = 0, longest.key_length
-    while reached - below > 1:
-        middle = (below + reached) // 2
-        if least(middle) > wanted * MAX_TOLERANCE:
-            below = middle
-        else:
-            reached = middle
-    if least(reached) < wanted * MIN_TOLERANCE and below:
-        nearer = min((below, reached), key=lambda length: (abs(least(length) - wanted), length))
+        least, buckets = least_by_length(points, longest, [longest.key_length], n_points, id_col, features)[longest.key_length]
+    found = least_by_length(points, longest, range(1, longest.key_length), n_points, id_col, features)
+    seen = {length: count for length, (count, _) in found.items()} | {longest.key_length: least}
+    reached = min(length for length, count in seen.items() if count <= wanted * MAX_TOLERANCE)
+    if seen[reached] < wanted * MIN_TOLERANCE and reached > 1:
+        nearer = min((reached - 1, reached), key=lambda length: (abs(seen[length] - wanted), length))
         log.warning("no key length reached %s neighbours; using %s with %s", wanted, nearer, seen[nearer])
         return longest.shorten(nearer)
     return longest.shorten(reached)

@@ -26,7 +26,7 @@ from bucketscore.plans.detectors import (
     dual_scores,
 )
 from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_report, grid_search, grid_summary, run_experiment
-from bucketscore.plans.tuning import CANDIDATES, minimum_neighbors, starting_radius, tune_key_length, tune_radius, tune_w, w_sweep
+from bucketscore.plans.tuning import CANDIDATES, least_by_length, minimum_neighbors, starting_radius, tune_key_length, tune_radius, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
 from bucketscore.streaming.scoring import parquet_sink, score_stream
 from bucketscore.staging import Staged, session_folder, stage
@@ -924,7 +924,8 @@ KEY_LENGTHS = (1, 2, 4, 8, 12)
 def key_length_sweep(spark, folder):
     """Minimum neighbours for some lengths; prefixes of one key."""
     table = staged_orders(spark, folder)
-    rows = [(k, minimum_neighbors(table.df, LONG_KEYS.shorten(k), table.rows)) for k in KEY_LENGTHS]
+    found = least_by_length(table.df, LONG_KEYS, KEY_LENGTHS, table.rows)
+    rows = [(k, least) for k, (least, _) in found.items()]
     return spark.createDataFrame(rows, "key_length bigint, min_neighbors bigint")
 
 

@@ -20,7 +20,7 @@ from bucketscore import (
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
 from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary
-from bucketscore.plans.tuning import halved_counts, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
+from bucketscore.plans.tuning import halved_counts, least_by_length, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
 
@@ -275,6 +275,30 @@ def test_tune_key_length(points):
     assert starting_radius(points, 6) > 0
 
 
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_least_neighbors_by_key_length(points, raw, limit):
+    """One pass for all prefixes gives what each of them gives alone."""
+    family = HashFamily(6, 9, 4, (6.0,), seed=5)
+    points.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        found = least_by_length(points, family, (1, 2, 5, 9), 406)
+    finally:
+        points.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = {k: x for k, (_, x) in raw.items()}
+    for length, (least, buckets) in found.items():
+        own = brute.bucket_ids(plain, family.shorten(length))
+        count = brute.sizes(own)
+        assert least == min(sum(count[b] - 1 for b in bs) for bs in own.values()) and buckets == len(count)
+
+
+def test_key_length_search_ends_for_equal_rows(spark):
+    same = spark.createDataFrame([(i, [float(i % 2)] * 6) for i in range(60)], "id bigint, features array<double>")
+    family = HashFamily(6, 1, 4, (0.5,), seed=5)
+    with pytest.raises(ValueError, match="equal"):
+        tune_key_length(same, family, 1, 60)
+    assert tune_key_length(same, family, 100, 60).key_length >= 1
+
+
 def test_least_neighbors_by_radius(points, raw):
     family = HashFamily(6, 2, 5, (3.0,), radius=2.0, seed=5)
     found = least_neighbors(points, family, (0.5, 1.0, 4.0), 406)
