@@ -103,6 +103,33 @@ def reach_scores(
     return sum_over_buckets(points, family, estimators, values, n_points, id_col, carry, features, exact=SCORES[1:])
 
 
+def left_out_scores(
+    points: DataFrame,
+    family: HashFamily,
+    estimators: Staged,
+    n_points: int,
+    id_col: str = "id",
+    features: str = "features",
+) -> DataFrame:
+    """``score1..score4`` of training rows as if each were a fresh row: it is taken out of its buckets.
+
+    A bucket of C rows with summed reach R and summed inverse reach I amounts to (C - 1, R - r, I - 1/r)
+    without a row of reach r. That reach is the summed size of the row's buckets. What the row adds to the
+    reach of the others stays in.
+    """
+    own = sum_over_buckets(points, family, estimators, {"reach": F.col("n")}, n_points, id_col, (), features)
+    rows = points.select(id_col, features).join(own, id_col)
+    others, total = F.col("n") - 1, F.col("e2") * F.col("n") - F.col("reach")
+    values = {
+        SCORES[0]: -others,
+        SCORES[1]: -F.when(others > 0, total / others).otherwise(0.0),
+        SCORES[2]: -F.when(others > 0, others.cast("double") * others / total).otherwise(0.0),
+        SCORES[3]: -F.when(others > 0, F.greatest(F.col("e4") - 1.0 / F.col("reach"), F.lit(0.0))).otherwise(0.0),
+    }
+    sums = sum_over_buckets(rows, family, estimators, values, n_points, id_col, ["reach"], features, exact=SCORES[1:])
+    return sums.select(id_col, F.col(SCORES[0]).cast("double").alias(SCORES[0]), *SCORES[1:])
+
+
 def neighbor_threshold(neighbors: DataFrame, k: int) -> DataFrame:
     """One row: the k-th smallest neighbour count. Points at or below it are called anomalies."""
     return kth_smallest(neighbors, "neighbors", max(1, k)).select(F.col("kth").alias("threshold"))

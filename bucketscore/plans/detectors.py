@@ -29,6 +29,7 @@ from bucketscore.operators.lsh import HashFamily
 from bucketscore.operators.reach import (
     SCORES,
     estimators_from_reach,
+    left_out_scores,
     neighbor_threshold,
     reach_scores,
 )
@@ -62,7 +63,7 @@ class DetectorParams(Params):
     numTablesMultiplier = _param("numTablesMultiplier", "factor on numTables for the final family", _int)
     splitW = _param("splitW", "bucket width; tuned if not set", _float)
     radius = _param("radius", "unit the features are divided by", _float)
-    minBucketSize = _param("minBucketSize", "wanted bucket size", _int)
+    minBucketSize = _param("minBucketSize", "wanted mean size of buckets, up to twice as many; a share of the rows if not set", _int)
     numPartitions = _param("numPartitions", "partitions of the training rows; Spark chooses if not set", _int)
     seed = _param("seed", "seed of the planes and the draws", _int)
     contamination = _param("contamination", "share of anomalies to assume where none is labelled", _float)
@@ -135,8 +136,13 @@ class _Detector(Estimator, DetectorParams):
 
     def _tuned(self, data: _Training, family: HashFamily, scale: float = 1.0) -> HashFamily:
         features, id_col, _ = self.names
+        low, high = LOW_SHARE, HIGH_SHARE
+        if self.isSet("minBucketSize"):
+            # Buckets of that size to twice that size.
+            low = min(1.0, self.getOrDefault("minBucketSize") / data.rows)
+            high = 2 * low
         return tune_family(
-            data.points, family, LOW_SHARE * scale, HIGH_SHARE * scale, self.getOrDefault("tuneFraction"),
+            data.points, family, low * scale, high * scale, self.getOrDefault("tuneFraction"),
             id_col, features, self.getOrDefault("seed"), data.rows,
         )
 
@@ -313,12 +319,16 @@ class ReachabilityDetector(_Detector):
         chosen, k = self.getOrDefault("predictionScore"), self._expected(data)
         if chosen == SCORES[0]:
             return -float(neighbor_threshold(near.df, k).first().threshold)
-        scores = reach_scores(data.points, family, buckets, data.rows, id_col, (), features)
+        scores = left_out_scores(data.points, family, buckets, data.rows, id_col, features)
         return -float(kth_smallest(scores.select((-F.col(chosen)).alias("value")), "value", k).first().kth)
 
 
 class ReachabilityModel(_DetectorModel):
-    """Adds ``score1..score4`` and ``prediction``; rows at or above the threshold are flagged."""
+    """Adds ``score1..score4`` and ``prediction``; rows at or above the threshold are flagged.
+
+    The threshold comes from training rows that are left out of their own buckets, as fresh rows are.
+    With ``excludeSelf`` the scores are those of training rows left out in the same way.
+    """
 
     score_columns = SCORES
     predictionScore = _param("predictionScore", "score that the prediction thresholds", _text)
@@ -330,13 +340,12 @@ class ReachabilityModel(_DetectorModel):
 
     def _scores(self, points: DataFrame, id_col: str) -> DataFrame:
         features, _, _ = self.names
+        if self.getOrDefault("excludeSelf"):
+            return left_out_scores(points, self.family, self.buckets, self.rows, id_col, features)
         return reach_scores(points, self.family, self.buckets, self.rows, id_col, (), features)
 
     def _decide(self, scored: DataFrame) -> Column:
-        chosen = self.getOrDefault("predictionScore")
-        # Only the first score's threshold leaves the row itself out.
-        own = self._own() if chosen == SCORES[0] else 0
-        return F.col(chosen) + own >= self.threshold
+        return F.col(self.getOrDefault("predictionScore")) >= self.threshold
 
 
 class DualResolutionDetector(_Detector):

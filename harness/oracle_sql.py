@@ -89,8 +89,8 @@ def hashed(family: HashFamily, source: str = "pts", carry: str = "id", name: str
     return f"{name} AS (SELECT {carry}, {'w, ' if wide else ''}t::INTEGER AS t, {codes} FROM {source}, planes{sweep})"
 
 
-def tuned(family: HashFamily, halvings: int) -> str:
-    """The smallest of the halved widths in range over ``pts``, else the smallest of three in the gap.
+def tuned(family: HashFamily, halvings: int, source: str = "pts", low: str = "0.05e0", high: str = "0.1e0") -> str:
+    """The smallest of the halved widths in range over ``source``, else the smallest of three in the gap.
 
     Halved widths share their offsets, so their buckets lie inside each other.
     """
@@ -100,20 +100,20 @@ def tuned(family: HashFamily, halvings: int) -> str:
     plain = ", ".join(f"floor(list_dot_product(x, a{k}) / w + u{k})::BIGINT AS k{k}" for k in range(family.key_length))
     keys = ", ".join(family.codes)
 
-    def shares(codes: str, source: str) -> str:
+    def shares(codes: str, of: str) -> str:
         return f"""(SELECT w, coalesce(avg(n) FILTER (n > 1) / any_value(total), 0) AS share
-      FROM (SELECT w, t, {keys}, count(*) AS n FROM (SELECT w, t, {codes} FROM pts, planes, {source}) GROUP BY ALL),
-           (SELECT count(*) AS total FROM pts) GROUP BY w)"""
+      FROM (SELECT w, t, {keys}, count(*) AS n FROM (SELECT w, t, {codes} FROM {source}, planes, {of}) GROUP BY ALL),
+           (SELECT count(*) AS total FROM {source}) GROUP BY w)"""
 
-    return f"""extent AS (SELECT pow(2.0e0, ceil(log2(sqrt({sides}) * {longest}))) AS w0 FROM pts),
+    return f"""extent AS (SELECT pow(2.0e0, ceil(log2(sqrt({sides}) * {longest}))) AS w0 FROM {source}),
 widths AS (SELECT w0, j, w0 / pow(2.0e0, j) AS w FROM extent, (SELECT unnest(range(0, {halvings})) AS j)),
 sweep AS MATERIALIZED {shares(halved, 'widths')},
-gap AS (SELECT bottom, min(w) FILTER (share > 0.1e0 AND w > bottom) AS top
-        FROM sweep, (SELECT max(w) AS bottom FROM sweep WHERE share < 0.05e0) GROUP BY bottom),
+gap AS (SELECT bottom, min(w) FILTER (share > {high} AND w > bottom) AS top
+        FROM sweep, (SELECT max(w) AS bottom FROM sweep WHERE share < {low}) GROUP BY bottom),
 inside AS (SELECT bottom * pow(pow(top / bottom, 0.25e0), i) AS w FROM gap, (VALUES (1), (2), (3)) AS v(i)),
 refined AS {shares(plain, 'inside')}
-SELECT round(coalesce((SELECT min(w) FROM sweep WHERE share BETWEEN 0.05e0 AND 0.1e0),
-                      (SELECT min(w) FROM refined WHERE share BETWEEN 0.05e0 AND 0.1e0)), 9) AS w"""
+SELECT round(coalesce((SELECT min(w) FROM sweep WHERE share BETWEEN {low} AND {high}),
+                      (SELECT min(w) FROM refined WHERE share BETWEEN {low} AND {high})), 9) AS w"""
 
 
 def counts(family: HashFamily, source: str = "h", name: str = "b") -> str:

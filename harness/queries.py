@@ -712,6 +712,91 @@ LIMIT (SELECT count(*) FROM train WHERE label = 1)))
 SELECT id, CASE WHEN score1 >= -threshold THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM scored, th"""
 
 
+def _reach_predictions(name: str):
+    """Predictions by a score whose threshold comes from training rows left out of their own buckets."""
+
+    def run(spark, folder):
+        model, test = _reach(spark, folder, predictionScore=name)
+        return model.transform(test).select("id", "prediction")
+
+    def sql():
+        value = {
+            "score2": "CASE WHEN n > 1 THEN (e2 * n - reach) / (n - 1) ELSE 0.0e0 END",
+            "score3": "CASE WHEN n > 1 THEN (n - 1)::DOUBLE * (n - 1) / (e2 * n - reach) ELSE 0.0e0 END",
+            "score4": "CASE WHEN n > 1 THEN greatest(e4 - 1.0e0 / reach, 0.0e0) ELSE 0.0e0 END",
+        }[name]
+        return f"""WITH {REACH_SQL},
+alone AS (SELECT id, {O.exact_sum(f'-({value})')} AS s FROM h JOIN e USING ({O.keys(ORDERS)}) JOIN r USING (id) GROUP BY id),
+th AS (SELECT min(s) AS threshold FROM (SELECT s FROM alone ORDER BY s DESC LIMIT (SELECT count(*) FROM train WHERE label = 1)))
+SELECT id, CASE WHEN {name} >= threshold THEN 1.0e0 ELSE 0.0e0 END AS prediction FROM scored, th"""
+
+    QUERIES[f"reach_predictions_{name}"], ORACLES[f"reach_predictions_{name}"] = run, sql
+
+
+for _name in SCORES[1:]:
+    _reach_predictions(_name)
+
+
+@query
+def multiplied_tables_scores(spark, folder):
+    """Ten tables, and a final family with five times as many."""
+    train, test = train_test(spark, folder)
+    detector = BucketCountDetector(keyLength=4, numTables=10, numTablesMultiplier=5, splitW=4.0, seed=SEED)
+    return detector.fit(train).transform(test).select("id", "score")
+
+
+@oracle
+def multiplied_tables_scores_sql():
+    return base_scores_sql()
+
+
+@query
+def partitioned_fit_scores(spark, folder):
+    """Training rows dealt by their id into a given number of partitions."""
+    train, test = train_test(spark, folder)
+    detector = BucketCountDetector(keyLength=4, numTables=50, splitW=4.0, seed=SEED, numPartitions=24)
+    return detector.fit(train).transform(test).select("id", "score")
+
+
+@oracle
+def partitioned_fit_scores_sql():
+    return base_scores_sql()
+
+
+@query
+def tuned_dual_widths(spark, folder):
+    """Both widths from the wanted sizes: the small one for a twentieth of the usual share."""
+    train, _ = train_test(spark, folder)
+    model = DualResolutionDetector(keyLength=4, numTables=20, smallBucketSize=5, largeBucketSize=100, seed=SEED).fit(train)
+    return spark.createDataFrame([tuple(round(w, 9) for w in model.family.widths)], "w_small double, w_large double")
+
+
+TUNED_DUAL = replace(ORDERS, num_tables=20)
+
+
+@oracle
+def tuned_dual_widths_sql():
+    small = O.tuned(TUNED_DUAL, 8, "train", "0.05e0 * (5 / 100.0e0)", "0.1e0 * (5 / 100.0e0)")
+    return f"""WITH {SPLIT_PTS}, {O.planes(TUNED_DUAL)}
+SELECT (WITH {small}) AS w_small, (WITH {O.tuned(TUNED_DUAL, 8, 'train')}) AS w_large"""
+
+
+@query
+def tuned_bucket_size(spark, folder):
+    """A width for a wanted mean bucket size in rows, and the size that the model has."""
+    train, _ = train_test(spark, folder)
+    model = BucketCountDetector(keyLength=4, numTables=20, minBucketSize=300, tuneFraction=1.0, seed=SEED).fit(train)
+    size = model.summary().select((F.col("mean_size") >= 300) & (F.col("mean_size") <= 600)).first()[0]
+    return spark.createDataFrame([(round(model.family.widths[0], 9), size)], "w double, in_range boolean")
+
+
+@oracle
+def tuned_bucket_size_sql():
+    total = "(SELECT count(*) FROM train)"
+    return f"""WITH {SPLIT_PTS}, {O.planes(TUNED_DUAL)}
+SELECT (WITH {O.tuned(TUNED_DUAL, 8, 'train', f'300.0e0 / {total}', f'600.0e0 / {total}')}) AS w, true AS in_range"""
+
+
 @query
 def dual_scores_orders(spark, folder):
     table, counts = order_buckets(spark, folder, ORDERS_DUAL)

@@ -44,6 +44,25 @@ def scores(test: dict[int, list[tuple]], table: dict[tuple, tuple]) -> dict[int,
     return {key: [-sum(table.get(b, zero)[e] for b in own) for e in range(4)] for key, own in test.items()}
 
 
+def left_out_scores(buckets: dict[int, list[tuple]]) -> dict[int, list[float]]:
+    """Scores of training points, each without its own part in its buckets."""
+    r = reach(buckets)
+    members = defaultdict(list)
+    for key, own in buckets.items():
+        for b in own:
+            members[b].append(key)
+    out = {}
+    for key, own in buckets.items():
+        totals = [0.0] * 4
+        for b in own:
+            others = [r[m] for m in members[b] if m != key]
+            if others:
+                values = (len(others), sum(others) / len(others), len(others) ** 2 / sum(others), sum(1 / x for x in others))
+                totals = [t + v for t, v in zip(totals, values)]
+        out[key] = [-t for t in totals]
+    return out
+
+
 def auroc(values: list[float], labels: list[int], tie: float = 1e-9) -> float | None:
     """By pair counting; values whose relative difference is at most ``tie`` count as equal."""
     pos = [v for v, y in zip(values, labels) if y == 1]

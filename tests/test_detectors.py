@@ -68,10 +68,15 @@ def test_reachability(points, raw):
     for x in scored.collect():
         assert [x.score1, x.score2, x.score3, x.score4] == pytest.approx(want[x.id])
     assert model.threshold == -sorted(v - 8 for v in brute.reach(own).values())[5]
-    other = ReachabilityDetector(**FIXED, predictionScore="score3").fit(points)
-    assert other.threshold == pytest.approx(sorted((s[2] for s in want.values()), reverse=True)[5])
-    flagged = other.transform(points).filter("prediction = 1").count()
-    assert flagged == sum(s[2] >= other.threshold for s in want.values())
+    # Other scores: each training row is taken out of its buckets, as a fresh row would meet them.
+    alone = brute.left_out_scores(own)
+    for i, name in enumerate(("score1", "score2", "score3", "score4")):
+        other = ReachabilityDetector(**FIXED, predictionScore=name).fit(points)
+        assert other.threshold == pytest.approx(sorted((s[i] for s in alone.values()), reverse=True)[5])
+        rows = other.transform(points).collect()
+        assert {x.id for x in rows if x.prediction} == {k for k, s in want.items() if s[i] >= other.threshold - 1e-12}
+        left_out = other.set_params(excludeSelf=True).transform(points).collect()
+        assert {x.id: [x.score1, x.score2, x.score3, x.score4] for x in left_out} == {k: pytest.approx(v) for k, v in alone.items()}
 
 
 def test_dual_resolution(points, raw):
@@ -299,6 +304,31 @@ def test_key_length_search_ends_for_equal_rows(spark):
     assert tune_key_length(same, family, 100, 60).key_length >= 1
 
 
+@pytest.mark.parametrize("score", ["score1", "score2", "score3", "score4"])
+def test_fresh_rows_are_flagged_as_often_as_wanted(spark, score):
+    draw = np.random.default_rng(11)
+    tables = []
+    for part in range(2):
+        rows = [(i, None, x) for i, x in enumerate(draw.standard_normal((3000, 3)).tolist())]
+        tables.append(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    detector = ReachabilityDetector(keyLength=2, numTables=20, splitW=1.0, seed=5, contamination=0.2, predictionScore=score)
+    model = detector.fit(tables[0])
+    flagged = model.transform(tables[1]).agg(F.avg("prediction")).first()[0]
+    assert 0.18 <= flagged <= 0.22
+    # The training rows themselves, left out of their buckets, are flagged exactly as often.
+    own = model.set_params(excludeSelf=True).transform(tables[0]).agg(F.sum("prediction")).first()[0]
+    assert 600 <= own <= 600 + (60 if score == "score1" else 2)
+
+
+def test_wanted_bucket_size_steers_the_width(points):
+    sizes = []
+    for wanted in (10, 60):
+        model = BucketCountDetector(keyLength=2, numTables=8, seed=5, minBucketSize=wanted, tuneFraction=1.0).fit(points)
+        sizes.append(model.summary().first().mean_size)
+        assert wanted <= sizes[-1] <= 2 * wanted
+    assert sizes[0] < sizes[1]
+
+
 def test_least_neighbors_by_radius(points, raw):
     family = HashFamily(6, 2, 5, (3.0,), radius=2.0, seed=5)
     found = least_neighbors(points, family, (0.5, 1.0, 4.0), 406)
