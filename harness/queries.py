@@ -25,7 +25,18 @@ from bucketscore.plans.detectors import (
     ReachabilityModel,
     dual_scores,
 )
-from bucketscore.plans.experiments import distance_sweep, fold_bucket_sizes, fold_counts, grid_report, grid_search, grid_summary, run_experiment
+from bucketscore.plans.experiments import (
+    GRID_WIDTHS,
+    distance_sweep,
+    fold_bucket_sizes,
+    fold_counts,
+    grid_report,
+    grid_search,
+    grid_summary,
+    published_grid,
+    run_experiment,
+)
+from bucketscore.plans.experiments import SWEEP_RADII as RADII
 from bucketscore.plans.tuning import CANDIDATES, least_by_length, minimum_neighbors, starting_radius, tune_key_length, tune_radius, tune_w, w_sweep
 from bucketscore.sources.points import read_libsvm, with_content_id, with_row_number, write_folds, write_libsvm, write_scored
 from bucketscore.streaming.scoring import parquet_sink, score_stream
@@ -42,11 +53,9 @@ ORDERS_DUAL = ORDERS.at(2.0, 8.0)
 ORDERS_SWEEP = replace(ORDERS, label_width=True).at(*CANDIDATES)
 ORDERS_RADII = HashFamily(5, 4, 10, seed=SEED)
 ORDERS_GRID = replace(ORDERS, num_tables=10)
-GRID_WIDTHS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 EMBEDDINGS = HashFamily(dim=64, key_length=4, num_tables=10, widths=(32.0,), seed=SEED)
 EVENTS = HashFamily(dim=3, key_length=4, num_tables=20, widths=(2.0,), seed=SEED)
 DOCUMENTS = HashFamily(dim=5, key_length=4, num_tables=20, widths=(4.0,), seed=SEED)
-RADII = (0.5, 1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 150.0)
 
 
 def query(function):
@@ -1129,14 +1138,13 @@ def _grid(spark, folder):
 GRID_FAMILY = replace(ORDERS_GRID, label_width=True).at(*GRID_WIDTHS)
 
 
-def grid_sql() -> str:
+def grid_sql(family: HashFamily = GRID_FAMILY, view: str = "orders") -> str:
     """Fold by fold, with a copy of the rows for every training set."""
-    family = GRID_FAMILY
     k = O.keys(family)
-    return f"""{O.points('orders', 9)}, {O.planes(family)},
+    return f"""{O.points(view, 9)}, {O.planes(family)},
 c AS (SELECT count(*) AS n, count(*) FILTER (label = 1) AS a FROM pts),
 f AS MATERIALIZED (SELECT pts.*, floor({O.hash01('id', SEED, 'fold')} * 5)::INTEGER AS own,
-             label <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a AS kept FROM pts, c),
+             coalesce(label, 0) <> 1 OR a::DOUBLE / n <= 0.02e0 OR {O.hash01('id', SEED, 'rebalance')} < 0.01e0 * n / a AS kept FROM pts, c),
 h AS MATERIALIZED (SELECT * FROM ({O.hashed(family, 'f', 'id, label, own, kept', 'x')[len('x AS (') : -1]})),
 tr AS MATERIALIZED (SELECT h.*, fold FROM h, range(5) AS r(fold) WHERE kept AND own <> fold),
 b AS (SELECT fold, {k}, count(*) AS n FROM tr GROUP BY fold, {k}),
@@ -1206,23 +1214,45 @@ def grid_report_orders(spark, folder):
     return found.select("dataset", "key_length", "num_tables", "w", *[r6(F.col(c), c) for c in (*areas, *REPORT)])
 
 
-@oracle
-def grid_report_orders_sql():
+def grid_report_sql(family: HashFamily, view: str) -> str:
     areas = ", ".join(
         f"{O.rounded(f'{kind}(area) FILTER (estimator = {e})')} AS {name}_auroc{e}"
         for kind, name in (("avg", "mean"), ("stddev_pop", "std"))
         for e in range(1, 5)
     )
-    return f"""WITH {grid_sql()}, total AS (SELECT fold, count(*) AS rows FROM f, range(5) AS r(fold) WHERE kept AND own <> fold GROUP BY fold),
+    return f"""WITH {grid_sql(family, view)}, total AS (SELECT fold, count(*) AS rows FROM f, range(5) AS r(fold) WHERE kept AND own <> fold GROUP BY fold),
 m AS (SELECT w, fold, count(*) AS buckets, count(*) FILTER (n > 1) AS multi_buckets, avg(n) FILTER (n > 1) AS mean_size,
              avg(n) FILTER (n > 1) / any_value(rows) AS relative_size, stddev_pop(n) FILTER (n > 1) / any_value(rows) AS relative_std
       FROM b JOIN total USING (fold) GROUP BY w, fold),
 z AS (SELECT w, {', '.join(f'{O.rounded(f"avg({c})")} AS {c}' for c in REPORT)} FROM m GROUP BY w),
 q AS (SELECT w, {areas} FROM area GROUP BY w)
-SELECT 'orders' AS dataset, {ORDERS_GRID.key_length}::INTEGER AS key_length, {ORDERS_GRID.num_tables}::INTEGER AS num_tables,
+SELECT '{view}' AS dataset, {family.key_length}::INTEGER AS key_length, {family.num_tables}::INTEGER AS num_tables,
        q.*, {', '.join(REPORT)} FROM q JOIN z USING (w)"""
 
 
+@oracle
+def grid_report_orders_sql():
+    return grid_report_sql(GRID_FAMILY, "orders")
+
+
+PUBLISHED = {"orders": 5, "events": 3, "documents": 5}
+
+
+@query
+def grid_report_published(spark, folder):
+    """The published grid, widths, tables and folds, on three data sets."""
+    datasets = {"orders": V.orders(spark, folder, 9), "events": V.events(spark, folder), "documents": V.documents(spark, folder)}
+    found = published_grid(datasets, seed=SEED)
+    areas = [f"{kind}_auroc{e}" for kind in ("mean", "std") for e in range(1, 5)]
+    return found.select("dataset", "key_length", "num_tables", "w", *[r6(F.col(c), c) for c in (*areas, *REPORT)])
+
+
+@oracle
+def grid_report_published_sql():
+    families = {view: replace(HashFamily(dim, 4, 50, seed=SEED), label_width=True).at(*GRID_WIDTHS) for view, dim in PUBLISHED.items()}
+    return " UNION ALL BY NAME ".join(f"SELECT * FROM ({grid_report_sql(family, view)})" for view, family in families.items())
+
+
 @query
 def experiment_orders(spark, folder):
     """Standardise on the training part, split, fit, evaluate."""

@@ -19,7 +19,7 @@ from bucketscore import (
 )
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
-from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary
+from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary, published_grid
 from bucketscore.plans.tuning import halved_counts, least_by_length, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
@@ -358,6 +358,17 @@ def test_radius_search_ends(points, spark):
     assert tune_radius(same, family, 20, 60).radius > 0
 
 
+def test_published_grid_times_every_width(points):
+    labelled = points.withColumn("label", F.when(F.col("id") % 7 == 0, 1.0).otherwise(0.0))
+    options = dict(widths=(2.0, 8.0), key_length=2, num_tables=4, folds=2, seed=5)
+    timed = published_grid({"a": points, "b": labelled}, timed=True, **options)
+    rows = {(r.dataset, r.w): r.asDict() for r in timed.collect()}
+    assert set(rows) == {(d, w) for d in "ab" for w in (2.0, 8.0)}
+    assert all(r.pop("seconds") > 0 for r in rows.values())
+    plain = {(r.dataset, r.w): r.asDict() for r in published_grid({"a": points, "b": labelled}, **options).collect()}
+    assert plain == {k: pytest.approx(v) for k, v in rows.items()}
+
+
 def test_distance_sweep(points, raw):
     family = HashFamily(6, 2, 4, seed=5)
     got = {r.radius: r.mean_distance for r in distance_sweep(points, family, 406, (0.5, 2.0), 3.0).collect()}
