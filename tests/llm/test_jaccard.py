@@ -53,16 +53,17 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("blocks,batch,step", [(4096, 1 << 20, 64), (20, 500, 3)])
-def test_against_all_pairs(spark, monkeypatch, blocks, batch, step):
-    monkeypatch.setattr(jaccard, "TEXTS_PER_BLOCK", blocks)
-    monkeypatch.setattr(jaccard, "BATCH_COLUMNS", batch)
-    monkeypatch.setattr(jaccard, "STEP", step)
+def test_against_all_pairs(spark, monkeypatch):
+    """In many small blocks, batches and steps."""
+    monkeypatch.setattr(jaccard, "TEXTS_PER_BLOCK", 20)
+    monkeypatch.setattr(jaccard, "BATCH_COLUMNS", 500)
+    monkeypatch.setattr(jaccard, "STEP", 3)
     roots = compare(spark, corpus())
     assert len(set(roots.values())) < len(roots) - 30
 
 
 def test_edge_cases(spark):
+    # With the sizes of production.
     assert jaccard.components(docs(spark, [])).count() == 0
     # A document of two texts joins what is like either of them.
     rows = [(None, "a b c d e f"), (None, None), (7, "a b c d e f"), (7, "a b c d e f"), (7, "A b c d  e f"), (8, "a b c d e f")]
