@@ -36,3 +36,20 @@ def exact_total(name: str) -> Column:
         negative = negative | (part < 0)
     size = (F.abs(sums[0]) + carry) + fraction
     return F.when(negative, -size).otherwise(size)
+
+
+def inverse_sums(count: Column, name: str) -> list[Column]:
+    """Aggregates ``name_0, name_1`` of ``1 / count`` for whole numbers, by integer division.
+
+    The members of a bucket of C rows have a reach of C at least, so their inverses add up to 1 at most
+    and the sums fit. Terms are exact to 2^-82, for counts below 2^42.
+    """
+    count = count.cast("bigint")
+    unit = F.lit(1 << 62)
+    rest = F.call_function("div", F.shiftleft(unit % count, 20), count)
+    return [F.sum(F.call_function("div", unit, count)).alias(f"{name}_0"), F.sum(rest).alias(f"{name}_1")]
+
+
+def inverse_total(name: str) -> Column:
+    """The sum of inverses whose parts ``inverse_sums`` added, as a double."""
+    return F.col(f"{name}_0") / F.lit(2.0**62) + F.col(f"{name}_1") / F.lit(2.0**82)

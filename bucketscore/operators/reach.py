@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.functions.exact import exact_total, parts_sums
+from bucketscore.functions.exact import inverse_sums, inverse_total
 from bucketscore.functions.running import kth_smallest
 from bucketscore.operators.buckets import neighbor_counts, sum_over_buckets
 from bucketscore.operators.lsh import HashFamily, hash_points
@@ -68,9 +68,9 @@ def estimators_from_reach(
         F.count(F.lit(1)).alias("n"),
         # A decimal: the sum over a crowded bucket of a large table passes 2^63.
         F.sum(F.col("reach").cast("decimal(20,0)")).cast("double").alias("_reach"),
-        *parts_sums(1.0 / F.col("reach"), "_inverse"),
+        *inverse_sums(F.col("reach"), "_inverse"),
     )
-    values = estimator_columns(F.col("n"), F.col("_reach"), exact_total("_inverse"))
+    values = estimator_columns(F.col("n"), F.col("_reach"), inverse_total("_inverse"))
     return sums.select(*family.keys, "n", *values)
 
 

@@ -127,7 +127,7 @@ def reach_tables(family: HashFamily, source: str = "h") -> str:
     return f"""{counts(family, source)},
 r AS (SELECT {scope}id, sum(n)::BIGINT AS reach FROM {source} JOIN b USING ({keys(family)}) GROUP BY {scope}id),
 e AS (SELECT {keys(family)}, count(*) AS n, count(*)::DOUBLE AS e1, sum(reach)::DOUBLE / count(*) AS e2,
-             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {exact_sum("1.0e0 / reach")} AS e4
+             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {inverse_sum("reach::BIGINT")} AS e4
       FROM {source} JOIN r USING {on} GROUP BY {keys(family)})"""
 
 
@@ -146,6 +146,15 @@ def exact_sum(value: str) -> str:
     )
 
 
+def inverse_sum(count: str) -> str:
+    """A sum of inverses of whole numbers, exact to 2^-82 a term."""
+    unit = f"{2**62}::BIGINT"
+    return (
+        f"(sum({unit} // {count})::DOUBLE / {float(2**62)!r} + "
+        f"sum({unit} % {count} * {2**20} // {count})::DOUBLE / {float(2**82)!r})"
+    )
+
+
 def auroc(source: str, score: str, by: str = "", label: str = "label") -> str:
     """Pair counting over distinct scores, ties half."""
     part = f"PARTITION BY {by} " if by else ""

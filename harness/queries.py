@@ -1150,7 +1150,7 @@ tr AS MATERIALIZED (SELECT h.*, fold FROM h, range(5) AS r(fold) WHERE kept AND
 b AS (SELECT fold, {k}, count(*) AS n FROM tr GROUP BY fold, {k}),
 r AS (SELECT fold, w, id, sum(n) AS reach FROM tr JOIN b USING (fold, {k}) GROUP BY fold, w, id),
 e AS (SELECT fold, {k}, count(*)::DOUBLE AS e1, sum(reach)::DOUBLE / count(*) AS e2,
-             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {O.exact_sum('1.0e0 / reach')} AS e4
+             count(*)::DOUBLE * count(*) / sum(reach) AS e3, {O.inverse_sum('reach::BIGINT')} AS e4
       FROM tr JOIN r USING (fold, w, id) GROUP BY fold, {k}),
 scored AS (SELECT w, own AS fold, id, any_value(label) AS label,
                   {SCORE_SUMS}

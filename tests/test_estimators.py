@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import bucketscore.operators.buckets as buckets_module
-from bucketscore.functions.exact import exact_total, parts_sums
+from bucketscore.functions.exact import exact_total, inverse_sums, inverse_total, parts_sums
 from bucketscore.functions.running import kth_smallest, running_totals
 from bucketscore.operators import buckets as B
 from bucketscore.operators import reach as R
@@ -243,6 +243,14 @@ def test_exact_sums_do_not_depend_on_the_order(spark):
     assert none.first().s is None
 
 
+def test_sums_of_inverses(spark):
+    counts = {1: [7] * 7, 2: [3, 4, 5], 3: [10**9 + i for i in range(50)], 4: [2**41] * 9}
+    df = spark.createDataFrame([(g, c) for g, cs in counts.items() for c in cs], "g int, c bigint").repartition(3)
+    sums = df.groupBy("g").agg(*inverse_sums(F.col("c"), "s")).select("g", inverse_total("s").alias("s"))
+    for r in sums.collect():
+        assert r.s == pytest.approx(float(sum(Fraction(1, c) for c in counts[r.g])), rel=1e-11)
+
+
 def test_sums_of_the_same_terms_tie(spark):
     rows = [(1, 1.0, x) for x in (0.1, 0.2, 0.3)] + [(2, 0.0, x) for x in (0.3, 0.2, 0.1)]
     df = spark.createDataFrame(rows, "id int, label double, x double").coalesce(1)
