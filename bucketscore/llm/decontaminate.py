@@ -4,8 +4,12 @@ Numbers, names and units are replaced by typed placeholders, so a question asked
 values keeps its template. Every window of ``WINDOW`` template words of a document is hashed and
 joined with the windows of the benchmark. A matching window is a hit if the slots agree: within a
 document and an item, a value of the benchmark must always stand for the same value in the document.
-An item is leaked by a document that has enough of its windows. Everything is column expressions
-and joins.
+An item is leaked by a document that has enough of its windows.
+
+Templates need words of their own to be told apart, and a change of case moves names. So an item is
+looked for in a second form too, its exact words in lower case; that form also finds windows of
+hardly anything but numbers and names. An item shorter than a window is one window of its own length.
+Everything is column expressions and joins, in time proportional to the texts.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from bucketscore.staging import broadcast_limit, drop, stage
 
 #: Template words of a window.
 WINDOW = 8
-#: Words of a benchmark window that must not be placeholders, else it is not looked for.
+#: Words of a template window that must not be placeholders; other windows are looked for by exact words alone.
 LITERAL = 4
+#: Words that an item needs; fewer do not tell it from ordinary text, so such items are never leaked.
+SHORTEST = 4
 #: Share of an item's windows, in hundredths, that a document must have to leak it.
 COVERED = 50
-#: Hits in a row of one item that leak it whatever its length: a passage of over 50 words.
-PASSAGE = 44
+#: Hits in a row of one item that leak it whatever its length: 25 words.
+PASSAGE = 18
+#: The two forms of an item.
+TEMPLATE, EXACT = 0, 1
 # Units of measure that follow a number.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "cl", "l",
@@ -40,6 +48,8 @@ _BETWEEN = r"[.,:/'’]*[^\p{L}\p{N}$€£%+.,:/'’-]+[.,:/'’]*"
 NUMBER, NAME, UNIT = "<n>", "<name>", "<unit>"
 _NUMBER = r"^[$€£]?[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?$"
 _GLUED = r"^[$€£]?[+-]?\d+(?:[.,]\d+)*(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + ")$"
+# A capitalised word or an initial, and the space before another one.
+_RUN = r"(?<![^ ])(\p{Lu}(?:[\p{Ll}'’][^ ]*)?) (?=\p{Lu}(?:[\p{Ll}'’ ]|$))"
 
 
 def tokens(text: Column) -> Column:
@@ -51,13 +61,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(around, _BETWEEN), "")
 
 
+def name_runs(words: Column) -> Column:
+    """The words, with each run of capitalised words and initials ("John F Smith") joined to one."""
+    return F.split(F.regexp_replace(F.array_join(words, " "), _RUN, "$1_"), " ")
+
+
 def template(words: Column) -> Column:
     """The placeholder of each word, or the word in lower case.
 
     A number is digits with separators, also with a currency sign or an ordinal ending. A unit is a
-    unit's word right after a number. A name is a capitalised word of three letters or more that
-    follows a word which is lower-case, so the first word of a sentence counts as a name only
-    inside a line of text; what matters is that the same words give the same template.
+    unit's word right after a number. A name is a run of capitalised words wherever it stands, or one
+    capitalised word of two letters or more after a lower-case word. One capitalised word that
+    opens a text stays a word.
     """
     previous = F.slice(F.concat(F.array(F.lit("")), words), 1, F.size(words))
     units = F.array(*map(F.lit, UNITS))
@@ -72,43 +87,99 @@ def template(words: Column) -> Column:
         number = F.when(word.rlike(_NUMBER), F.lit(NUMBER)).when(word.rlike(_GLUED), F.lit(NUMBER + UNIT)).otherwise(low)
         unit = numeric(before) & before.rlike(_NUMBER) & F.array_contains(units, low)
         capital = (low != word) & (F.substring(low, 1, 1) != F.substring(word, 1, 1))
-        name = capital & (F.length(word) > 2) & (before != "") & (F.lower(before) == before)
+        alone = (F.length(word) > 1) & (before != "") & (F.lower(before) == before)
+        name = capital & (alone | F.contains(word, F.lit("_")))
         return F.when(numeric(word), number).when(unit, F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low)
 
     return F.zip_with(words, previous, placeholder)
 
 
-def window_hashes(words: Column) -> Column:
-    """``array<bigint>``: the hash of the template window that starts at each position."""
-    last = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda start: F.xxhash64(F.slice(words, start, WINDOW)))
-    return F.when(last > 0, hashes)
+def _forms(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep, words, runs, template`` of ``rows(text)``, and a hash of each word of the two forms."""
+    rows = rows.select(*keep, tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    rows = rows.select(*keep, "words", name_runs(F.col("words")).alias("runs"))
+    rows = rows.select(*keep, "words", "runs", template(F.col("runs")).alias("template"))
+    return rows.select(
+        "*",
+        F.transform("template", lambda word: F.xxhash64(word)).alias("template_hashes"),
+        F.transform("words", lambda word: F.xxhash64(F.lower(word))).alias("exact_hashes"),
+    )
+
+
+def _literal(word: Column) -> Column:
+    return F.substring(word, 1, 1) != "<"
+
+
+def _said(at: Column, length: int = WINDOW) -> Column:
+    """``array<string>``: the values behind the placeholders of the window at ``at``, null for its words.
+
+    Single elements are taken, since a slice of a long array may copy all of it."""
+    spots = [(F.get("template", at + k), F.get("runs", at + k)) for k in range(length)]
+    return F.array(*[F.when(~_literal(kind), F.lower(word)) for kind, word in spots])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``(hash, item_id, pos, n_windows, slots)`` of ``benchmark(item_id, text)``. Items with the
-    same template are one, under the smallest id. Items shorter than a window have none."""
-    rows = benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("words"))
-    rows = rows.select("item_id", "words", template(F.col("words")).alias("template"))
-    rows = rows.groupBy("template").agg(F.min(F.struct("item_id", "words")).alias("first"))
-    rows = rows.select("first.item_id", "first.words", "template", F.posexplode(window_hashes(F.col("template"))).alias("pos", "hash"))
-    own = F.filter(F.slice("template", F.col("pos") + 1, WINDOW), lambda w: F.substring(w, 1, 1) != "<")
-    rows = rows.filter(F.size(own) >= LITERAL).select("hash", "item_id", "pos", _slots("words", "template", F.col("pos")).alias("slots"))
-    sizes = rows.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
-    return rows.join(sizes, "item_id").select("hash", "item_id", "pos", "n_windows", "slots")
+    """``(hash, item_id, form, length, pos, n_windows, slots)`` of ``benchmark(item_id, text)``.
+
+    ``pos`` numbers the windows of an item and form that are looked for. Items with the same template
+    are one, under the smallest id; so are items of the same words whose templates have no window
+    with enough words of its own.
+    """
+    items = _forms(benchmark.filter("item_id is not null"), "item_id").filter(F.size("words") >= SHORTEST)
+    size = F.least(F.size("template"), F.lit(WINDOW))
+    starts = F.sequence(F.lit(1), F.size("template") - size + 1)
+    own = F.filter(starts, lambda start: F.size(F.filter(F.slice("template", start, size), _literal)) >= LITERAL)
+    items = items.withColumn("own", own)
+    same = F.when(F.size("own") > 0, F.col("template")).otherwise(F.transform("words", F.lower))
+    values = [c for c in items.columns if c != "item_id"]
+    items = items.groupBy(same.alias("same")).agg(F.min(F.struct("item_id", *values)).alias("first")).select("first.*")
+
+    length = F.least(F.size("template"), F.lit(WINDOW)).alias("length")
+    rows = items.select("*", length, F.posexplode("own").alias("pos", "start"))
+    by_template = rows.select(
+        F.xxhash64(F.lit(TEMPLATE), F.slice("template_hashes", F.col("start"), F.col("length"))).alias("hash"),
+        "item_id", F.lit(TEMPLATE).alias("form"), "length", "pos", _said(F.col("start") - 1).alias("slots"),
+    )
+    length = F.least(F.size("words"), F.lit(WINDOW)).alias("length")
+    rows = items.select("*", length, F.posexplode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("pos", "start"))
+    by_words = rows.select(
+        F.xxhash64(F.lit(EXACT), F.slice("exact_hashes", F.col("start"), F.col("length"))).alias("hash"),
+        "item_id", F.lit(EXACT).alias("form"), "length", "pos", F.lit(None).cast("array<string>").alias("slots"),
+    )
+    windows = by_template.unionByName(by_words)
+    sizes = windows.groupBy("item_id", "form").agg(F.count(F.lit(1)).cast("int").alias("n_windows"))
+    return windows.join(sizes, ["item_id", "form"])
+
+
+def document_windows(docs: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``(doc_id, hash, at, template, runs)``: a row for each window of the given (form, length).
+
+    The hashes of a text are made in one array, a stretch as long as the text for each shape, so that
+    the position of a window is the remainder of its place there.
+    """
+    rows = _forms(docs.filter("doc_id is not null"), "doc_id")
+    total = F.size("words")
+
+    def stretch(form: int, length: int) -> Column:
+        name = "exact_hashes" if form == EXACT else "template_hashes"
+        last = F.size(name) - length
+
+        def hashed(at: Column) -> Column:
+            return F.when(at <= last, F.xxhash64(F.lit(form), *[F.get(name, at + k) for k in range(length)]))
 
+        return F.transform(F.sequence(F.lit(0), total - 1), hashed)
 
-def _slots(words: str, templates: str, start: Column) -> Column:
-    """``array<string>``: the words behind the placeholders of a window, in order."""
-    pairs = F.arrays_zip(F.slice(words, start + 1, WINDOW), F.slice(templates, start + 1, WINDOW))
-    return F.transform(F.filter(pairs, lambda p: F.substring(p["1"], 1, 1) == "<"), lambda p: F.lower(p["0"]))
+    hashes = F.concat(*[stretch(*shape) for shape in shapes])
+    rows = rows.select("doc_id", "template", "runs", total.alias("total"), hashes.alias("hashes"))
+    rows = rows.select("doc_id", "template", "runs", "total", F.posexplode("hashes").alias("place", "hash"))
+    return rows.select("doc_id", "hash", (F.col("place") % F.col("total")).alias("at"), "template", "runs")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, hits, n_windows, run, changed_slots)``: a row for each leaked item.
 
-    ``hits`` counts the item's windows that the document has with consistent slots, ``run`` the
-    longest row of them at consecutive positions of the item, ``changed_slots`` the benchmark
+    ``hits`` counts the item's windows that the document has with consistent slots, in the form that
+    the document covers best, ``run`` the longest row of them, ``changed_slots`` the benchmark
     values that stand for another value in the document: above 0 the item was re-parameterised. A window whose slots contradict what
     most windows of the same document and item say is no hit.
 
@@ -120,29 +191,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = stage(benchmark_windows(benchmark), "items")
     keys = stage(items.df.select("hash").distinct(), "keys")
-    rows = docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "words", template(F.col("words")).alias("template"))
-    windows = rows.select("doc_id", "words", "template", F.posexplode(window_hashes(F.col("template"))).alias("at", "hash"))
-    slots = _slots("words", "template", F.col("at"))
+    # Two forms of at most WINDOW lengths.
+    shorter = items.df.filter(F.col("length") < WINDOW).select("form", "length").distinct().collect()
+    shapes = [(TEMPLATE, WINDOW), (EXACT, WINDOW), *sorted((r.form, r.length) for r in shorter)]
+    windows = document_windows(docs, shapes)
+    said = _said(F.col("at")).alias("doc_slots")
     if 64 * keys.rows <= max(broadcast_limit(spark), 8 << 20):
         # The benchmark's windows fit a broadcast of a checked size: nothing else of a document moves.
-        found = windows.join(F.broadcast(keys.df), "hash").select("doc_id", "at", "hash", slots.alias("doc_slots"))
+        found = windows.join(F.broadcast(keys.df), "hash").select("doc_id", "hash", said)
     else:
-        found = windows.select("doc_id", "at", "hash", slots.alias("doc_slots")).join(keys.df, "hash", "left_semi")
+        found = windows.select("doc_id", "hash", said).join(keys.df, "hash", "left_semi")
     matched = stage(found, "matched")
     # Windows that many documents share meet few items each, since items of one template are one.
-    pairs = matched.df.join(items.df, "hash").select("doc_id", "item_id", "pos", "n_windows", "slots", "doc_slots")
-    pairs = pairs.dropDuplicates(["doc_id", "item_id", "pos", "doc_slots"])
+    joined = matched.df.join(items.df, "hash")
+    slots = F.when(F.col("form") == TEMPLATE, F.col("doc_slots")).alias("doc_slots")
+    key = ["doc_id", "item_id", "form"]
+    pairs = joined.select(*key, "pos", "n_windows", "slots", slots).dropDuplicates([*key, "pos", "doc_slots"])
     zipped = F.arrays_zip(F.col("slots").alias("asked"), F.col("doc_slots").alias("said"))
-    values = pairs.select("doc_id", "item_id", F.explode(zipped).alias("slot")).groupBy("doc_id", "item_id", "slot.asked", "slot.said").count()
-    usual = values.groupBy("doc_id", "item_id", "asked").agg(F.max(F.struct("count", "said")).alias("most"))
-    usual = usual.groupBy("doc_id", "item_id").agg(
+    values = pairs.select(*key, F.explode(zipped).alias("slot")).filter("slot.asked is not null")
+    values = values.groupBy(*key, "slot.asked", "slot.said").count()
+    usual = values.groupBy(*key, "asked").agg(F.max(F.struct("count", "said")).alias("most"))
+    usual = usual.groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("asked", "most.said"))).alias("meaning"),
         F.count(F.when(F.col("asked") != F.col("most.said"), 1)).alias("changed_slots"),
     )
-    joined = pairs.join(usual, ["doc_id", "item_id"], "left")
-    agrees = F.forall(zipped, lambda slot: F.try_element_at("meaning", slot["asked"]) == slot["said"])
-    hits = joined.filter(agrees).groupBy("doc_id", "item_id", "n_windows").agg(
+    joined = pairs.join(usual, key, "left")
+    agrees = F.forall(zipped, lambda slot: slot["asked"].isNull() | (F.try_element_at("meaning", slot["asked"]) == slot["said"]))
+    hits = joined.filter((F.col("form") == EXACT) | agrees).groupBy(*key, "n_windows").agg(
         F.array_sort(F.collect_set("pos")).alias("at"), F.coalesce(F.max("changed_slots"), F.lit(0)).alias("changed_slots")
     )
     initial = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
@@ -152,10 +227,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.struct(pos.alias("last"), now.alias("now"), F.greatest(state["best"], now).alias("best"))
 
     hits = hits.select(
-        "doc_id", "item_id", F.size("at").cast("bigint").alias("hits"), F.col("n_windows").cast("bigint").alias("n_windows"),
+        *key, F.size("at").cast("bigint").alias("hits"), F.col("n_windows").cast("bigint").alias("n_windows"),
         F.aggregate("at", initial, step, lambda s: s["best"]).cast("bigint").alias("run"), "changed_slots",
     )
-    result = stage(hits.filter((100 * F.col("hits") >= COVERED * F.col("n_windows")) | (F.col("run") >= PASSAGE)), "leaks")
+    hits = hits.filter((100 * F.col("hits") >= COVERED * F.col("n_windows")) | (F.col("run") >= PASSAGE))
+    best = F.max(F.struct(F.col("hits") / F.col("n_windows"), "form", "hits", "n_windows", "run", "changed_slots")).alias("best")
+    hits = hits.groupBy("doc_id", "item_id").agg(best)
+    result = stage(hits.select("doc_id", "item_id", *[f"best.{c}" for c in ("hits", "n_windows", "run", "changed_slots")]), "leaks")
     drop(spark, matched, items, keys)
     return result.df
 

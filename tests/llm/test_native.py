@@ -205,3 +205,77 @@ def test_templates(spark):
 def test_decontamination_of_nothing(spark):
     assert found_leaks(spark, [], [(1, QUESTION)]) == {}
     assert found_leaks(spark, [(1, QUESTION, None)], []) == {}
+
+
+def test_leaks_of_full_names_short_items_and_long_runs(spark):
+    trade = "John Smith buys 12 apples from Mary Brown and sells 5 of them to Peter Green for 3 dollars each"
+    again = "Li Wu buys 40 apples from Jo van Berg and sells 9 of them to Ana Maria Lopez for 8 dollars each"
+    other = trade.replace("John Smith", "Bob Q Stone").replace("12", "7").replace("Mary Brown", "Al Fox").replace("5", "2")
+    capital, short = "What is the capital city of southern France", "who rules northern ruritania today"
+    long = prose(3, 59, 9_999)
+    numbers = "7 12 9 30 4 1 18 22 5 61 9 2"
+    items = [(1, trade), (2, capital), (3, short), (4, long), (5, numbers), (6, "of the one")]
+    texts = {
+        1: "Today " + other + " " + prose(9, 30), 2: prose(4, 30) + " " + capital + " " + prose(5, 30), 3: "so " + short.upper() + " ok",
+        4: prose(6, 40) + " " + " ".join(long.split()[10:42]) + " " + prose(7, 40), 5: "x " + numbers + " y",
+        6: "x " + " ".join(numbers.split()[::-1]), 7: "many of the one kind", 8: trade.lower(), 9: prose(10, 200), 10: again,
+    }
+    found = found_leaks(spark, [(i, t, "h") for i, t in texts.items()], items)
+    assert {i: found[i].item_id for i in found if i != 10} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 8: 1}
+    assert found[1].changed_slots >= 4 and found[5].changed_slots == 0 and found[8].changed_slots == 0
+
+
+def plain_leaks(text, items):
+    """Items whose template the words of ``text`` hold in full or by half, for prose of one-word names and numbers."""
+
+    def forms(text):
+        words = text.split()
+        kinds = ["<n>" if w.isdigit() else "<name>" if i and w[0].isupper() and words[i - 1].islower() else w.lower() for i, w in enumerate(words)]
+        return words, kinds
+
+    words, kinds = forms(text)
+    found = set()
+    for item, asked in items.items():
+        asked_words, asked_kinds = forms(asked)
+        for exact in (False, True):
+            a, d = ([w.lower() for w in asked_words], [w.lower() for w in words]) if exact else (asked_kinds, kinds)
+            starts = [s for s in range(len(a) - 7) if exact or sum(w[0] != "<" for w in a[s : s + 8]) >= 4]
+            same = {(s, t) for s in starts for t in range(len(d) - 7) if a[s : s + 8] == d[t : t + 8]}
+            votes = {}
+            for s, t in same if not exact else ():
+                for k in range(8):
+                    if a[s + k][0] == "<":
+                        said = votes.setdefault(asked_words[s + k].lower(), {})
+                        said.setdefault(words[t + k].lower(), set()).add((s, tuple(w.lower() for w, q in zip(words[t : t + 8], d[t : t + 8]) if q[0] == "<"), k))
+            usual = {k: max((len(v), w) for w, v in said.items())[1] for k, said in votes.items()}
+            hits = {
+                s for s, t in same
+                if exact or all(a[s + k][0] != "<" or usual[asked_words[s + k].lower()] == words[t + k].lower() for k in range(8))
+            }
+            if starts and 2 * len(hits) >= len(starts):
+                found.add(item)
+    return found
+
+
+def test_random_templates_against_plain_windows(spark):
+    draw = random.Random(5)
+
+    def value(kind):
+        return str(draw.randrange(90)) if kind == "n" else "N" + "".join(draw.choices("abcde", k=3)) if kind == "N" else kind
+
+    shapes = {}
+    for item in range(12):
+        kinds = [draw.choice(["n", "N"]) if i and i % draw.choice([3, 4, 5]) == 0 else f"i{item}k{draw.randrange(20)}" for i in range(18)]
+        # No two names side by side, so that each is a run of its own.
+        shapes[item] = [k if k != "N" or kinds[i - 1] not in ("n", "N") else f"z{i}" for i, k in enumerate(kinds)]
+    items = {item: " ".join(map(value, shape)) for item, shape in shapes.items()}
+    texts = {}
+    for doc in range(60):
+        shape = shapes[draw.randrange(12)]
+        part = shape[draw.randrange(6) :][: draw.randrange(8, 18)]
+        texts[doc] = " ".join([prose(doc, 9), *map(value, part), prose(99 + doc, 9)])
+    rows = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id bigint, text string")
+    found = decontaminate.leaks(rows, spark.createDataFrame(list(items.items()), BENCH)).collect()
+    got = {d: {r.item_id for r in found if r.doc_id == d} for d in texts}
+    assert got == {d: plain_leaks(t, items) for d, t in texts.items()}
+    assert sum(map(len, got.values())) > 10
