@@ -96,7 +96,7 @@ def template(words: Column) -> Column:
 
 def _forms(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep, words, runs, template`` of ``rows(text)``, and a hash of each word of the two forms."""
-    rows = rows.select(*keep, tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    rows = rows.select(*keep, tokens(F.col("text")).alias("words"))
     rows = rows.select(*keep, "words", name_runs(F.col("words")).alias("runs"))
     rows = rows.select(*keep, "words", "runs", template(F.col("runs")).alias("template"))
     return rows.select(
@@ -125,11 +125,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     are one, under the smallest id; so are items of the same words whose templates have no window
     with enough words of its own.
     """
-    items = _forms(benchmark.filter("item_id is not null"), "item_id").filter(F.size("words") >= SHORTEST)
+    items = _forms(benchmark.filter("item_id is not null"), "item_id")
     size = F.least(F.size("template"), F.lit(WINDOW))
-    starts = F.sequence(F.lit(1), F.size("template") - size + 1)
+    starts = F.when(size > 0, F.sequence(F.lit(1), F.size("template") - size + 1))
     own = F.filter(starts, lambda start: F.size(F.filter(F.slice("template", start, size), _literal)) >= LITERAL)
-    items = items.withColumn("own", own)
+    items = items.withColumn("own", own).filter(F.size("words") >= SHORTEST)
     same = F.when(F.size("own") > 0, F.col("template")).otherwise(F.transform("words", F.lower))
     values = [c for c in items.columns if c != "item_id"]
     items = items.groupBy(same.alias("same")).agg(F.min(F.struct("item_id", *values)).alias("first")).select("first.*")
@@ -171,7 +171,9 @@ def document_windows(docs: DataFrame, shapes: list[tuple[int, int]]) -> DataFram
 
     hashes = F.concat(*[stretch(*shape) for shape in shapes])
     rows = rows.select("doc_id", "template", "runs", total.alias("total"), hashes.alias("hashes"))
-    rows = rows.select("doc_id", "template", "runs", "total", F.posexplode("hashes").alias("place", "hash"))
+    # Spelt out, since from a bare column Spark infers a filter that makes the whole array a second time.
+    hashes = F.when(F.col("total") > 0, F.col("hashes"))
+    rows = rows.select("doc_id", "template", "runs", "total", F.posexplode(hashes).alias("place", "hash"))
     return rows.select("doc_id", "hash", (F.col("place") % F.col("total")).alias("at"), "template", "runs")
 
 
