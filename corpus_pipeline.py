@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Fitted models and packing have no SQL; the stages are tested against brute force.
+#: Fitted models and packing have no SQL; the operators behind the stages have tests in tests/llm, run() has none.
 ORACLE_SQL = None
 
 
