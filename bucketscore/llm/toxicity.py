@@ -1,18 +1,26 @@
-"""Toxicity by two class-conditional Kneser-Ney models over word stems.
-
-A word's stem is its first letters. As Kneser and Ney count, a stem weighs by the number of
-different contexts it has, so that a text copied a thousand times counts once:
-
-* in a class, the different (word before, word) pairs of its labelled documents that end in the stem;
-* shared by both classes as the backoff, the different words of *all* documents that have the stem.
-
-With class total ``N``, shared share ``s`` and the absolute discount ``D(n)`` of a count, which sums
-to ``L`` over the stems seen in the class: ``p(stem) = (max(n - D(n), 0) + L·s) / N``. Discounts of
-one, two and more contexts follow from how many stems have one to four (modified Kneser-Ney), so that
-rare stems weigh by discount and backoff, and no count drops a stem. A document is judged by how far the log-likelihood ratios of its words rise above what is usual in that document,
-normalised by its length. Usual is the median of its words, which takes out language and subject,
-plus ``MARGIN`` for what chance does to words with few counts. A logistic curve fitted on other
-labelled documents turns that into a score.
+"""Toxicity by two class-conditional Kneser-Ney models over whole words, spelled letter by letter.
+
+A word is an expression ``prefix, next letter, …, end``, and each letter is predicted from all before
+it, so inflections that no labelled document has still share what their beginnings say, and words that
+only begin alike part where they differ. As Kneser and Ney count, a word weighs by its different
+contexts, so that a text copied a thousand times counts once:
+
+* in a class, ``n(prefix)``: the different (two words before, word) triples of its labelled documents
+  whose word begins so;
+* shared by both classes as the backoff, ``t(prefix)``: the different words of *all* documents that
+  begin so.
+
+With the absolute discount ``D`` and the mass ``m`` that it takes from a prefix's continuations,
+``p(letter | prefix) = (max(n(prefix letter) - D, 0) + m·t(prefix letter) / t(prefix)) / n(prefix)``,
+and the backoff alone where the class lacks the prefix. Continuations with up to ``D`` contexts in both
+classes are left to the backoff, which both share, so only longer-counted prefixes need a row; that
+is exact and no cut.
+
+A document is judged by its words' log-likelihood ratios, normalised by length: what they have above the
+median ratio of the document (bounded by ``USUAL``; it takes out language and subject) and ``MARGIN``
+(chance), over the root of the number of words. A logistic curve fitted on other labelled documents
+turns that into a score. The plain difference per word, without a margin, drowns a few toxic words
+in the noise of the others; the README has the figures.
 """
 
 from __future__ import annotations
@@ -24,19 +32,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bucketscore.llm.rows import fit_logistic, labelled_sample, need, text_and
-
-WORD = re.compile(r"[^\W_]+")
-#: Letters of a stem.
-STEM = 4
-#: Slots of the shared backoff counts; stems in one slot share them.
-SLOTS = 1 << 17
-#: Discount of a class with too few stems to tell it from their counts, and the least one.
-DISCOUNT, LEAST_DISCOUNT = 0.75, 0.1
+from bucketscore.staging import drop, stage
+
+#: Longer runs of letters are cut into words of this length; nothing of them is left out.
+LONGEST = 32
+WORD = re.compile(rf"[^\W_]{{1,{LONGEST}}}")
+#: Letters of scripts without spaces (fixed ranges: Thai to Tibetan, Myanmar, Khmer, kana, Han): words are
+#: pairs of neighbours.
+SPACELESS = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+#: Ends a word's spelling.
+END = "\x00"
+#: Absolute discount of a count.
+DISCOUNT = 2
 #: What a word's log-likelihood ratio may exceed the document's median by without counting.
 MARGIN = 2.0
 #: How far the median may lie from 0 either way, so that a text of toxic words alone is not usual.
@@ -48,30 +61,32 @@ GATHERED = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
+    """Lower-cased runs of letters and digits, whole; in scripts without spaces all neighbouring pairs."""
+    if not text:
+        return []
+    text = text.lower()
+    if not SPACELESS.search(text):
+        return WORD.findall(text)
+    return WORD.findall(SPACELESS.sub(_pairs, text))
 
-def stem_slot(stem: str) -> int:
-    return zlib.crc32(stem.encode("utf-8", "surrogatepass")) % SLOTS
 
+def _pairs(run: re.Match) -> str:
+    letters = run.group()
+    return f" {' '.join(letters[i : i + 2] for i in range(max(1, len(letters) - 1)))} "
 
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    """For each slot, the number of different words of all documents whose stem falls into it.
 
-    Tasks send each different word of a batch once; the counts arrive as one row per slot.
-    """
+def all_words(docs: DataFrame) -> DataFrame:
+    """``(word)``: the different words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[str] = set()
 
         def fresh(found: set[str]) -> pa.RecordBatch:
-            packed = {
-                stem_slot(w[:STEM]) << 32 | zlib.crc32(w[STEM:].encode("utf-8", "surrogatepass")) for w in found
-            } - sent
+            new = found - sent
             if len(sent) > 3 * GATHERED:
                 sent.clear()
-            sent.update(packed)
-            return pa.RecordBatch.from_arrays([pa.array(sorted(packed), pa.int64())], ["word"])
+            sent.update(new)
+            return pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["word"])
 
         for batch in batches:
             found: set[str] = set()
@@ -82,84 +97,117 @@ def shared_counts(docs: DataFrame) -> np.ndarray:
                     found = set()
             yield fresh(found)
 
-    words = docs.select(F.col("text").cast("string")).mapInArrow(run, "word bigint").distinct()
-    rows = words.groupBy(F.shiftright("word", 32).alias("slot")).count().toPandas()
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[rows["slot"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy(dtype=np.int64)
-    return counts
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string").distinct()
 
 
-def class_counts(docs: DataFrame) -> DataFrame:
-    """``(stem, label, n)``: different (word before, word) pairs of the class, by the word's stem."""
+def class_words(docs: DataFrame) -> DataFrame:
+    """``(word, ordinary, toxic)``: different pairs of words before it in the documents of each class."""
 
     def gathered(pairs: set[tuple[int, str, int]]) -> pa.RecordBatch:
         columns = list(zip(*sorted(pairs))) or [(), (), ()]
         types = (pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "stem", "pair"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["label", "word", "before"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs: set[tuple[int, str, int]] = set()
             for text, label in zip(batch.column(0), batch.column(1)):
                 words, label = words_of(text.as_py()), label.as_py()
-                for before, word in zip(["", *words], words):
-                    pair = zlib.crc32(f"{before} {word}".encode("utf-8", "surrogatepass"))
-                    pairs.add((label, word[:STEM], pair))
-                if len(pairs) >= GATHERED:
-                    yield gathered(pairs)
-                    pairs = set()
+                for further, before, word in zip(["", "", *words], ["", *words], words):
+                    pairs.add((label, word, zlib.crc32(f"{further} {before}".encode())))
+                    if len(pairs) >= GATHERED:
+                        yield gathered(pairs)
+                        pairs = set()
             yield gathered(pairs)
 
-    pairs = docs.select("text", "label").mapInArrow(run, "label int, stem string, pair bigint").distinct()
-    return pairs.groupBy("stem", "label").agg(F.count(F.lit(1)).alias("n"))
+    pairs = docs.select("text", "label").mapInArrow(run, "label int, word string, before bigint").distinct()
+    return pairs.groupBy("word").agg(
+        F.count_if(F.col("label") == 0).alias("ordinary"), F.count_if(F.col("label") == 1).alias("toxic")
+    )
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The discount of each count: by Chen and Goodman for 1, 2 and 3 or more contexts."""
-    one, two, three, four = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-    if not (one and two and three and four):
-        return np.where(counts > 0, DISCOUNT, 0.0)
-    y = one / (one + 2 * two)
-    by_count = [1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three]
-    by_count = [0.0, *(min(max(d, LEAST_DISCOUNT), k) for k, d in zip((1, 2, 3), by_count))]
-    return np.array(by_count)[np.minimum(counts, 3).astype(int)]
+def _prefixes(word: Column) -> Column:
+    """All beginnings of the word with its end, the empty one included."""
+    whole = F.concat(word, F.lit(END))
+    return F.explode(F.transform(F.sequence(F.lit(0), F.length(whole)), lambda i: F.substring(whole, F.lit(1), i)))
 
 
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """``log p(stem | toxic) - log p(stem | ordinary)`` from the counts in both classes and the shared
-    share, and the same for a stem that neither class has, whose share cancels out."""
-    logs, left = [], []
-    for counts in (ordinary, toxic):
-        discount = discounts(counts)
-        left.append(discount.sum() / counts.sum())
-        logs.append(np.log((counts - discount) / counts.sum() + left[-1] * share))
-    return logs[1] - logs[0], math.log(left[1] / left[0])
+def prefix_counts(counted: DataFrame) -> DataFrame:
+    """``(prefix, ordinary, toxic, left_ordinary, left_toxic)`` of ``class_words`` for each prefix with
+    more than ``DISCOUNT`` contexts in a class, and the mass that the discount takes from what follows."""
+    every = counted.select(_prefixes(F.col("word")).alias("prefix"), "ordinary", "toxic")
+    every = every.groupBy("prefix").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    before = F.substring("prefix", F.lit(1), F.length("prefix") - 1)
+    taken = [F.least(F.col(c), F.lit(DISCOUNT)) for c in ("ordinary", "toxic")]
+    left = every.filter("prefix != ''").groupBy(before.alias("prefix"))
+    left = left.agg(F.sum(taken[0]).alias("left_ordinary"), F.sum(taken[1]).alias("left_toxic"))
+    kept = every.filter((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT) | (F.col("prefix") == ""))
+    return kept.join(left, "prefix", "left").fillna(0, ["left_ordinary", "left_toxic"])
+
+
+def with_shared(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """``kept`` with ``shared``, the different words of all documents that begin with the prefix.
+
+    Spark broadcasts ``kept`` where its size allows, so that other prefixes never meet a shuffle.
+    """
+    begun = all_words(docs).select(_prefixes(F.col("word")).alias("prefix"))
+    shared = begun.join(kept.select("prefix"), "prefix", "left_semi").groupBy("prefix")
+    return kept.join(shared.agg(F.count(F.lit(1)).alias("shared")), "prefix")
+
+
+def log_ratios(table: pd.DataFrame) -> dict[str, float]:
+    """``log p(word | toxic) - log p(word | ordinary)`` of words whose longest prefix in the table is the
+    key, from the rows of ``with_shared``. A key with ``END`` is a whole word."""
+    counts = {row[0]: row[1:] for row in table.itertuples(index=False)}
+
+    def backed_off(c: tuple) -> tuple[float, float]:
+        return tuple(left / n if n else 1.0 for n, left in ((c[0], c[2]), (c[1], c[3])))
+
+    ratios, upto = {}, {"": 0.0}
+    for prefix in sorted(counts, key=len):
+        own = counts[prefix]
+        if prefix:
+            above = counts[prefix[:-1]]
+            logs = [
+                math.log((max(n - DISCOUNT, 0) / total if total else 0.0) + share * own[4] / above[4])
+                for n, total, share in zip(own[:2], above[:2], backed_off(above))
+            ]
+            upto[prefix] = upto[prefix[:-1]] + logs[1] - logs[0]
+        ordinary, toxic = (1.0, 1.0) if prefix.endswith(END) else backed_off(own)
+        ratios[prefix] = upto[prefix] + math.log(toxic / ordinary)
+    return ratios
+
+
+def ratio_of(ratios: dict[str, float], word: str) -> float:
+    whole = word + END
+    for length in range(len(whole), -1, -1):
+        found = ratios.get(whole[:length])
+        if found is not None:
+            return found
+    return 0.0
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log-likelihood ratio of each stem of the class models and of all others, and the curve from
-    features to a score."""
+    """Log-likelihood ratios by the longest known prefix, and the curve from ``excess`` to a score."""
 
     ratios: dict[str, float]
-    weights: tuple[float, ...]
-    unseen: float = 0.0
+    weights: tuple[float, float]
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``_keep``, a struct of the ``keep`` columns, and ``excess``: the sum of what ratios have
         above the usual, divided by the root of the length; 0 without words."""
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
-        other = self.unseen
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, unseen = ratios.value, other
+            known = ratios.value
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
                     if len(self) >= KEPT_WORDS:
                         self.clear()
-                    found = self[word] = known.get(word[:STEM], unseen)
+                    found = self[word] = ratio_of(known, word)
                     return found
 
             look_up = Words().__getitem__
@@ -169,9 +217,8 @@ class ToxicityModel:
                     words = words_of(text.as_py())
                     if words:
                         values = np.fromiter(map(look_up, words), np.float64, len(words))
-                        usual = min(max(float(np.median(values)), -USUAL), USUAL)
-                        over = float(np.maximum(values - usual - MARGIN, 0).sum())
-                        rows[i] = over / math.sqrt(len(words))
+                        values -= min(max(float(np.median(values)), -USUAL), USUAL)
+                        rows[i] = float(np.maximum(values - MARGIN, 0).sum()) / math.sqrt(len(words))
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows)], ["_keep", "excess"])
 
         chosen, kind = text_and(docs, keep)
@@ -187,7 +234,8 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    The shared counts cover all documents. The class models and the curve are classifiers fitted on
+    The shared counts cover all documents; the driver gets the rows of prefixes that the class models hold,
+    which the labelled documents bound. The class models and the curve are classifiers fitted on
     ``max_documents`` labelled documents at most: three quarters of them for the counts, a quarter for
     the curve. Null and empty texts, nulls in ``labels`` and other columns are harmless. With no
     labelled document of a class, the score is 1 where all are toxic, else 0.
@@ -198,24 +246,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> Toxi
     sample = sample.withColumn("part", part)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
-    counted = class_counts(chosen.filter("part > 0")).toPandas()
-    totals = counted.groupby("label")["n"].agg(["sum", "count"])
-    if not {0, 1} <= set(totals.index):
-        return ToxicityModel({}, (40.0 if set(totals.index) == {1} else -40.0, 0.0))
-    shared = shared_counts(docs)
-    everything = float(shared.sum()) + SLOTS
-    table = counted.pivot(index="stem", columns="label", values="n").fillna(0)
-    share = (shared[[stem_slot(stem) for stem in table.index]] + 1) / everything
-    values, unseen = log_ratios(table[0].to_numpy(), table[1].to_numpy(), share)
-    ratios = dict(zip(table.index, map(float, values)))
-
-    model = ToxicityModel(ratios, (0.0, 0.0), unseen)
+    kept = stage(prefix_counts(class_words(chosen.filter("part > 0"))), "toxicity-prefixes")
+    table = with_shared(kept.df, docs).toPandas() if kept.rows else None
+    drop(docs.sparkSession, kept)
+    totals = [0, 0] if table is None else table.loc[table["prefix"] == "", ["ordinary", "toxic"]].iloc[0].tolist()
+    if not all(totals):
+        return ToxicityModel({}, (40.0 if totals[1] else -40.0, 0.0))
+    ratios = log_ratios(table[["prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared"]])
+
+    model = ToxicityModel(ratios, (0.0, 0.0))
     rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess").toPandas()
     x, y = rest[["excess"]].to_numpy(), rest["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
-        toxic = float(totals.loc[1, "sum"] / totals["sum"].sum())
-        return ToxicityModel(ratios, (math.log(toxic / (1 - toxic)), 1.0), unseen)
+        return ToxicityModel(ratios, (math.log(totals[1] / totals[0]), 1.0))
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = fit_logistic(np.c_[np.ones(len(x)), (x - center) / scale], y, ridge=1e-3)
     slopes = weights[1:] / scale
-    return ToxicityModel(ratios, (float(weights[0] - slopes @ center), *map(float, slopes)), unseen)
+    return ToxicityModel(ratios, (float(weights[0] - slopes @ center), float(slopes[0])))

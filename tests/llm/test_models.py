@@ -92,38 +92,84 @@ def test_toxicity_on_held_out_documents(spark):
     assert found[1] == found[2] == found[3] and found[4] > 0.9 and all(0 <= s <= 1 for s in found.values())
 
 
-def test_counts_of_stems_and_contexts(spark):
+def test_counts_of_words_and_contexts(spark):
     rows = [(1, "one two onex two", 0), (2, "one two", 0), (3, "One, three", 1), (4, None, 1)]
-    counted = toxicity.class_counts(docs(spark, rows, "doc_id bigint, text string, label int"))
-    # (before, word): (, one) (one, two) (two, onex) (onex, two) and (, one) (one, three)
-    assert {(r.stem, r.label): r.n for r in counted.collect()} == {("one", 0): 1, ("onex", 0): 1, ("two", 0): 2, ("one", 1): 1, ("thre", 1): 1}
-    shared = toxicity.shared_counts(docs(spark, [(1, "abcde abcdf abcd"), (2, "ABCDE other"), (3, None)]))
-    assert shared[toxicity.stem_slot("abcd")] == 3 and shared.sum() == 4
+    counted = toxicity.class_words(docs(spark, rows, "doc_id bigint, text string, label int"))
+    # ( , one) ( one, two) (one two, onex) (two onex, two) and ( , one) ( one, three)
+    assert {r.word: (r.ordinary, r.toxic) for r in counted.collect()} == {"one": (1, 1), "onex": (1, 0), "two": (2, 0), "three": (0, 1)}
+    found = toxicity.all_words(docs(spark, [(1, "abcde abcdf abcd"), (2, "ABCDE other"), (3, None)]))
+    assert sorted(r.word for r in found.collect()) == ["abcd", "abcde", "abcdf", "other"]
+
+
+def test_words_are_whole():
+    assert toxicity.words_of("Path, pathology!") == ["path", "pathology"]
+    assert "".join(toxicity.words_of("x" * 99 + "y")) == "x" * 99 + "y"
+    assert toxicity.words_of("a\u65e5\u672c\u8a9eb \u65e5") == ["a", "\u65e5\u672c", "\u672c\u8a9e", "b", "\u65e5"]
+    assert toxicity.words_of(None) == toxicity.words_of("") == []
+
+
+def plain_ratio(word, rows, texts):
+    """The log-likelihood ratio of a word, letter by letter, from the definitions."""
+    spelled = [sorted({(f, b, w) for text, label in rows if label == k for f, b, w in zip(["", ""] + text.split(), [""] + text.split(), text.split())}) for k in (0, 1)]
+    vocabulary = {w for text in texts for w in text.split()}
+    total, whole = 0.0, word + toxicity.END
+    for i in range(len(whole)):
+        logs = []
+        share = sum((w + toxicity.END).startswith(whole[: i + 1]) for w in vocabulary) / max(1, sum((w + toxicity.END).startswith(whole[:i]) for w in vocabulary))
+        for triples in spelled:
+            after = {}
+            for _, _, w in triples:
+                if (w + toxicity.END).startswith(whole[:i]) and len(w) + 1 > i:
+                    after[(w + toxicity.END)[i]] = after.get((w + toxicity.END)[i], 0) + 1
+            n, own = sum(after.values()), after.get(whole[i], 0)
+            if not n:
+                logs.append((0.0, 1.0))
+                continue
+            logs.append((max(own - toxicity.DISCOUNT, 0) / n, sum(min(v, toxicity.DISCOUNT) for v in after.values()) / n))
+        if not share:
+            # Nobody has it: the shared share cancels out, here and in all further letters.
+            return total + math.log(logs[1][1] / logs[0][1])
+        total += math.log((logs[1][0] + logs[1][1] * share) / (logs[0][0] + logs[0][1] * share))
+    return total
+
+
+def test_ratios_against_the_definitions(spark):
+    draw = random.Random(3)
+    letters = ["".join(draw.choices("abc", k=draw.randint(1, 4))) for _ in range(40)]
+    rows = [(" ".join(draw.choices(letters if k else letters[:25], k=30)), k) for k in (0, 1, 0, 1, 0)]
+    texts = [t for t, _ in rows] + ["abca cabb ccccc"]
+    counted = toxicity.class_words(docs(spark, [(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id bigint, text string, label int"))
+    table = toxicity.with_shared(toxicity.prefix_counts(counted).cache(), docs(spark, list(enumerate(texts)))).toPandas()
+    ratios = toxicity.log_ratios(table[["prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared"]])
+    for word in {*letters, "abca", "ccccc", "zz", "aaaaaaa"}:
+        assert toxicity.ratio_of(ratios, word) == pytest.approx(plain_ratio(word, rows, texts), abs=1e-9), word
+
+
+def test_words_that_begin_alike(spark):
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, prose(i, 30, 900) + (" a pathetic thing, pathetic" if i % 4 == 0 else " a path to pathology" if i % 4 == 1 else "")))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    texts = ["a pathetic thing, pathetic", "pathology path paths", "pathetically so", "w7x w9x"]
+    found = {r.doc_id: r.score for r in model.score(docs(spark, [(k, f"{prose(k, 20, 900)} {t}") for k, t in enumerate(texts)]), "doc_id").collect()}
+    assert found[0] > 0.7 and found[1] < 0.3 and found[2] > found[1] and found[3] < 0.3
 
 
-def test_rare_stems_count(spark):
-    # A slur that always follows the same word has one context; each of ten slurs is that rare.
+def test_rare_words_count(spark):
+    # Each of ten slurs always follows the same word and is in a fortieth of the documents.
     rows, labels = [], []
     for i in range(400):
         slur = f"so {chr(97 + i // 4 % 10) * 3}zslur"
         rows.append((i, prose(i, 30, 900) + (f" {slur} {slur}" if i % 4 == 0 else "")))
         labels.append((i, int(i % 4 == 0)))
     model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
-    slurs = [f"{chr(97 + k) * 3}z" for k in range(10)]
-    assert all(model.ratios[s] > toxicity.MARGIN for s in slurs)
-    found = {r.doc_id: r.score for r in model.score(docs(spark, [(k, f"{prose(k, 20, 900)} so {s}slur") for k, s in enumerate(slurs)]), "doc_id").collect()}
+    slurs = [f"{chr(97 + k) * 3}zslur" for k in range(10)]
+    assert all(toxicity.ratio_of(model.ratios, s) > toxicity.MARGIN for s in slurs)
+    found = {r.doc_id: r.score for r in model.score(docs(spark, [(k, f"{prose(k, 20, 900)} so {s}") for k, s in enumerate(slurs)]), "doc_id").collect()}
     assert all(s > 0.7 for s in found.values())
 
 
-def test_discounts_by_counts_of_counts():
-    counts = np.array([0.0] + [1] * 8 + [2] * 4 + [3] * 2 + [4] + [9])
-    assert toxicity.discounts(counts)[[0, 1, 9, 13, 15, 16]] == pytest.approx([0, 0.5, 1.25, 2, 2, 2])
-    assert set(toxicity.discounts(np.array([0.0, 1, 7]))) == {0.0, toxicity.DISCOUNT}
-    values, unseen = toxicity.log_ratios(np.array([4.0, 0]), np.array([2.0, 2]), np.array([0.3, 0.1]))
-    one, other = math.log((1.25 + 1.5 * 0.1) / 4 / (0.75 * 0.1 / 4)), math.log((1.25 + 1.5 * 0.3) / 4 / ((3.25 + 0.75 * 0.3) / 4))
-    assert values == pytest.approx([other, one]) and unseen == pytest.approx(math.log(2))
-
-
 def test_toxicity_without_two_classes(spark):
     for label, score in ((0, 0.0), (1, 1.0)):
         model = toxicity.fit(docs(spark, [(1, "a b")]), spark.createDataFrame([(1, label)], "doc_id bigint, toxic int"))
