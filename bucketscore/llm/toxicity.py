@@ -28,11 +28,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +53,8 @@ DISCOUNT = 2
 MARGIN = 2.0
 #: How far the median may lie from 0 either way, so that a text of toxic words alone is not usual.
 USUAL = 1.0
+#: What the ratios are made of.
+COUNTS = ("prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared")
 #: Words whose ratio a worker keeps.
 KEPT_WORDS = 100_000
 #: Different words or pairs that a worker gathers before it passes them on.
@@ -155,29 +156,44 @@ def with_shared(kept: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.join(shared.agg(F.count(F.lit(1)).alias("shared")), "prefix")
 
 
-def log_ratios(table: pd.DataFrame) -> dict[str, float]:
+def log_ratios(rows: Iterable[tuple]) -> dict[str, float]:
     """``log p(word | toxic) - log p(word | ordinary)`` of words whose longest prefix in the table is the
-    key, from the rows of ``with_shared``. A key with ``END`` is a whole word."""
-    counts = {row[0]: row[1:] for row in table.itertuples(index=False)}
+    key, from the rows ``COUNTS`` ordered by prefix. A key with ``END`` is a whole word."""
 
     def backed_off(c: tuple) -> tuple[float, float]:
         return tuple(left / n if n else 1.0 for n, left in ((c[0], c[2]), (c[1], c[3])))
 
-    ratios, upto = {}, {"": 0.0}
-    for prefix in sorted(counts, key=len):
-        own = counts[prefix]
+    ratios: dict[str, float] = {}
+    # Counts of the beginnings of the prefix at hand, and the ratio up to each.
+    above: list[tuple[tuple, float]] = []
+    for prefix, *own in rows:
+        del above[len(prefix) :]
+        upto = 0.0
         if prefix:
-            above = counts[prefix[:-1]]
+            counts, upto = above[-1]
             logs = [
-                math.log((max(n - DISCOUNT, 0) / total if total else 0.0) + share * own[4] / above[4])
-                for n, total, share in zip(own[:2], above[:2], backed_off(above))
+                math.log((max(n - DISCOUNT, 0) / total if total else 0.0) + share * own[4] / counts[4])
+                for n, total, share in zip(own[:2], counts[:2], backed_off(counts))
             ]
-            upto[prefix] = upto[prefix[:-1]] + logs[1] - logs[0]
+            upto += logs[1] - logs[0]
+        above.append((tuple(own), upto))
         ordinary, toxic = (1.0, 1.0) if prefix.endswith(END) else backed_off(own)
-        ratios[prefix] = upto[prefix] + math.log(toxic / ordinary)
+        ratios[prefix] = upto + math.log(toxic / ordinary)
     return ratios
 
 
+def read_ratios(table: DataFrame) -> tuple[list[int], dict[str, float]]:
+    """Contexts of both classes and ``log_ratios`` of ``with_shared``. The counts stay in Arrow."""
+    counts = table.select(*COUNTS).orderBy("prefix").toArrow()
+    if not counts.num_rows:
+        return [0, 0], {}
+    totals = [counts.column(c)[0].as_py() for c in ("ordinary", "toxic")]
+    if not all(totals):
+        return totals, {}
+    batches = counts.to_batches(max_chunksize=10_000)
+    return totals, log_ratios(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+
+
 def ratio_of(ratios: dict[str, float], word: str) -> float:
     whole = word + END
     for length in range(len(whole), -1, -1):
@@ -247,12 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> Toxi
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     kept = stage(prefix_counts(class_words(chosen.filter("part > 0"))), "toxicity-prefixes")
-    table = with_shared(kept.df, docs).toPandas() if kept.rows else None
+    totals, ratios = read_ratios(with_shared(kept.df, docs))
     drop(docs.sparkSession, kept)
-    totals = [0, 0] if table is None else table.loc[table["prefix"] == "", ["ordinary", "toxic"]].iloc[0].tolist()
     if not all(totals):
         return ToxicityModel({}, (40.0 if totals[1] else -40.0, 0.0))
-    ratios = log_ratios(table[["prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared"]])
 
     model = ToxicityModel(ratios, (0.0, 0.0))
     rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess").toPandas()

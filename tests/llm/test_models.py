@@ -139,8 +139,9 @@ def test_ratios_against_the_definitions(spark):
     rows = [(" ".join(draw.choices(letters if k else letters[:25], k=30)), k) for k in (0, 1, 0, 1, 0)]
     texts = [t for t, _ in rows] + ["abca cabb ccccc"]
     counted = toxicity.class_words(docs(spark, [(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id bigint, text string, label int"))
-    table = toxicity.with_shared(toxicity.prefix_counts(counted).cache(), docs(spark, list(enumerate(texts)))).toPandas()
-    ratios = toxicity.log_ratios(table[["prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared"]])
+    table = toxicity.with_shared(toxicity.prefix_counts(counted).cache(), docs(spark, list(enumerate(texts))))
+    totals, ratios = toxicity.read_ratios(table)
+    assert totals == [sum(r.ordinary for r in counted.collect()), sum(r.toxic for r in counted.collect())]
     for word in {*letters, "abca", "ccccc", "zz", "aaaaaaa"}:
         assert toxicity.ratio_of(ratios, word) == pytest.approx(plain_ratio(word, rows, texts), abs=1e-9), word
 
