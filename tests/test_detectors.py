@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -17,9 +19,11 @@ from bucketscore import (
     run_experiment,
     tune_w,
 )
+from bucketscore import staging
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
-from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_scores, grid_summary, published_grid
+from bucketscore.plans import experiments
+from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_report, grid_scores, grid_summary, published_grid
 from bucketscore.plans.tuning import halved_counts, least_by_length, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
 from bucketscore.streaming.scoring import score_stream
 from tests import brute
@@ -433,3 +437,18 @@ def test_stream_scores_equal_batch_scores(spark, points, tmp_path):
     assert run.awaitTermination(120)
     got = {(r.id, r.score, r.prediction) for r in spark.read.parquet(sink).collect()}
     assert got == {(r.id, r.score, r.prediction) for r in model.transform(points).collect()}
+
+
+@pytest.mark.parametrize("at_once", [406 * 2, 406 * 5 * 2])
+def test_grid_in_passes_gives_the_same_and_leaves_nothing(spark, points, monkeypatch, at_once):
+    """Widths and tables apart: two tables of one width at a time, or all tables of two widths."""
+    made = points.withColumn("label", F.when(F.col("id") % 9 == 0, 1.0).otherwise(F.col("label")))
+    family = HashFamily(6, 2, 5, seed=5)
+    whole = {r.w: r.asDict() for r in grid_report(made, family, (0.5, 1.0, 4.0), 3, 5).drop("dataset").collect()}
+    monkeypatch.setattr(experiments, "HASHED_AT_ONCE", at_once)
+    staged = set()
+    monkeypatch.setattr(staging, "session_folder", lambda s, name, make=staging.session_folder: staged.add(made := make(s, name)) or made)
+    table = grid_report(made, family, (0.5, 1.0, 4.0), 3, 5).drop("dataset")
+    assert whole == {r.w: pytest.approx(r.asDict(), rel=1e-12) for r in table.collect()}
+    left = {os.path.basename(p).split("-")[0] for p in staged if os.path.isdir(f"{p}/rows")}
+    assert left == {"folds", "areas", "sizes"}
