@@ -22,7 +22,7 @@ from bucketscore import (
 from bucketscore import staging
 from bucketscore.functions.scalar import hash01
 from bucketscore.operators import buckets as B
-from bucketscore.plans import experiments
+from bucketscore.plans import experiments, tuning
 from bucketscore.plans.experiments import fold_bucket_sizes, fold_counts, grid_report, grid_scores, grid_summary, published_grid
 from bucketscore.plans.tuning import halved_counts, least_by_length, least_neighbors, minimum_neighbors, starting_radius, tune_family, tune_key_length, tune_radius
 from bucketscore.streaming.scoring import score_stream
@@ -452,3 +452,34 @@ def test_grid_in_passes_gives_the_same_and_leaves_nothing(spark, points, monkeyp
     assert whole == {r.w: pytest.approx(r.asDict(), rel=1e-12) for r in table.collect()}
     left = {os.path.basename(p).split("-")[0] for p in staged if os.path.isdir(f"{p}/rows")}
     assert left == {"folds", "areas", "sizes"}
+
+
+def test_a_point_without_neighbors_settles_the_minimum(points, raw, monkeypatch):
+    far = points.sparkSession.createDataFrame([(999, 1.0, [90.0] * 6), (1000, 1.0, [70.0] * 6), (1000, 1.0, [70.0] * 6)], SCHEMA)
+    family = HashFamily(6, 2, 5, (1.0, 4.0, 1e6), seed=5)
+    assert tuning.widths_without_neighbors(points.unionByName(far), family) == {1.0, 4.0}
+    # The same id twice is no lonely point.
+    assert tuning.widths_without_neighbors(points.filter("label = 0").unionByName(far.filter("id = 1000")), family.at(1e6)) == set()
+    monkeypatch.setattr(tuning, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(tuning, "minimum_neighbors", lambda *a: pytest.fail("counted all the same"))
+    assert tuning.least_by_radius(points.unionByName(far), family.at(1.0), [1.0, 2.0], 409) == {1.0: 0, 2.0: 0}
+
+
+@pytest.mark.parametrize("width", [0.5, 6.0])
+def test_minimum_neighbors_in_passes(points, raw, monkeypatch, width):
+    family = HashFamily(6, 2, 5, (width,), seed=5)
+    own = brute.bucket_ids({k: x for k, (_, x) in raw.items()}, family)
+    count = brute.sizes(own)
+    monkeypatch.setattr(tuning, "COUNTED_AT_ONCE", 406 * 2)
+    monkeypatch.setattr(tuning, "LOCAL_BYTES", 0)
+    assert minimum_neighbors(points, family, 406) == min(sum(count[b] - 1 for b in bs) for bs in own.values())
+
+
+def test_sweep_in_passes(points, monkeypatch):
+    family = HashFamily(6, 2, 5, seed=5)
+    widths = (1e-4, 0.5, 4.0, 1e6)
+    whole = {r.w: r.asDict() for r in tuning.w_sweep(points, family, widths, 406).collect()}
+    monkeypatch.setattr(tuning, "SWEPT_AT_ONCE", 406 * 4 * 2)
+    passes = tuning.w_sweep(points, family, widths, 406)
+    assert {r.w: {k: pytest.approx(v) if v is not None else None for k, v in r.asDict().items()} for r in passes.collect()} == whole
+    assert len(passes.inputFiles()) >= 3 and all("sizes" in f for f in passes.inputFiles())

@@ -308,3 +308,26 @@ def test_broadcast_limit_reads_sizes(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
         assert broadcast_limit(spark) == want
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("widths", [(3.0,), (1.0, 6.0)])
+def test_looked_up_sums_are_those_of_joins(points, raw, monkeypatch, widths):
+    """Large tables of points meet a bounded table of buckets batch by batch, without a row per hash table."""
+    family = FAMILY.at(*widths)
+    monkeypatch.setattr(buckets_module, "LOCAL_ROWS", 0)
+    counts = B.stage_counts(points, family)
+    twice = points.unionByName(points.filter("id < 5"))
+    near = R.reach(twice, family, counts, 300)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.w if len(widths) > 1 else widths[0], r.id): r.reach for r in near.collect()}
+    for w in widths:
+        want = brute.reach(brute.bucket_ids(raw, family, w))
+        # Rows of one id are added up.
+        want = {k: v if k >= 5 else 2 * v - family.num_tables for k, v in want.items()}
+        assert {k: v for (x, k), v in got.items() if x == w} == want
+    if len(widths) == 1:
+        table = stage(R.reach_estimators(points, family, counts, 300), "estimators")
+        fast = sorted(R.reach_scores(points, family, table, 300).collect())
+        monkeypatch.setattr(buckets_module, "LOCAL_BYTES", 0)
+        assert fast == sorted(R.reach_scores(points, family, table, 300).collect())

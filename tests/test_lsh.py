@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bucketscore.operators.buckets import bucket_counts
+from bucketscore.operators.local import local_counts
 from bucketscore.operators.lsh import HashFamily, hash_points
 
 
@@ -92,3 +93,16 @@ def test_bad_parameters_are_refused():
     for bad in (dict(widths=(0.0,)), dict(key_length=0), dict(widths=()), dict(widths=(1.0, 1.0)), dict(radius=-1.0)):
         with pytest.raises(ValueError):
             HashFamily(**{**dict(dim=2, key_length=1, num_tables=1), **bad})
+
+
+@pytest.mark.parametrize("length, width", [(3, 0.7), (40, 1e-3)])
+def test_counts_merge_before_they_leave_python(spark, length, width):
+    """Equal to counted rows of ``hash_points``, also where a key is too long for one number."""
+    family = HashFamily(3, length, 4, (width, 50.0), seed=3)
+    copies = F.array(*[F.round(F.rand(s), 1) for s in range(3)])
+    points = spark.range(0, 600, 1, 2).select("id", copies.alias("features"))
+    counts = bucket_counts(points, family)
+    rows = hash_points(points, family, keep=()).groupBy(*family.keys).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(counts.collect()) == sorted(rows.collect())
+    batches = local_counts(points, family, "features")
+    assert batches.count() < 600 * 4 * 2 and batches.agg(F.sum("n")).first()[0] == 600 * 4 * 2
