@@ -18,14 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.llm.rows import fit_logistic, labelled_sample, need, raw, slices, text_and
+from bucketscore.functions.running import kth_smallest
+from bucketscore.functions.scalar import doubles
+from bucketscore.llm.rows import added_up, fit_logistic, labelled, logistic_sums, need, newton, raw, slices, text_and  # noqa: F401
 from bucketscore.llm.shingles import Words
+from bucketscore.sources.points import with_row_number
+from bucketscore.staging import Staged, passing, stage
 
 FEATURES = (
     "upper", "digit", "symbol", "bang", "pipe", "space", "newline", "stop", "word_length",
     "size", "same_as_before", "distinct", "distinct_by_size", "long_words",
 )
 
+# The slopes between which the curve of the scores is fitted.
+LOWEST_SLOPE = 1e-6
+HIGHEST_SLOPE = 50.1
+
 _CLASS = np.zeros(256, dtype=np.uint8)
 for _kind, _bytes in enumerate(
     (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+<=>@^_~\\/", b"!?", b"|", b" \t", b"\n\r", b".,;:"), 1
@@ -91,11 +99,16 @@ class RankingModel:
         return scored.select("_keep.*", "strength", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
+def _partner(i, k, many: int):
+    """The number of the document that document ``i`` of the rarer side meets as its ``k``-th."""
+    return (i * 7919 + k * 104_729) % many
+
+
 def preference_pairs(better: np.ndarray, worse: np.ndarray, per_document: int) -> np.ndarray:
     """Feature differences: each document of the rarer side meets ``per_document`` of the other."""
     few = min(len(better), len(worse))
     i = np.repeat(np.arange(few), per_document)
-    j = (i * 7919 + np.tile(np.arange(per_document), few) * 104_729) % max(len(better), len(worse))
+    j = _partner(i, np.tile(np.arange(per_document), few), max(len(better), len(worse)))
     return better[j] - worse[i] if len(better) >= len(worse) else better[i] - worse[j]
 
 
@@ -103,56 +116,96 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     threshold: float = 0.3,
-    max_documents: int = 20_000,
     pairs_per_document: int = 12,
 ) -> RankingModel:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)``; 1 is preferred to 0.
 
-    The ranking is a classifier fitted on ``max_documents`` labelled documents at most. Null and
-    empty texts have all features 0; nulls in ``labels`` and other columns are harmless. Without
-    two kinds of labels, every score is 1 (all good, or no labels) or 0 (all bad).
+    All labelled documents take part; the driver gets sums over them. There are as many pairs as the
+    larger side has documents, at least. Null and empty texts have all features 0; nulls in ``labels``
+    and other columns are harmless. Without two kinds of labels, every score is 1 (all good, or no
+    labels) or 0 (all bad).
     """
     need(docs, "doc_id", "text")
-    sample = labelled_sample(labels, "quality", max_documents)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    schema = "doc_id bigint, label int, x array<double>"
+    with passing(docs.sparkSession):
+        known = _features(docs).join(labelled(labels, "quality"), "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "x")
+        table = stage(known, "quality", better=F.count_if(F.col("label") == 1), worse=F.count_if(F.col("label") == 0))
+        better, worse, width = table.facts["better"], table.facts["worse"], len(FEATURES)
+        if not better or not worse:
+            return RankingModel((0.0,) * width, -1.0 if better or not worse else 1.0, 40.0, threshold)
+        spread = table.df.agg(*[F.stddev_pop(F.get("x", F.lit(i))) for i in range(width)]).first()
+        scale = np.array(spread, dtype=float) + 1e-9
+        pairs = stage(_pairs(table, better, worse, scale, pairs_per_document), "pairs").df
+
+        def sums(weights: np.ndarray) -> np.ndarray:
+            return added_up(pairs, lambda x, y: logistic_sums(x, y, weights))
+
+        # A pair is a won comparison; its mirror image, lost, adds the same loss. Sums over differently spread
+        # rows differ in their last digits, which the weights leave out.
+        weights = tuple(float(f"{w:.10g}") for w in newton(sums, width, ridge=1.0) / scale)
+        strength = F.aggregate(F.zip_with("x", doubles(weights), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+        strengths = stage(table.df.select(strength.alias("strength"), F.col("label").alias("y")), "strengths")
+        cut = _quantile(strengths, worse / strengths.rows)
+        return RankingModel(weights, cut, _slope(strengths.df, cut, math.log(threshold / (1 - threshold))), threshold)
+
+
+def _features(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``x``, the features of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = text_features(batch.column(0))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["doc_id", "label", "x"])
-
-    ordered = chosen.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), "label")
-    rows = ordered.mapInArrow(run, schema).toPandas()
-    width = len(FEATURES)
-    x = np.array([*rows["x"]]).reshape(-1, width)
-    y = rows["label"].to_numpy(dtype=int)
-    order = np.lexsort((*x.T, rows["doc_id"].to_numpy()))
-    x, y = x[order], y[order]
-    better, worse = x[y == 1], x[y == 0]
-    if not len(better) or not len(worse):
-        return RankingModel((0.0,) * width, -1.0 if len(better) or not len(worse) else 1.0, 40.0, threshold)
-    scale = x.std(axis=0) + 1e-9
-    pairs = preference_pairs(better / scale, worse / scale, pairs_per_document)
-    # A pair is a won comparison; its mirror image, lost, adds the same loss.
-    weights = fit_logistic(pairs, np.ones(len(pairs)), ridge=1.0) / scale
-    strength = x @ weights
-    cut = float(np.quantile(strength, float(np.mean(y == 0))))
-    offset = np.full(len(y), math.log(threshold / (1 - threshold)))
-    slope = _slope(strength - cut, y, offset)
-    return RankingModel(tuple(map(float, weights)), cut, slope, threshold)
-
-
-def _slope(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> float:
-    """The slope of a logistic curve through a fixed point."""
-    slope = 0.1
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -35, 35)))
-        step = float(x @ (y - p) - 1e-3 * slope) / float((x * x) @ (p * (1 - p)) + 1e-3)
-        slope += max(-0.5, min(0.5, step))
-        if abs(step) < 1e-10:
-            break
-    return max(slope, 1e-6)
+            bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(x.ravel()))], ["_keep", "x"])
+
+    # A null id has no label.
+    chosen, kind = text_and(docs.filter(F.col("doc_id").isNotNull()), ("doc_id",))
+    return chosen.mapInArrow(run, f"{kind}, x array<double>").select("_keep.doc_id", "x")
+
+
+def _pairs(table: Staged, better: int, worse: int, scale: np.ndarray, per_document: int) -> DataFrame:
+    """``preference_pairs`` of the scaled features as ``(x, y)``; documents are numbered in the order of their ids."""
+    scaled = F.zip_with("x", doubles(scale), lambda x, s: x / s)
+    ordered = table.df.filter("label in (0, 1)").orderBy("label", "doc_id", F.reverse("x")).select("label", scaled.alias("x"))
+    numbered = with_row_number(ordered, "_n")
+    sides = {
+        0: numbered.filter("label = 0").select("_n", "x"),
+        1: numbered.filter("label = 1").select((F.col("_n") - worse).alias("_n"), "x"),
+    }
+    rarer, few, many = (0, worse, better) if better >= worse else (1, better, worse)
+    per = max(per_document, -(-many // few))
+    own = sides[rarer].select("_n", "x", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("_k"))
+    own = own.select(F.col("x").alias("_own"), _partner(F.col("_n"), F.col("_k"), many).alias("_n"))
+    won, lost = ("x", "_own") if rarer == 0 else ("_own", "x")
+    gap = F.zip_with(won, lost, lambda a, b: a - b)
+    return own.join(sides[1 - rarer], "_n").select(gap.alias("x"), F.lit(1.0).alias("y"))
+
+
+def _quantile(strengths: Staged, share: float) -> float:
+    """The quantile at ``share``, between two documents in proportion."""
+    place = share * (strengths.rows - 1)
+    low = math.floor(place)
+    below, above = (
+        kth_smallest(strengths.df, "strength", min(low + step, strengths.rows)).first().kth for step in (1, 2)
+    )
+    return float(below + (above - below) * (place - low))
+
+
+def _slope(strengths: DataFrame, cut: float, offset: float) -> float:
+    """The slope of a logistic curve through a fixed point, where the gradient of the likelihood is 0.
+
+    The gradient falls as the slope grows, so each pass over the documents narrows the range to one of 63 parts.
+    """
+    rows = strengths.select(F.array(F.col("strength") - F.lit(cut)).alias("x"), "y")
+    low, high = LOWEST_SLOPE, HIGHEST_SLOPE
+    while high - low > 1e-10:
+        slopes = np.linspace(low, high, 64)
+
+        def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(-np.clip(x * slopes + offset, -35, 35)))
+            return (x * (y[:, None] - p)).sum(axis=0)
+
+        rising = int((added_up(rows, sums) - 1e-3 * slopes > 0).sum())
+        if rising in (0, 64):
+            return float(slopes[min(rising, 63)])
+        low, high = float(slopes[rising - 1]), float(slopes[rising])
+    return float(f"{(low + high) / 2:.10g}")

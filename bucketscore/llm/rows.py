@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,24 +61,61 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, max_rows: int, id_column: str = "doc_id") -> DataFrame:
-    """``(doc_id, label)`` of at most ``max_rows`` labelled documents, the first by a digest of the id.
+    """``labelled``, of at most ``max_rows`` documents, the first by a digest of the id.
 
-    Rows with a null id or label are left out; of contradicting labels of one document the larger
-    counts. The bound makes the table small enough to broadcast.
+    The bound makes the table small enough to broadcast.
+    """
+    return labelled(labels, label, id_column).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+
+def labelled(labels: DataFrame, label: str, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, label)`` of all labelled documents.
+
+    Rows with a null id or label are left out; of contradicting labels of one document the larger counts.
     """
     need(labels, id_column, label)
     rows = labels.select(F.col(id_column).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    rows = rows.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return rows.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def added_up(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``sums(x, y)`` of the rows ``(x array<double>, y double)``, one array per batch, added up exactly in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                found = sums(x, batch.column(1).to_numpy())
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["total"])
+
+    found = [r.total for r in rows.select("x", F.col("y").cast("double")).mapInArrow(run, "total array<double>").collect()]
+    return np.array([math.fsum(c) for c in zip(*found)])
+
+
+def logistic_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the log likelihood, in one array."""
+    p = 1 / (1 + np.exp(-np.clip(x @ weights, -35, 35)))
+    return np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Weights of a logistic regression without an intercept of its own, by Newton steps."""
-    weights = np.zeros(x.shape[1])
+    return newton(lambda weights: logistic_sums(x, y, weights), x.shape[1], ridge, steps)
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], width: int, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """``fit_logistic`` for rows whose ``logistic_sums`` at some weights ``sums`` returns."""
+    weights = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -35, 35)))
-        gradient = x.T @ (y - p) - ridge * weights
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        found = sums(weights)
+        gradient = found[:width] - ridge * weights
+        curvature = found[width:].reshape(width, width) + ridge * np.eye(width)
         step = np.linalg.solve(curvature, gradient)
         weights = weights + step / max(1.0, float(np.abs(step).max()) / 5)
         if float(np.abs(step).max()) < 1e-9:

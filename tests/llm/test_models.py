@@ -236,3 +236,22 @@ def test_quality_without_two_classes(spark):
 def test_folds_by_the_id_as_text(spark):
     found = spark.range(50).select("id", remainder(F.col("id"), 3).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 3 for r in found)
+
+
+def test_quality_learns_from_all_labelled_documents(spark):
+    """The fit of all rows at once, for more labels than a bounded sample would take."""
+    rows, labels = quality_rows(300)
+    many = [(i + 300 * k, rows[i][1]) for k in range(70) for i in range(300)]
+    marks = [(i + 300 * k, labels[i][1]) for k in range(70) for i in range(300)]
+    model = ranking.fit(docs(spark, many), spark.createDataFrame(marks, "doc_id bigint, quality int"), pairs_per_document=2)
+    x = ranking.text_features(pa.array([t for _, t in many], pa.string()))
+    y = np.array([q for _, q in marks])
+    scale = x.std(axis=0) + 1e-9
+    pairs = ranking.preference_pairs(x[y == 1] / scale, x[y == 0] / scale, max(2, -(-max(y.sum(), (1 - y).sum()) // min(y.sum(), (1 - y).sum()))))
+    weights = ranking.fit_logistic(pairs, np.ones(len(pairs)), ridge=1.0) / scale
+    assert len(y) == 21_000 and model.weights == pytest.approx(weights, rel=1e-5, abs=1e-7)
+    strength = x @ np.array(model.weights)
+    assert model.cut == pytest.approx(np.quantile(strength, np.mean(y == 0)))
+    p = 1 / (1 + np.exp(-np.clip(model.slope * (strength - model.cut) + np.log(0.3 / 0.7), -35, 35)))
+    gradient = (strength - model.cut) @ (y - p) - 1e-3 * model.slope
+    assert abs(gradient) < 1e-2 or model.slope in (ranking.LOWEST_SLOPE, ranking.HIGHEST_SLOPE)
