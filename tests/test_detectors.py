@@ -446,6 +446,7 @@ def test_grid_in_passes_gives_the_same_and_leaves_nothing(spark, points, monkeyp
     family = HashFamily(6, 2, 5, seed=5)
     whole = {r.w: r.asDict() for r in grid_report(made, family, (0.5, 1.0, 4.0), 3, 5).drop("dataset").collect()}
     monkeypatch.setattr(experiments, "HASHED_AT_ONCE", at_once)
+    monkeypatch.setattr(experiments, "TABLES_AT_ONCE", 1)
     staged = set()
     monkeypatch.setattr(staging, "session_folder", lambda s, name, make=staging.session_folder: staged.add(made := make(s, name)) or made)
     table = grid_report(made, family, (0.5, 1.0, 4.0), 3, 5).drop("dataset")
