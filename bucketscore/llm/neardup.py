@@ -13,12 +13,14 @@
    meet in pairs. Members of long ones meet only where they share one of their rarest shingles, and
    so early in the order of their shingles that enough others are left to be shared.
 4. Pairs that agree in ``MATCHES`` coordinates are confirmed on the full shingle sets of the whole
-   texts. Components of the confirmed links are the result.
+   texts. Components of the confirmed links are the result. A pass starts from the components of the
+   one before, and one that has no pairs or confirms none ends there: it can change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from bucketscore.llm.components import connected_components
 from bucketscore.llm.rows import mix, need, raw, slices
 from bucketscore.llm.shingles import Words, shingles
-from bucketscore.staging import Staged, drop, stage
+from bucketscore.staging import Staged, release, stage
 
 COORDINATES = 48
 MATCHES = 23
@@ -200,39 +202,60 @@ def components(docs: DataFrame) -> DataFrame:
     hubs = lists.groupBy("key").agg(F.min_by("rep", F.struct(-F.col("weight"), "rep")).alias("hub"))
     met = lists.join(hubs, "key").filter("hub <> rep").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = met.groupBy("rep").agg(F.min(F.struct((-F.col("n")).alias("less"), "hub")).alias("best"))
-    links = keep(confirm(first.select(F.col("best.hub").alias("a"), F.col("rep").alias("b")), vertices, texts), "links").df
-    united = keep(connected_components(links), "united").df
+    links = keep(confirm(first.select(F.col("best.hub").alias("a"), F.col("rep").alias("b")), vertices, texts), "links")
+    united = keep(connected_components(links.df), "united").df
+    labelled = keep(labels(lists, united), "labelled").df
+    # Broadcasts and shuffle files of a pass go before the next, so that the driver holds those of one pass.
+    release(spark)
 
     # Lists whose smallest or largest member is still in another component.
-    labelled = keep(labels(lists, united), "labelled").df
     ends = labelled.groupBy("key").agg(
         F.min(F.struct("rep", "component")).alias("low"), F.max(F.struct("rep", "component")).alias("high")
     )
     meet = labelled.join(ends, "key").select("rep", "component", F.explode(F.array("low", "high")).alias("hub"))
     meet = meet.filter("hub.component <> component")
     meet = meet.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    links = keep(links.union(confirm(meet, vertices, texts)), "links").df
-    united = keep(connected_components(links), "united").df
+    links = keep(confirm(meet, vertices, texts), "links")
+    if links.rows:
+        united = keep(connected_components(_stars(united).union(links.df)), "united").df
+        labelled = keep(labels(lists, united), "labelled").df
+    release(spark)
 
-    labelled = keep(labels(lists, united), "labelled").df
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_lists = keep(labelled.join(mixed.select("key"), "key", "left_semi"), "open").df
-    short = open_lists.filter(F.col("members") <= SHORT_LIST)
-    one = short.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-    other = short.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-    pairs = one.join(other, "key").filter("a < b and component_a <> component_b").select("a", "b").distinct()
-    crowded = rare_pairs(open_lists.filter(F.col("members") > SHORT_LIST).select("rep", "component").distinct(), texts)
-    links = keep(links.union(confirm(pairs.union(crowded).distinct(), vertices, texts)), "links").df
-    united = keep(connected_components(links), "united").df
+    is_short = F.col("members") <= SHORT_LIST
+    open_lists = stage(labelled.join(mixed.select("key"), "key", "left_semi"), "open", short=F.count_if(is_short))
+    held.append(open_lists)
+    pairs = []
+    if open_lists.facts["short"]:
+        short = open_lists.df.filter(is_short)
+        one = short.select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
+        other = short.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
+        pairs.append(one.join(other, "key").filter("a < b and component_a <> component_b").select("a", "b").distinct())
+    if open_lists.facts["short"] < open_lists.rows:
+        pairs.append(rare_pairs(open_lists.df.filter(~is_short).select("rep", "component").distinct(), texts))
+    if pairs:
+        # One job for the pairs and one for their confirmation, so that neither's broadcasts are held for both.
+        pairs = keep(reduce(DataFrame.union, pairs).distinct(), "pairs")
+        release(spark)
+    if pairs and pairs.rows:
+        links = keep(confirm(pairs.df, vertices, texts), "links")
+        if links.rows:
+            united = keep(connected_components(_stars(united).union(links.df)), "united").df
+        release(spark)
 
     class_of = labels(vertices.select(*same, "rep"), united).select(*same, "component")
     result = members.select("doc_id", *same).join(class_of, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     result = keep(result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
-    drop(spark, *held[:-1])
+    release(spark, *held[:-1])
     return result.df
 
 
+def _stars(united: DataFrame) -> DataFrame:
+    """Edges that unite what ``united(node, component)`` says: no more than its nodes, and flat already."""
+    return united.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def labels(rows: DataFrame, united: DataFrame) -> DataFrame:
     """``rows`` with the component of ``rep``; a vertex without links is its own."""
     known = united.select(F.col("node").alias("rep"), "component")

@@ -30,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +157,34 @@ def with_shared(kept: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.join(shared.agg(F.count(F.lit(1)).alias("shared")), "prefix")
 
 
-def log_ratios(rows: Iterable[tuple]) -> dict[str, float]:
-    """``log p(word | toxic) - log p(word | ordinary)`` of words whose longest prefix in the table is the
-    key, from the rows ``COUNTS`` ordered by prefix. A key with ``END`` is a whole word."""
+@dataclass(frozen=True, eq=False)
+class Ratios:
+    """``log_ratios`` by prefix, as two columns: in the driver they take the bytes of the prefixes and numbers.
+
+    Only a worker that looks words up makes the dictionary, once.
+    """
+
+    prefixes: pa.Array
+    values: np.ndarray
+
+    @cached_property
+    def by_prefix(self) -> dict[str, float]:
+        return dict(zip(self.prefixes.to_pylist(), self.values.tolist()))
+
+    def get(self, prefix: str) -> float | None:
+        return self.by_prefix.get(prefix)
+
+
+NO_RATIOS = Ratios(pa.array([], pa.string()), np.zeros(0))
+
+
+def log_ratios(rows: Iterable[tuple]) -> Iterator[float]:
+    """``log p(word | toxic) - log p(word | ordinary)`` of words whose longest prefix in the table is that
+    of the row, for the rows ``COUNTS`` ordered by prefix. A prefix with ``END`` is a whole word."""
 
     def backed_off(c: tuple) -> tuple[float, float]:
         return tuple(left / n if n else 1.0 for n, left in ((c[0], c[2]), (c[1], c[3])))
 
-    ratios: dict[str, float] = {}
     # Counts of the beginnings of the prefix at hand, and the ratio up to each.
     above: list[tuple[tuple, float]] = []
     for prefix, *own in rows:
@@ -178,23 +199,25 @@ def log_ratios(rows: Iterable[tuple]) -> dict[str, float]:
             upto += logs[1] - logs[0]
         above.append((tuple(own), upto))
         ordinary, toxic = (1.0, 1.0) if prefix.endswith(END) else backed_off(own)
-        ratios[prefix] = upto + math.log(toxic / ordinary)
-    return ratios
+        yield upto + math.log(toxic / ordinary)
 
 
-def read_ratios(table: DataFrame) -> tuple[list[int], dict[str, float]]:
-    """Contexts of both classes and ``log_ratios`` of ``with_shared``. The counts stay in Arrow."""
+def read_ratios(table: DataFrame) -> tuple[list[int], Ratios]:
+    """Contexts of both classes and ``log_ratios`` of ``with_shared``. Counts and prefixes stay in Arrow."""
     counts = table.select(*COUNTS).orderBy("prefix").toArrow()
     if not counts.num_rows:
-        return [0, 0], {}
+        return [0, 0], NO_RATIOS
     totals = [counts.column(c)[0].as_py() for c in ("ordinary", "toxic")]
     if not all(totals):
-        return totals, {}
+        return totals, NO_RATIOS
     batches = counts.to_batches(max_chunksize=10_000)
-    return totals, log_ratios(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    values = np.fromiter(log_ratios(rows), np.float64, counts.num_rows)
+    # Copied: the column as it came shares its buffers with the counts.
+    return totals, Ratios(pa.concat_arrays([*counts.column("prefix").chunks, pa.array([], counts.schema.field("prefix").type)]), values)
 
 
-def ratio_of(ratios: dict[str, float], word: str) -> float:
+def ratio_of(ratios: Ratios | dict[str, float], word: str) -> float:
     whole = word + END
     for length in range(len(whole), -1, -1):
         found = ratios.get(whole[:length])
@@ -207,7 +230,7 @@ def ratio_of(ratios: dict[str, float], word: str) -> float:
 class ToxicityModel:
     """Log-likelihood ratios by the longest known prefix, and the curve from ``excess`` to a score."""
 
-    ratios: dict[str, float]
+    ratios: Ratios
     weights: tuple[float, float]
 
     def features(self, docs: DataFrame, *keep: str) -> DataFrame:
@@ -217,7 +240,7 @@ class ToxicityModel:
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = ratios.value
+            known = ratios.value.by_prefix
 
             class Words(dict):
                 def __missing__(self, word: str) -> float:
@@ -266,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> Toxi
     totals, ratios = read_ratios(with_shared(kept.df, docs))
     drop(docs.sparkSession, kept)
     if not all(totals):
-        return ToxicityModel({}, (40.0 if totals[1] else -40.0, 0.0))
+        return ToxicityModel(NO_RATIOS, (40.0 if totals[1] else -40.0, 0.0))
 
     model = ToxicityModel(ratios, (0.0, 0.0))
     rest = model.features(chosen.filter("part = 0"), "label").select("_keep.label", "excess").toPandas()

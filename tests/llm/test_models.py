@@ -1,5 +1,7 @@
+import gc
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -146,6 +148,23 @@ def test_ratios_against_the_definitions(spark):
         assert toxicity.ratio_of(ratios, word) == pytest.approx(plain_ratio(word, rows, texts), abs=1e-9), word
 
 
+def test_ratios_stay_in_columns_in_the_driver(spark):
+    prefixes = ["", *(f"{i:0{length}d}" for length in range(1, 5) for i in range(10**length))]
+    table = spark.createDataFrame([(p, 9, 9, 8, 4, 10) for p in prefixes], toxicity.COUNTS)
+    toxicity.read_ratios(table)
+    gc.collect()
+    tracemalloc.start()
+    try:
+        _, ratios = toxicity.read_ratios(table)
+        gc.collect()
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # A dictionary takes some 150 bytes a prefix.
+    assert held < 40 * len(prefixes)
+    assert ratios.get("0123") == pytest.approx(4 * math.log((7 + 4) / (7 + 8)) + math.log(4 / 8)) and ratios.get("x") is None
+
+
 def test_words_that_begin_alike(spark):
     rows, labels = [], []
     for i in range(400):

@@ -66,6 +66,15 @@ def test_long_lists_meet_by_rare_shingles(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_a_pass_without_new_links_ends_there(spark, monkeypatch):
+    calls, real = [], neardup.connected_components
+    monkeypatch.setattr(neardup, "connected_components", lambda edges: calls.append(edges.count()) or real(edges))
+    rows = [(i, prose(i, 80, 100_000)) for i in range(6)]
+    rows += [(20, f"{rows[2][1]} more"), (21, rows[3][1]), (22, f"{rows[4][1]} less")]
+    compare(spark, rows)
+    assert calls == [2]
+
+
 def test_edge_cases(spark):
     assert neardup.components(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (None, None), (7, "a b c d e f"), (7, "a b c d e f"), (8, "a b c d e f")]
