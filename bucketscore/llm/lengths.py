@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bucketscore.llm.rows import need
-from bucketscore.llm.tokens import default_vocabulary, encoder
+from bucketscore.llm.tokens import default_vocabulary, encoding
 from bucketscore.staging import stage
 
 #: Lengths that one group of the suffix sums spans.
@@ -29,10 +29,10 @@ def token_lengths(
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in batches:
-            counts = [len(encode(text.as_py() or "")) // 4 for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        with encoding(vocabulary) as encode:
+            for batch in batches:
+                counts = [len(encode(text.as_py() or "")) // 4 for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     chosen = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bucketscore.llm.rows import need
-from bucketscore.llm.tokens import END_ID, default_vocabulary, encoder
+from bucketscore.llm.tokens import END_ID, default_vocabulary, encoding
 
 #: (document, first token, ids as little-endian unsigned 32-bit integers, tokens of the document)
 Piece = tuple[int | None, int, bytes, int]
@@ -146,7 +146,6 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
         packer = LevelPacker(capacity, max_open)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -170,11 +169,12 @@ def pack(
             size = 0
             return pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
-        for incoming in batches:
-            for doc, text in zip(incoming.column(0), incoming.column(1)):
-                written(packer.add(doc.as_py(), encode(text.as_py() or "") + end))
-                if size >= BATCH_BYTES:
-                    yield batch()
+        with encoding(vocabulary) as encode:
+            for incoming in batches:
+                for doc, text in zip(incoming.column(0), incoming.column(1)):
+                    written(packer.add(doc.as_py(), encode(text.as_py() or "") + end))
+                    if size >= BATCH_BYTES:
+                        yield batch()
         written(packer.drain())
         if rows:
             yield batch()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bucketscore.functions.running import kth_smallest
 from bucketscore.functions.scalar import doubles
-from bucketscore.llm.rows import added_up, fit_logistic, labelled, logistic_sums, need, newton, raw, slices, text_and  # noqa: F401
+from bucketscore.llm.rows import added_up, fit_logistic, labelled, logistic_sums, need, newton, raw, slices, text_and, text_within  # noqa: F401
 from bucketscore.llm.shingles import Words
 from bucketscore.sources.points import with_row_number
 from bucketscore.staging import Staged, passing, stage
@@ -81,19 +82,22 @@ class RankingModel:
     slope: float
     threshold: float
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns, ``strength`` and ``score`` (0 to 1, higher is better) of whole texts."""
+    def score(self, docs: DataFrame, *keep: str, within: str | None = None) -> DataFrame:
+        """``keep`` columns, ``strength`` and ``score`` (0 to 1, higher is better) of whole texts.
+
+        ``within`` names a struct column that has the text and is what is kept.
+        """
+        chosen, kind, texts = text_within(docs, within) if within else (*text_and(docs, keep), itemgetter(0))
         weights = np.array(self.weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 # Added feature by feature: a matrix product may round differently from batch to batch.
                 strength = np.zeros(batch.num_rows)
-                for weight, column in zip(weights, text_features(batch.column(0)).T):
+                for weight, column in zip(weights, text_features(texts(batch)).T):
                     strength += weight * column
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(strength)], ["_keep", "strength"])
+                yield pa.RecordBatch.from_arrays([batch.column("_keep"), pa.array(strength)], ["_keep", "strength"])
 
-        chosen, kind = text_and(docs, keep)
         scored = chosen.mapInArrow(run, f"{kind}, strength double")
         logit = F.lit(self.slope) * (F.col("strength") - F.lit(self.cut)) + F.lit(math.log(self.threshold / (1 - self.threshold)))
         return scored.select("_keep.*", "strength", (1 / (1 + F.exp(-logit))).alias("score"))

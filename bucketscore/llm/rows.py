@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,18 @@ def newton(sums: Callable[[np.ndarray], np.ndarray], width: int, ridge: float =
     return weights
 
 
+def text_within(docs: DataFrame, column: str) -> tuple[DataFrame, str, Callable[[pa.RecordBatch], pa.Array]]:
+    """``text_and`` of a struct ``column`` that has the ``text`` itself, and what takes the texts from a batch.
+
+    The text goes to Python once, in the row that is carried; only one that is no string goes beside it too.
+    """
+    need(docs, column)
+    if docs.schema[column].dataType["text"].dataType.simpleString() != "string":
+        return *text_and(docs.select(column, F.col(column)["text"].alias("_text")), (column,), "_text"), itemgetter(0)
+    chosen = docs.select(F.struct(column).alias("_keep"))
+    return chosen, f"_keep {chosen.schema['_keep'].dataType.simpleString()}", lambda batch: pc.struct_field(batch.column(0), [column, "text"])
+
+
 def text_and(docs: DataFrame, keep: tuple[str, ...], text_column: str = "text") -> tuple[DataFrame, str]:
     """The text and one struct ``_keep`` of the columns to carry, and the struct's type.
 

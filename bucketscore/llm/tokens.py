@@ -13,7 +13,9 @@ import array
 import base64
 import os
 import re
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 
 END_ID = 1
 SPECIAL = "<|endoftext|>"
@@ -34,11 +36,9 @@ class Encoder(dict):
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.whole = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
         self.ranks = None
         ranks = vocabulary.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -48,6 +48,14 @@ class Encoder(dict):
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
             )
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.vocabulary)
+
     def _packed(self, ids: list[int]) -> bytes:
         return array.array("I", ids).tobytes()
 
@@ -75,3 +83,13 @@ class Encoder(dict):
 def encoder(vocabulary: str) -> Encoder:
     """One encoder for each Python worker."""
     return Encoder(vocabulary)
+
+
+@contextmanager
+def encoding(vocabulary: str) -> Iterator[Callable[[str], bytes]]:
+    """``encode`` for one task. Its words go at the end, since a worker lives on for other stages' tasks."""
+    shared = encoder(vocabulary)
+    try:
+        yield shared.encode
+    finally:
+        shared.clear()

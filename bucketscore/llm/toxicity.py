@@ -31,13 +31,14 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bucketscore.llm.rows import fit_logistic, labelled_sample, need, text_and
+from bucketscore.llm.rows import fit_logistic, labelled_sample, need, text_and, text_within
 from bucketscore.staging import drop, stage
 
 #: Longer runs of letters are cut into words of this length; nothing of them is left out.
@@ -59,7 +60,7 @@ COUNTS = ("prefix", "ordinary", "toxic", "left_ordinary", "left_toxic", "shared"
 #: Words whose ratio a worker keeps.
 KEPT_WORDS = 100_000
 #: Different words or pairs that a worker gathers before it passes them on.
-GATHERED = 100_000
+GATHERED = 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -233,9 +234,11 @@ class ToxicityModel:
     ratios: Ratios
     weights: tuple[float, float]
 
-    def features(self, docs: DataFrame, *keep: str) -> DataFrame:
+    def features(self, docs: DataFrame, *keep: str, within: str | None = None) -> DataFrame:
         """``_keep``, a struct of the ``keep`` columns, and ``excess``: the sum of what ratios have
-        above the usual, divided by the root of the length; 0 without words."""
+        above the usual, divided by the root of the length; 0 without words. ``within`` names a struct
+        column that has the text and is what is kept."""
+        chosen, kind, texts = text_within(docs, within) if within else (*text_and(docs, keep), itemgetter(0))
         # Broadcast once; a worker then reads it from its executor.
         ratios = docs.sparkSession.sparkContext.broadcast(self.ratios)
 
@@ -252,22 +255,21 @@ class ToxicityModel:
             look_up = Words().__getitem__
             for batch in batches:
                 rows = np.zeros(batch.num_rows)
-                for i, text in enumerate(batch.column(0)):
+                for i, text in enumerate(texts(batch)):
                     words = words_of(text.as_py())
                     if words:
                         values = np.fromiter(map(look_up, words), np.float64, len(words))
                         values -= min(max(float(np.median(values)), -USUAL), USUAL)
                         rows[i] = float(np.maximum(values - MARGIN, 0).sum()) / math.sqrt(len(words))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows)], ["_keep", "excess"])
+                yield pa.RecordBatch.from_arrays([batch.column("_keep"), pa.array(rows)], ["_keep", "excess"])
 
-        chosen, kind = text_and(docs, keep)
         return chosen.mapInArrow(run, f"{kind}, excess double")
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns and ``score``, 0 to 1, higher where toxic is likelier."""
+    def score(self, docs: DataFrame, *keep: str, within: str | None = None) -> DataFrame:
+        """``keep`` columns (or that of ``within``, which has the text) and ``score``, 0 to 1, higher where toxic is likelier."""
         bias, slope = [F.lit(float(w)) for w in self.weights]
         logit = bias + slope * F.col("excess")
-        return self.features(docs, *keep).select("_keep.*", (1 / (1 + F.exp(-logit))).alias("score"))
+        return self.features(docs, *keep, within=within).select("_keep.*", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> ToxicityModel:

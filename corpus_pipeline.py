@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The text, and the whole row as one column, so that its names cannot clash."""
-    return docs.select("text", F.struct(*docs.columns).alias("row"))
+    """The whole row as one column, so that its names cannot clash; its text crosses to Python in it."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -37,12 +37,12 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return model.score(_rows(docs), "row").filter(F.col("score") < TOXIC).select("row.*")
+    return model.score(_rows(docs), within="row").filter(F.col("score") < TOXIC).select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = ranking.fit(docs, _table(spark, sf_dir, "labels"), threshold=GOOD)
-    return model.score(_rows(docs), "row").filter(F.col("score") >= GOOD).select("row.*")
+    return model.score(_rows(docs), within="row").filter(F.col("score") >= GOOD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bucketscore.llm import langid, ranking, toxicity
 from bucketscore.llm.rows import remainder
 from tests.llm.helpers import docs, prose
@@ -190,6 +191,29 @@ def test_rare_words_count(spark):
     assert all(s > 0.7 for s in found.values())
 
 
+def test_text_within_a_row(spark):
+    """Scores of rows are those of their texts, nulls and other types included, and the text is sent once."""
+    texts = [f"{prose(i, 30, 900)}{' vile scum' if i % 4 == 0 else ''}" for i in range(200)] + [None, ""]
+    rows = docs(spark, list(enumerate(texts)))
+    for table in (rows, rows.withColumn("text", F.encode("text", "UTF-8"))):
+        whole = table.select("text", F.struct("doc_id", F.lit(0.5).alias("score"), "text").alias("row"))
+        labels = rows.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"), (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+        for model in (toxicity.fit(rows, labels), ranking.fit(rows, labels)):
+            beside = model.score(whole, "row").select("row.doc_id", "row.text", "score")
+            within = model.score(whole.select("row"), within="row").select("row.doc_id", "row.text", "score")
+            assert sorted(within.collect(), key=lambda r: r.doc_id) == sorted(beside.collect(), key=lambda r: r.doc_id)
+
+
+def test_pipeline_sends_a_text_once(spark, tmp_path):
+    rows = docs(spark, [(i, f"{prose(i, 30, 900)}{' vile scum' if i % 4 == 0 else ''}") for i in range(60)])
+    rows.selectExpr("doc_id", "int(doc_id % 4 = 0) as toxic", "int(doc_id % 3 > 0) as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    for step in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_quality):
+        kept = step(spark, rows, str(tmp_path))
+        assert kept.columns == rows.columns
+        plan = kept._jdf.queryExecution().analyzed().toString()
+        assert "_keep" in plan and "_text" not in plan
+
+
 def test_toxicity_without_two_classes(spark):
     for label, score in ((0, 0.0), (1, 1.0)):
         model = toxicity.fit(docs(spark, [(1, "a b")]), spark.createDataFrame([(1, label)], "doc_id bigint, toxic int"))

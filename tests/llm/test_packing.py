@@ -1,7 +1,9 @@
 import array
+import tracemalloc
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from bucketscore.llm import lengths, packing, tokens
@@ -30,6 +32,53 @@ def test_store_of_words_starts_afresh(encode, monkeypatch):
     assert array.array("I", encode.encode(text)).tolist() == plain(encode, text)
 
 
+class Handed:
+    """Takes the place of a table and keeps the function that its batches would go through."""
+
+    def __init__(self, columns=()):
+        self.columns = list(columns)
+
+    def select(self, *_):
+        return self
+
+    distinct = select
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("work", [packing.pack, lengths.token_lengths])
+def test_words_go_with_the_task(spark, monkeypatch, work):
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("", (), {"partitionId": lambda _: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(1, 500), None]})
+    found = list(work(Handed(["doc_id", "text"])).run(iter([batch])))
+    assert sum(len(b) for b in found) >= 2
+    assert not tokens.encoder(tokens.default_vocabulary())
+
+
+def test_the_whole_tokenizer_is_loaded_when_needed():
+    fresh = tokens.Encoder(tokens.default_vocabulary())
+    fresh.encode(prose(4, 300))
+    assert "whole" not in vars(fresh)
+    assert array.array("I", fresh.encode("a <|endoftext|> b")).tolist() == plain(fresh, "a <|endoftext|> b")
+
+
+def test_different_words_in_little_memory(spark):
+    """A batch of 360,000 different words; Python holds some 20,000 and what was sent of them last."""
+    from bucketscore.llm import toxicity
+
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{i}n{k}" for k in range(400)) for i in range(900)]})
+    run = toxicity.all_words(Handed()).run
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 360_000
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 << 20
+
+
 def check_pieces(pieces, texts, encode, capacity):
     sequences, documents = defaultdict(list), defaultdict(list)
     for p in pieces:
