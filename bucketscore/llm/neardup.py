@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bucketscore.llm.components import connected_components
 from bucketscore.llm.rows import mix, need, raw, slices
 from bucketscore.llm.shingles import Words, shingles
-from bucketscore.staging import Staged, release, stage
+from bucketscore.staging import Staged, gathered, release, stage
 
 COORDINATES = 48
 MATCHES = 23
@@ -203,8 +203,8 @@ def components(docs: DataFrame) -> DataFrame:
     met = lists.join(hubs, "key").filter("hub <> rep").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
     first = met.groupBy("rep").agg(F.min(F.struct((-F.col("n")).alias("less"), "hub")).alias("best"))
     links = keep(confirm(first.select(F.col("best.hub").alias("a"), F.col("rep").alias("b")), vertices, texts), "links")
-    united = keep(connected_components(links.df), "united").df
-    labelled = keep(labels(lists, united), "labelled").df
+    united = keep(connected_components(gathered(links.df, links.rows)), "united")
+    labelled = keep(labels(lists, united.df), "labelled").df
     # Broadcasts and shuffle files of a pass go before the next, so that the driver holds those of one pass.
     release(spark)
 
@@ -217,8 +217,8 @@ def components(docs: DataFrame) -> DataFrame:
     meet = meet.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
     links = keep(confirm(meet, vertices, texts), "links")
     if links.rows:
-        united = keep(connected_components(_stars(united).union(links.df)), "united").df
-        labelled = keep(labels(lists, united), "labelled").df
+        united = keep(connected_components(_grown(united, links)), "united")
+        labelled = keep(labels(lists, united.df), "labelled").df
     release(spark)
 
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
@@ -240,10 +240,10 @@ def components(docs: DataFrame) -> DataFrame:
     if pairs and pairs.rows:
         links = keep(confirm(pairs.df, vertices, texts), "links")
         if links.rows:
-            united = keep(connected_components(_stars(united).union(links.df)), "united").df
+            united = keep(connected_components(_grown(united, links)), "united")
         release(spark)
 
-    class_of = labels(vertices.select(*same, "rep"), united).select(*same, "component")
+    class_of = labels(vertices.select(*same, "rep"), united.df).select(*same, "component")
     result = members.select("doc_id", *same).join(class_of, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     result = keep(result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "result")
@@ -251,9 +251,10 @@ def components(docs: DataFrame) -> DataFrame:
     return result.df
 
 
-def _stars(united: DataFrame) -> DataFrame:
-    """Edges that unite what ``united(node, component)`` says: no more than its nodes, and flat already."""
-    return united.select(F.col("node").alias("a"), F.col("component").alias("b"))
+def _grown(united: Staged, links: Staged) -> DataFrame:
+    """``links`` and the edges that unite what ``united(node, component)`` says: no more than its nodes, and flat already."""
+    stars = united.df.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return gathered(stars.union(links.df), united.rows + links.rows)
 
 
 def labels(rows: DataFrame, united: DataFrame) -> DataFrame:

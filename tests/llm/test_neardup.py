@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from bucketscore import staging
 from bucketscore.llm import components as cc
 from bucketscore.llm import neardup
 from bucketscore.llm.rows import raw, slices
@@ -132,3 +133,53 @@ def test_components_of_a_chain_and_of_nothing(spark):
     found = cc.connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
     assert len(found) == 101 and {r.component for r in found} == {0}
     assert cc.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """A session whose shuffles always have 40 partitions."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_rounds_on_a_small_graph_are_of_few_tasks(spark, many_partitions, monkeypatch):
+    tasks, real = [], cc.stage
+
+    def counted(df, name, **facts):
+        group = f"round {id(tasks)} {len(tasks)}"
+        spark.sparkContext.setJobGroup(group, name)
+        table = real(df, name, **facts)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+        tasks.append(sum(info.numTasks for info in map(tracker.getStageInfo, stages) if info))
+        return table
+
+    monkeypatch.setattr(cc, "stage", counted)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")
+    found = cc.connected_components(chain).collect()
+    assert len(found) == 101 and {r.component for r in found} == {0}
+    # The first table has the partitions of edges whose number is not known yet.
+    assert len(tasks) > 3 and max(tasks[2:]) < 20
+
+
+def test_larger_graphs_have_more_tasks(spark, many_partitions, monkeypatch):
+    monkeypatch.setattr(staging, "ROWS_A_TASK", 10)
+    assert staging.gathered(spark.range(0, 100, 1, 40), 25).rdd.getNumPartitions() == 3
+    draw = random.Random(9)
+    edges = [(i, i + 1) for i in range(60)] + [(500, n) for n in range(501, 560)]
+    edges += [(draw.randrange(1_000, 1_080), draw.randrange(1_000, 1_080)) for _ in range(60)] + edges[:30] + [(None, 3), (7, 7)]
+    found = {r.node: r.component for r in cc.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    real = [(a, b) for a, b in edges if a is not None and a != b]
+    assert found == components(real, {n for e in real for n in e})
+
+
+def test_a_component_that_grows_in_a_second_pass(spark, many_partitions, monkeypatch):
+    monkeypatch.setattr(staging, "ROWS_A_TASK", 4)
+    monkeypatch.setattr(neardup, "SHORT_LIST", 3)
+    base = prose(15, 80, 100_000)
+    compare(spark, [(i, edited(base, 0.05, 100 + i)) for i in range(25)] + [(40, None), (41, base), (42, base)])
